@@ -1,15 +1,24 @@
-"""The registered queries of this subpackage, and SQL for those that SQL can express."""
+"""The registered queries of this subpackage. SQL cannot express them whole, so tests hold them against brute force."""
 
 from __future__ import annotations
 
 from .bpe import op6_bpe_encoding
+from .decontaminate import op9_decontamination
+from .licenses import op1_license_scans
+from .passages import op5_substring_dedup
+from .recurrent_lm import op10_lm_scoring
 from .simhash import op2_simhash
+from .token_counts import op7_token_counts
 from .toxicity import op8_toxicity
+from .url_filter import op4_url_filters
+from .webp import op3_media_columns
 
 QUERIES = {
-    "op2_simhash": op2_simhash,
-    "op6_bpe_encoding": op6_bpe_encoding,
-    "op8_toxicity": op8_toxicity,
-}
+    f.__name__: f
+    for f in (
+        op1_license_scans, op2_simhash, op3_media_columns, op4_url_filters, op5_substring_dedup,
+        op6_bpe_encoding, op7_token_counts, op8_toxicity, op9_decontamination, op10_lm_scoring,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -82,7 +82,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """Connected components by alternating large-star and small-star rounds.
 
     edges: undirected pairs of longs, any order, repeats and loops allowed. Returns (node, root): every node that has an
-    edge to another node, with the smallest node it can reach. Each round is written to the shared folder.
+    edge to another node, with the smallest node it can reach, itself included. Each round is written to the shared folder.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     cur = cut(e)
@@ -108,4 +108,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         seen = stamp
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    stars = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.union(stars.select("root", "root").distinct())

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import cut, remainder, table
 
 #: Letters of other scripts that look like a Latin letter.
 LOOK_ALIKE = {
@@ -178,16 +178,26 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 4
     return [float(b) for b in beta]
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, exceptions=EXCEPTIONS) -> tuple[dict[str, float], list[float]]:
-    """Lexicon and curve from labelled(doc_id, text, toxic), of which about fit_rows rows, picked by a hash of the id, are used at most.
+def sample_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """(doc_id, text, toxic) of about fit_rows labels at most, picked by a hash of the id; equal texts once, toxic if any is.
 
-    A quarter of those rows, by another hash, is held back from the lexicon to fit the curve on. Without both labels the
-    lexicon is empty and every score is 0.
+    Of equal ids the larger label counts. The picked labels are few by their bound, so they are what is sent to the texts.
     """
-    ok = labelled.where(F.col("toxic").isin(0, 1)).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("toxic").cast("int")).alias("toxic"))
+    ok = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = ok.count()
     if n > fit_rows:
         ok = ok.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1e6 * fit_rows / n))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ok), "doc_id")
+    return texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions=EXCEPTIONS) -> tuple[dict[str, float], list[float]]:
+    """Lexicon and curve from docs(doc_id, text) and labels(doc_id, toxic), on fit_rows rows or so at most.
+
+    A quarter of those rows, by another hash, is held back from the lexicon to fit the curve on. Without both labels the
+    lexicon is empty and every score is 0.
+    """
+    ok = cut(sample_rows(docs, labels, fit_rows))
     part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4))
     lexicon = learn_lexicon(ok.where(part > 0))
     if not lexicon:
@@ -203,28 +213,26 @@ def _inputs() -> list:
     return [F.log1p("hit_weight").alias("x1"), F.least("hit_density", F.lit(40.0)).alias("x2"), F.col("heaviest").alias("x3")]
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, exceptions=EXCEPTIONS) -> DataFrame:
-    """Score every text of docs(doc_id, text, ...) with a lexicon learned from labelled(doc_id, text, toxic).
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions=EXCEPTIONS) -> DataFrame:
+    """Score every text of docs(doc_id, text, ...) with a lexicon learned from docs and labels(doc_id, toxic) together.
 
     Adds score (0 to 1), predicted (1 if score >= 0.5), n_words, hit_weight, heaviest, hit_density and hits. Null and empty texts have no
     hits and get the score of a text without hits. Rows are scored one by one: repeats get equal scores, other columns pass
     through, columns named like the new ones are replaced; an empty table gives an empty table, and without labels of both
     kinds every score is close to 0. Labels other than 0 and 1, nulls included, are not learned from.
     """
-    lexicon, (b0, *b) = fit(labelled, fit_rows, exceptions)
+    lexicon, (b0, *b) = fit(docs, labels, fit_rows, exceptions)
     x = sum((F.lit(w) * c for w, c in zip(b, _inputs(), strict=True)), F.lit(b0))
     scored = features(docs.drop("score", "predicted"), lexicon, exceptions).withColumn("score", 1 / (1 + F.exp(-x)))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def training_rows(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    """Labelled texts outside the held-out fold. Labels are deduplicated by id (the larger wins)."""
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
-    labels = table(spark, sf_dir, "labels").where(remainder() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(remainder() != 0).join(labels, "doc_id")
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder() != 0)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = toxicity(docs, training_rows(spark, sf_dir))
+    out = toxicity(docs, training_labels(spark, sf_dir))
     return out.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted", "n_words", "hit_weight", F.array_join(F.slice("hits", 1, 5), ",").alias("first_hits"))

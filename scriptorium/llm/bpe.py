@@ -21,7 +21,7 @@ from .common import in_slices, table
 #: The byte-level pattern for pre-tokens of the vocabulary's publisher.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pre-tokens kept with their ids in a worker; the table starts anew when full.
-CACHED = 300_000
+CACHED = 150_000
 
 
 def byte_letters() -> list[str]:

@@ -24,8 +24,14 @@ def build_session(app: str = "scriptorium", master: str | None = None, **conf) -
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+#: Rows that go to a Python worker at once: texts can be long, and a worker holds a batch as Arrow, as strings and as results.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, unless their path already leads to it."""
+    """Make the package importable in Python workers, unless their path already leads to it; keep batches for them small, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_scriptorium_shipped", False) or str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return

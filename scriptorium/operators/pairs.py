@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.repair import bound
+from scriptorium.plans.session import shared_table
+
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, first_id, copies): documents with equal trimmed text; the smallest id is the first."""
@@ -51,9 +54,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> Data
     """Pairs of distinct texts by k-word shingles; copies are represented by their smallest id (exact_duplicates has the members)."""
     one = docs.groupBy(F.trim("text").alias("text")).agg(F.min("doc_id").alias("doc_id"))
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    shingled = one.select("doc_id", words.alias("w")).where(F.size("w") >= k)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
-    sets = shingled.select("doc_id", grams.alias("g"))
+    gram = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+    none = F.array().cast("array<bigint>")
+    sets = shared_table(one.select("doc_id", bound(words, lambda w: F.when(F.size(w) >= k, F.array_distinct(gram(w))).otherwise(none)).alias("g")).where(F.size("g") > 0))
     return set_join(sets, sets, "doc_id", F.col("g"), threshold, itself=True)
 
 

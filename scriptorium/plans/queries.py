@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import file_id
-from scriptorium.operators import extract, lines, pairs, registers, search
+from scriptorium.operators import extract, lines, pairs, registers, repair, reports, search
 from scriptorium.streaming import incremental
 
 #: (label, pattern, ord)
 TYPE_RULES = [("notice", "licen", 0), ("secret", "token", 1), ("report", " the ", 2), ("bericht", " der ", 3), ("rapport", " les ", 4), ("informe", " los ", 5)]
 SEGMENTS = [("legal", "licen", 0), ("legal", "copyright", 1), ("contact", "@", 2), ("contact", "http", 3), ("secret", "token", 4), ("secret", "password", 5)]
 QUERY = ["the", "and", "for", "with"]
+TERMS = ["the", "der", "les", "los", "and"]
+SECTIONS = [("legal", ["licen", "copyright"], 1), ("contact", ["@", "http", "www"], 1), ("list", [",", ";"], 2)]
+CATEGORIES = [("notice", "legal"), ("secret", "legal"), ("report", "texts"), ("bericht", "texts")]
+CONCEPTS = [("the", "article", "grammar"), ("der", "article", "grammar"), ("and", "conjunction", "grammar"), ("token", "secret", "security"), ("password", "secret", "security")]
+NUMBERS = ["2024", "10000", "555", "987654321"]
+UNITS, MONEY = "USD|EUR|GB|MB", "price|total|amount|license|card|the|der"
+SPANS = {"mail": "[a-z0-9._]+@[a-z0-9.]+", "number": "[0-9]{4,}"}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,6 +169,115 @@ def ingest_batches(spark, d):
     return both.groupBy("event_type").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"))
 
 
+def doubling_collapse(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(repair.collapse_doubling(F.col("text"), "A-Za-z")).alias("digest"))
+
+
+def learned_terms(spark, d):
+    return repair.learn_terms(_t(spark, d, "documents"), ["the ([a-z]+ [a-z]+)", "and ([a-z]+ [a-z]+)"], ["of", "to"])
+
+
+def lexical_density(spark, d):
+    return repair.lexical_density(_t(spark, d, "documents"), TERMS)
+
+
+def readability_qc(spark, d):
+    """Latin runs keep their order when a line is turned around, so single words can't tell directions here: no line counts as reversed."""
+    return repair.readability_qc(lines.lines(_t(spark, d, "documents")), TERMS, script="A-Za-z").select("doc_id", "reversed_lines", "word_ratio", "words", "status")
+
+
+def section_runs(spark, d):
+    return repair.section_lines(lines.lines(_t(spark, d, "documents")), SECTIONS)
+
+
+def cleaning_drift(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return repair.cleaning_drift(docs, docs.withColumn("text", F.regexp_replace("text", r"\b[0-9]+\b", "")))
+
+
+def header_zones(spark, d):
+    zones = repair.header_zones(lines.lines(_t(spark, d, "documents")), body="^(The|Der|Les|Los) ", strong="^[A-Z ]+$")
+    return zones.groupBy("doc_id", "zone").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"))
+
+
+def paragraphs(spark, d):
+    return repair.rebuild_paragraphs(_t(spark, d, "documents"), heading=r"[A-Z0-9 ]{3,40}:?$")
+
+
+def card_fields(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    cards = reports.build_cards(docs, ["license", "token", "the "], {"title:number": "([0-9]{4,})", "number": "([0-9]{6,})", "any:number": "([0-9]{5,})", "mail": "([a-z0-9._]+@[a-z0-9.]+)"})
+    return cards.select("doc_id", *[F.coalesce(F.col("card")[k], F.lit("")).alias(k) for k in ("authority", "number", "mail")])
+
+
+def financial_figures(spark, d):
+    return reports.financial_figures(lines.lines(_t(spark, d, "documents")), UNITS, MONEY, most=1_000_000).select("doc_id", "line_no", "digits", "unit")
+
+
+def study_sections(spark, d):
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), (F.col("role") == "user").alias("is_heading"), "text", F.when(F.col("role") != "user", F.length("text")).alias("file_id"))
+    return reports.assign_sections(turns).select("file_id", "doc_id", "pos", F.md5("section").alias("section"))
+
+
+def study_records(spark, d):
+    links = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("file_id"), F.substring("text", 1, 20).alias("row_desc"), F.lit("link").alias("anchor"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "source", "text")
+    meta = docs.select("file_id", F.when(F.col("file_id").cast("long") % 2 == 0, F.col("source")).alias("title"))
+    return reports.study_index(links, meta, docs, ["link", "web"]).select("file_id", "title", "text_status")
+
+
+def deed_register(spark, d):
+    deeds = spark.createDataFrame([(n,) for n in NUMBERS], "number string")
+    return reports.deed_register(deeds, _t(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text"))
+
+
+def tag_spans(spark, d):
+    return reports.tag_spans(_t(spark, d, "documents"), SPANS)
+
+
+def central_values(spark, d):
+    out = reports.central_values(long_numbers(spark, d), _t(spark, d, "documents").select("doc_id", F.col("source").alias("title")))
+    return out.select("value", "times", "docs", F.array_join("samples", ",").alias("samples"))
+
+
+def corpus_counts(spark, d):
+    docs = _t(spark, d, "documents").join(_t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
+    return reports.corpus_counts(docs.select((F.col("quality") == 0).alias("is_folder"), (F.col("n_chars") >= 100).alias("readable"), F.col("quality").isNull().alias("needs_ocr")))
+
+
+def category_report(spark, d):
+    rules = spark.createDataFrame(CATEGORIES, "doc_type string, category string")
+    order = spark.createDataFrame([("legal", 0), ("texts", 1), ("empty", 2), ("other", 3)], "category string, ord int")
+    return reports.category_counts(reports.categorize(doc_type_rules(spark, d), rules), order)
+
+
+def concept_report(spark, d):
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 2)
+    tokens = _t(spark, d, "documents").select("doc_id", F.explode(words).alias("form"))
+    return reports.concept_counts(tokens, spark.createDataFrame(CONCEPTS, "form string, concept string, category string"))
+
+
+def review_reasons(spark, d):
+    docs = _t(spark, d, "documents").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    out = reports.review_reasons(docs, {"short": F.col("n_chars") < 100, "poor": F.col("quality") == 0, "mail": F.contains("text", F.lit("@"))})
+    return out.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+def weak_documents(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", (F.col("n_chars") % 100).cast("double").alias("quality"))
+    return reports.select_weak(docs, 60.0, 50)
+
+
+def mean_confidence(spark, d):
+    return reports.mean_confidence(_t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_id") % 7 > 0, 0.5).alias("confidence")))
+
+
+def prefix_search(spark, d):
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 2)
+    index = _t(spark, d, "documents").select("doc_id", F.explode(words).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return search.prefix_search(index, ["th", "an"])
+
+
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
 _NUMBERS = "SELECT DISTINCT doc_id, 'number' AS kind, unnest(regexp_extract_all(text, '[0-9]{6,}')) AS value FROM documents"
 _WORDS = "SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) >= 2 GROUP BY ALL"
@@ -196,4 +312,35 @@ ORACLE_SQL = {
     "ingest_batches": "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type",
 }
 
-QUERIES = {name: globals()[name] for name in ORACLE_SQL}
+_HITS = " + ".join(f"(length(low) - length(replace(low, '{t}', ''))) // {len(t)}" for t in TERMS)
+_SECTION = "CASE " + " ".join("WHEN " + " + ".join(f"CAST(contains(lower(line), '{w}') AS INT)" for w in ws) + f" >= {n} THEN '{name}'" for name, ws, n in SECTIONS) + " ELSE 'body' END"
+_N = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''))"
+_LIST = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
+_FORMS = "SELECT doc_id, w AS form FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) >= 2"
+
+ORACLE_SQL |= {
+    "doubling_collapse": "SELECT doc_id, md5(array_to_string(list_filter(s, lambda x, i: i = 1 OR length(x) < 3 OR x <> s[i - 1]), ' ')) AS digest FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda t: CASE WHEN length(t) >= 6 AND length(t) % 2 = 0 AND regexp_matches(t, '[A-Za-z]') AND NOT regexp_matches(t, '\\p{Nd}') AND t[1:length(t) // 2] = t[length(t) // 2 + 1:] THEN t[1:length(t) // 2] ELSE t END) AS s FROM documents)",
+    "learned_terms": "WITH p AS (SELECT unnest(list_concat(regexp_extract_all(text, 'the ([a-z]+ [a-z]+)', 1), regexp_extract_all(text, 'and ([a-z]+ [a-z]+)', 1))) AS phrase FROM documents), q AS (SELECT string_split(phrase, ' ') AS w, count(*) AS n FROM p GROUP BY phrase HAVING count(*) >= 2) SELECT term, CAST(sum(n) AS BIGINT) AS times FROM (SELECT unnest(w) AS term, n FROM q WHERE NOT list_has_any(w, ['of', 'to'])) GROUP BY term HAVING sum(n) >= 2",
+    "lexical_density": f"SELECT doc_id, round(1000 * ({_HITS}) / greatest(length(low), 1), 4) AS density FROM (SELECT doc_id, lower(text) AS low FROM documents)",
+    "readability_qc": f"WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: regexp_matches(x, '[A-Za-z]'))) AS t FROM ({_LINES})), s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (t IN ({', '.join(repr(t) for t in TERMS)}) OR (length(t) >= 3 AND len(regexp_extract_all(t, '[A-Za-z]')) > 0.7 * length(t))) AS g FROM t GROUP BY doc_id), d AS (SELECT DISTINCT doc_id FROM ({_LINES}) WHERE trim(line) <> '') SELECT doc_id, CAST(0 AS BIGINT) AS reversed_lines, round(coalesce(g / n, 0.0), 4) AS word_ratio, coalesce(n, 0) AS words, CASE WHEN n > 40 AND g / n < 0.35 THEN 'noisy' ELSE 'clean' END AS status FROM d LEFT JOIN s USING (doc_id)",
+    "section_runs": f"WITH c AS (SELECT doc_id, line_no, {_SECTION} AS section FROM ({_LINES}) WHERE trim(line) <> ''), r AS (SELECT *, CAST(sum(x) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS run_no FROM (SELECT *, CASE WHEN lag(section) OVER (PARTITION BY doc_id ORDER BY line_no) = section THEN 0 ELSE 1 END AS x FROM c)) SELECT doc_id, run_no, section, min(line_no) AS first_line, count(*) AS n_lines FROM r GROUP BY doc_id, run_no, section",
+    "cleaning_drift": f"SELECT *, abs(change) > 8 AS alert FROM (SELECT *, round(100 * (words_after - words_before) / greatest(words_before, 1), 2) AS change FROM (SELECT doc_id, {_N.format('text')} AS words_before, {_N.format(chr(114) + 'egexp_replace(text, ' + chr(39) + chr(92) + 'b[0-9]+' + chr(92) + 'b' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS words_after FROM documents))",
+    "card_fields": "SELECT doc_id, coalesce(CASE WHEN contains(head, 'license') THEN 'license' WHEN contains(head, 'token') THEN 'token' WHEN contains(head, 'the ') THEN 'the ' WHEN contains(text, 'license') THEN 'license' WHEN contains(text, 'token') THEN 'token' WHEN contains(text, 'the ') THEN 'the ' END, '') AS authority, coalesce(nullif(regexp_extract(source, '([0-9]{4,})', 1), ''), nullif(regexp_extract(head, '([0-9]{6,})', 1), ''), regexp_extract(text, '([0-9]{5,})', 1)) AS number, regexp_extract(head, '([a-z0-9._]+@[a-z0-9.]+)', 1) AS mail FROM (SELECT *, left(array_to_string(string_split(text, chr(10))[1:18], chr(10)), 1000) AS head FROM documents)",
+    "financial_figures": f"SELECT doc_id, min(line_no) AS line_no, digits, unit FROM (SELECT doc_id, line_no, line, regexp_replace(regexp_extract(m, '^[0-9.,]+'), '[^0-9]', '', 'g') AS digits, regexp_extract(m, '({UNITS})$') AS unit FROM (SELECT doc_id, line_no, line, unnest(regexp_extract_all(line, '[0-9][0-9.,]{{0,16}}[ ]*(?:{UNITS})?')) AS m FROM ({_LINES}))) WHERE unit <> '' OR (length(digits) BETWEEN 6 AND 13 AND regexp_matches(line, '{MONEY}')) GROUP BY doc_id, digits, unit",
+    "study_sections": "WITH e AS (SELECT conv_id AS doc_id, turn AS pos, CASE WHEN role <> 'user' THEN length(text) END AS file_id, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations) SELECT file_id, doc_id, pos, md5(section) AS section FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY doc_id, pos) AS n FROM e WHERE file_id IS NOT NULL) WHERE n = 1",
+    "study_records": "SELECT b.id AS file_id, coalesce(CASE WHEN lower(trim(d.title)) NOT IN ('link', 'web') AND trim(d.title) <> '' THEN trim(d.title) END, CASE WHEN lower(trim(b.row)) NOT IN ('link', 'web') AND trim(b.row) <> '' THEN trim(b.row) END, b.id) AS title, CASE WHEN d.id IS NULL OR d.n IS NULL THEN 'not_retrieved' WHEN d.n = 0 THEN 'empty' ELSE 'ok' END AS text_status FROM (SELECT CAST(item_id AS VARCHAR) AS id, left(text, 20) AS row FROM benchmark) b LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN source END AS title, length(trim(text)) AS n FROM documents) d ON b.id = d.id",
+    "deed_register": f"SELECT number, coalesce(in_titles, 0) AS in_titles, coalesce(in_texts, 0) AS in_texts, first_doc, CASE WHEN in_titles > 0 THEN 'document' WHEN in_texts > 0 THEN 'mentioned' ELSE 'missing' END AS status FROM (VALUES {_LIST([(n,) for n in NUMBERS])}) v(number) LEFT JOIN (SELECT number, count(*) FILTER (contains(source, number)) AS in_titles, count(*) FILTER (contains(text, number)) AS in_texts, min(doc_id) AS first_doc FROM documents JOIN (VALUES {_LIST([(n,) for n in NUMBERS])}) w(number) ON contains(source, number) OR contains(text, number) GROUP BY number) USING (number)",
+    "tag_spans": "SELECT doc_id, kind, value, count(*) AS times FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in SPANS.items()) + ") GROUP BY ALL",
+    "central_values": f"WITH e AS (SELECT * FROM ({_NUMBERS}) WHERE length(value) >= 6) SELECT value, count(*) AS times, count(DISTINCT doc_id) AS docs, array_to_string(list_sort(list(DISTINCT source))[1:6], ',') AS samples FROM e JOIN documents USING (doc_id) GROUP BY value",
+    "corpus_counts": "SELECT count(*) AS records, count(*) FILTER (f) AS files, count(*) FILTER (NOT f) AS folders, count(*) FILTER (f AND n_chars >= 100) AS readable, count(*) FILTER (f AND n_chars < 100) AS unreadable, count(*) FILTER (f AND q IS NULL) AS needs_ocr FROM (SELECT n_chars, q, coalesce(q <> 0, true) AS f FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id))",
+    "concept_report": f"SELECT category, concept, CAST(sum(n) AS BIGINT) AS times, count(*) AS docs FROM (SELECT category, concept, doc_id, count(*) AS n FROM ({_FORMS}) JOIN (VALUES {_LIST(CONCEPTS)}) c(form, concept, category) USING (form) GROUP BY ALL) GROUP BY category, concept",
+    "review_reasons": "SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 100 THEN 'short' END, CASE WHEN quality = 0 THEN 'poor' END, CASE WHEN contains(text, '@') THEN 'mail' END) AS reasons FROM documents LEFT JOIN labels USING (doc_id)) WHERE reasons <> ''",
+    "weak_documents": "SELECT doc_id, CAST(n_chars % 100 AS DOUBLE) AS quality FROM documents WHERE n_chars % 100 < 60 ORDER BY quality, doc_id LIMIT 50",
+    "mean_confidence": "SELECT user_id AS doc_id, round(avg(CASE WHEN event_id % 7 > 0 THEN 0.5::DOUBLE END), 3) AS confidence, count(*) FILTER (event_id % 7 > 0) AS words FROM events GROUP BY user_id",
+    "prefix_search": f"SELECT doc_id, CAST(sum(tf) AS BIGINT) AS hits FROM (SELECT doc_id, q, tf FROM ({_WORDS}) JOIN (VALUES ('th'), ('an')) v(q) ON starts_with(term, q)) GROUP BY doc_id HAVING count(DISTINCT q) = 2 ORDER BY hits DESC, doc_id LIMIT 400",
+}
+ORACLE_SQL["category_report"] = f"WITH t AS ({ORACLE_SQL['doc_type_rules']}), c AS (SELECT coalesce(k.category, 'other') AS category, count(*) AS docs FROM t LEFT JOIN (VALUES {_LIST(CATEGORIES)}) k(doc_type, category) USING (doc_type) GROUP BY 1) SELECT o.category, o.ord, coalesce(docs, 0) AS docs FROM (VALUES ('legal', 0), ('texts', 1), ('empty', 2), ('other', 3)) o(category, ord) LEFT JOIN c USING (category)"
+
+#: These read each text in order or page by page and have no SQL; test_repair.py holds them against fixtures.
+NO_SQL = ("header_zones", "paragraphs")
+QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)}

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -38,3 +39,15 @@ def ship(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="spark-")
     sc.addPyFile(shutil.make_archive(f"{folder}/scriptorium", "zip", ROOT, "scriptorium"))
     sc._scriptorium_shipped = True
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder in spark.checkpoint.dir (one of our own only where it is unset) and read back."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = sc._scriptorium_tables = getattr(sc, "_scriptorium_tables", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equal(spark, duck, name):
     got = QUERIES[name](spark, DATA)
     q = duck.execute(ORACLE_SQL[name])

@@ -34,6 +34,7 @@ class Unigram:
         norm = math.log(sum(1 / (i + 1) for i in range(len(pieces))) or 1.0)
         self.score = {p: -math.log(i + 1) - norm for i, p in reversed(list(enumerate(pieces)))}
         self.longest = max(map(len, pieces), default=1)
+        self.suffixes = {p[i:] for p in pieces for i in range(len(p))}
         self.byte = -math.log(len(pieces) + 256) - norm - 4
         self.clear()
 
@@ -46,9 +47,12 @@ class Unigram:
         """Best (score, -tokens) of a prefix, from path[k] = (score, tokens) of its own prefixes of k letters."""
         d = len(prefix)
         best, tokens = -math.inf, 0
-        get = self.score.get
-        for k in range(max(0, d - self.longest), d):
-            s = get(prefix[k:])
+        get, suffixes = self.score.get, self.suffixes
+        for k in range(d - 1, max(0, d - self.longest) - 1, -1):
+            piece = prefix[k:]
+            if piece not in suffixes:  # nor is any longer one
+                break
+            s = get(piece)
             if s is not None:
                 before = path[k]
                 total, n = before[0] + s, before[1] + 1

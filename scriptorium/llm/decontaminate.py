@@ -1,22 +1,24 @@
 """Benchmark decontamination (operator 9): rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Benchmark items are taken in blocks of bounded size. For a block, a first pass counts how many documents hold each word n-gram
-of its items; n-grams that are common beside the others of their item are no seeds. A second pass finds the rare seeds in
-each document, and aligns the words around them with the item's words.
+Benchmark items are taken in blocks of bounded size. For a block, one pass over the texts counts how many documents hold each
+word n-gram of its items, and writes the word numbers of the documents that hold enough n-grams of some item. N-grams that are
+common beside the others of their item are no seeds; around the rare seeds of the written documents, words are aligned with
+the item's words.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Words in a seed; a seed's document frequency at most so many times its item's lower quartile, or at most so many documents.
 SEED, RARER, ALWAYS = 3, 4, 8
@@ -26,7 +28,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items in a block: what is sent to the executors at once is bounded by this.
 BLOCK = 20_000
 
-_words = regex.compile(r"[\p{L}\p{N}_]+").findall
+_words = re.compile(r"\w+").findall
 
 
 def item_words(text: str | None) -> list[str]:
@@ -52,6 +54,7 @@ class Items:
                 at[int(code)].append((i, pos))
         self.at = dict(at)
         self.rare = np.ones(len(self.grams), bool)
+        self.least = [max(1, len(s) - n + 1) for s in self.seqs]
 
     def codes(self, seq: np.ndarray) -> np.ndarray:
         """One number for each n-gram; mixed modulo 2^64, so a false match is possible in principle and ends at the alignment."""
@@ -66,7 +69,7 @@ class Items:
         words = item_words(text)
         if len(words) < self.n or not len(self.grams):
             return (none := np.empty(0, np.int64)), none, none
-        seq = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        seq = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         known = seq >= 0
         m = len(seq) - self.n + 1
         full = known[:m].copy()
@@ -81,6 +84,17 @@ class Items:
         hit = self.grams[found] == code
         return seq, pos[hit], found[hit]
 
+    def may_leak(self, code: np.ndarray, least_seeds: int) -> bool:
+        """Whether the n-grams found stand at enough places of some item; what choose_rare leaves of them is a part of these."""
+        places: dict[int, set[int]] = defaultdict(set)
+        for c in np.unique(code).tolist():
+            for item, at in self.at[c]:
+                own = places[item]
+                own.add(at)
+                if len(own) >= least_seeds or len(own) >= self.least[item]:
+                    return True
+        return False
+
     def choose_rare(self, df: dict[int, int]) -> None:
         counts = np.array([df.get(i, 0) for i in range(len(self.grams))])
         self.rare[:] = False
@@ -109,9 +123,8 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def scan(items: Items, text: str | None, least_seeds: int, least_score: float) -> list[tuple]:
-    """(item_id, score, start_word, end_word, seeds) for each item that a text leaks, the best passage of each."""
-    seq, pos, code = items.document(text)
+def scan(items: Items, seq: np.ndarray, pos: np.ndarray, code: np.ndarray, least_seeds: int, least_score: float) -> list[tuple]:
+    """(item_id, score, start_word, end_word, seeds) for each item that a text leaks, the best passage of each; seq, pos, code as document() has them."""
     rare = items.rare[code] if len(code) else np.empty(0, bool)
     if not rare.any():
         return []
@@ -133,7 +146,7 @@ def scan(items: Items, text: str | None, least_seeds: int, least_score: float) -
                 spans.append([a, b, {(p, at)}])
         best = None
         for a, b, seeds in spans:
-            if len({at for _, at in seeds}) < min(least_seeds, max(1, len(own) - items.n + 1)):
+            if len({at for _, at in seeds}) < min(least_seeds, items.least[item]):
                 continue
             top, end = align(own, seq[a:b])
             score = top / (MATCH * len(own))
@@ -171,27 +184,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, least_seeds: int
 def _leaks(texts: DataFrame, items: Items, least_seeds: int, least_score: float, schema: str) -> DataFrame:
     sc = texts.sparkSession.sparkContext
     first = sc.broadcast(items)
+    columns = ["gram", "df", "doc_id", "seq", "pos", "code"]
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = first.value
         df = np.zeros(len(own.grams), np.int64)
         for frame in frames:
-            for text in frame["text"]:
-                df[np.unique(own.document(text)[2])] += 1
+            rows = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                seq, pos, code = own.document(text)
+                if len(code):
+                    df[np.unique(code)] += 1
+                    if own.may_leak(code, least_seeds):
+                        rows.append((None, None, doc_id, *(x.astype(np.int32).tobytes() for x in (seq, pos, code))))
+            yield pd.DataFrame(rows, columns=columns)
         some = np.flatnonzero(df)
-        yield pd.DataFrame({"gram": some, "df": df[some]})
+        yield pd.DataFrame({"gram": some, "df": df[some]}).reindex(columns=columns)
 
-    df = texts.select("text").mapInPandas(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+    found = cut(texts.mapInPandas(find, "gram long, df long, doc_id long, seq binary, pos binary, code binary"))
+    df = found.where("gram is not null").groupBy("gram").agg(F.sum("df").alias("df"))
     items.choose_rare({r.gram: r.df for r in df.collect()})  # bounded by the block's n-grams
     chosen = sc.broadcast(items)
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = chosen.value
         for frame in frames:
-            rows = [(d, *x) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for x in scan(own, t, least_seeds, least_score)]
+            rows = []
+            for doc_id, *parts in zip(frame["doc_id"], frame["seq"], frame["pos"], frame["code"], strict=True):
+                rows += [(doc_id, *x) for x in scan(own, *(np.frombuffer(x, np.int32) for x in parts), least_seeds, least_score)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
 
-    return texts.mapInPandas(find, schema)
+    return found.where("seq is not null").select("doc_id", "seq", "pos", "code").mapInPandas(verify, schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

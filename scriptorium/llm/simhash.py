@@ -141,6 +141,15 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return edges
 
 
+def _groups(known: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id) for each fingerprint of known(doc_id, fp)."""
+    fps = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(fps.select("fp"), radius))
+    tied = found.join(fps, found.node == fps.fp).groupBy("root").agg(F.min("least").alias("component"))
+    roots = found.join(tied, "root").select(F.col("node").alias("fp"), "component")
+    return fps.join(roots, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprint and component of each row of docs(doc_id, text, ...).
 
@@ -151,13 +160,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     marked = fingerprints(docs.drop("fingerprint", "component_id"))
     known = cut(marked.select("doc_id", "fp"))
-    fps = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(fps.select("fp"), radius))
-    tied = found.join(fps, found.node == fps.fp).groupBy("root").agg(F.min("least").alias("component"))
-    roots = found.join(tied, "root").select(F.col("node").alias("fp"), "component")
-    per_fp = fps.join(roots, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     rows = known if {c for c in docs.columns} == {"doc_id", "text"} else marked
-    out = rows.join(per_fp, "fp")
+    out = rows.join(_groups(known, radius), "fp")
     return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
 
 
@@ -166,8 +170,8 @@ def first_of_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows whose doc_id is null stay only if their component has no id at all.
     """
-    known = near_duplicates(docs.select("doc_id", "text"), radius)
-    keep = known.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    known = cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
+    keep = _groups(known, radius).select(F.col("component_id").alias("doc_id")).distinct()  # a component's id is its smallest doc_id
     one = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
     return one.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))).where("_n = 1").drop("_n")
 

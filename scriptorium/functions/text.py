@@ -80,6 +80,14 @@ def hijri_key(c: Column) -> Column:
     return F.coalesce(g(first, 1) * 10000 + g(first, 2) * 100 + g(first, 3), g(last, 3) * 10000 + g(last, 2) * 100 + g(last, 1))
 
 
+def gregorian_key(c: Column) -> Column:
+    """yyyymmdd of a Gregorian date in either order; null if there is none."""
+    d = ascii_digits(c)
+    first, last = r"((?:19|20)\d{2})\s*[/-]\s*(\d{1,2})\s*[/-]\s*(\d{1,2})", r"(\d{1,2})\s*[/-]\s*(\d{1,2})\s*[/-]\s*((?:19|20)\d{2})"
+    g = lambda p, i: F.try_to_number(F.regexp_extract(d, p, i), F.lit("9999")).cast("int")
+    return F.coalesce(g(first, 1) * 10000 + g(first, 2) * 100 + g(first, 3), g(last, 3) * 10000 + g(last, 2) * 100 + g(last, 1))
+
+
 def hijri_to_date(key: Column) -> Column:
     """The civil tabular calendar, by Julian day."""
     y, m, d = F.floor(key / 10000), F.floor(key / 100) % 100, key % 100
@@ -87,6 +95,15 @@ def hijri_to_date(key: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), (jd - 2440588).cast("int"))
 
 
+def date_to_hijri(c: Column) -> Column:
+    """yyyymmdd in the civil tabular calendar: the year from the 30-year cycle of 10,631 days, then months of 30 and 29 days in turn."""
+    day = F.date_diff(c, F.lit("1970-01-01").cast("date")) + 2440588 - 1948440
+    y = F.floor((30 * day + 10646) / 10631)
+    into = day - 354 * (y - 1) - F.floor((3 + 11 * y) / 30)
+    m = F.least(F.lit(12), F.floor(into / 29.5) + 1)
+    return (y * 10000 + m * 100 + into - F.ceil(29.5 * (m - 1)) + 1).cast("int")
+
+
 def file_id(url: Column) -> Column:
     """The id in .../d/<id> or ?id=<id>; null if there is none."""
     return F.nullif(F.coalesce(F.nullif(F.regexp_extract(url, r"/d/([A-Za-z0-9_-]+)", 1), F.lit("")), F.regexp_extract(url, r"[?&]id=([A-Za-z0-9_-]+)", 1)), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import file_id
-from scriptorium.operators import extract, lines, pairs, registers, repair, reports, search
+from scriptorium.operators import extract, lines, package, pairs, registers, repair, reports, search
 from scriptorium.streaming import incremental
 
 #: (label, pattern, ord)
@@ -278,6 +278,39 @@ def prefix_search(spark, d):
     return search.prefix_search(index, ["th", "an"])
 
 
+def unified_index(spark, d):
+    docs = _t(spark, d, "documents").withColumn("n_pages", lines.page_estimate(F.col("text")))
+    ranged = registers.page_ranges(docs, "doc_id", F.col("n_pages")).select("doc_id", F.col("lang").alias("doc_type"), F.col("source").alias("title"), "n_pages", "page_from", "page_to", F.nullif(F.regexp_extract("text", "(https?://[a-z./]+)", 1), F.lit("")).alias("url"), F.lit(None).cast("string").alias("status"))
+    pick = lambda p: F.regexp_extract("text", p, 1)
+    cards = docs.select("doc_id", F.create_map(F.lit("date"), pick("([0-9]{4}-[0-9]{2})"), F.lit("authority"), pick("([a-z0-9._]+@[a-z0-9.]+)"), F.lit("department"), F.col("source"), F.lit("parties"), pick("Copyright ([A-Za-z0-9]+)")).alias("card"))
+    return package.unified_index(ranged, cards)
+
+
+def package_quality(spark, d):
+    docs = _t(spark, d, "documents").select(
+        "doc_id", "text", lines.page_estimate(F.col("text")).alias("n_pages"), (F.size(F.split("text", "\n\n")) - 1).alias("blank_pages"), (F.regexp_count("text", F.lit("[*%&$#]")) >= 3).alias("distorted"),
+        (F.col("n_chars") < 100).alias("needs_review"), F.regexp_extract("text", "([0-9]{4})", 1).alias("date"), F.regexp_extract("text", "(https?://[a-z./]+)", 1).alias("url"), F.contains("text", F.lit("\f")).alias("has_marks"),
+    )
+    return package.package_quality(docs, pairs.exact_duplicates(docs.select("doc_id", "text")))
+
+
+def inner_inventory(spark, d):
+    tree = _t(spark, d, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("size"))
+    return package.inner_inventory(package.inner_files(tree, "https?:"))
+
+
+def timeline(spark, d):
+    """Order dates, written with the day first, as the texts; titles and types repeat, so that dates do too."""
+    day = F.col("o_orderdate").cast("date")
+    texts = F.concat_ws("/", F.day(day), F.month(day), F.year(day))
+    docs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("doc_type"), F.lit("orders").alias("path"), texts.alias("text"))
+    return package.unified_timeline(docs)
+
+
+def highlights(spark, d):
+    return package.highlights(_t(spark, d, "documents"), ["the"])
+
+
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
 _NUMBERS = "SELECT DISTINCT doc_id, 'number' AS kind, unnest(regexp_extract_all(text, '[0-9]{6,}')) AS value FROM documents"
 _WORDS = "SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) >= 2 GROUP BY ALL"
@@ -341,6 +374,15 @@ ORACLE_SQL |= {
 }
 ORACLE_SQL["category_report"] = f"WITH t AS ({ORACLE_SQL['doc_type_rules']}), c AS (SELECT coalesce(k.category, 'other') AS category, count(*) AS docs FROM t LEFT JOIN (VALUES {_LIST(CATEGORIES)}) k(doc_type, category) USING (doc_type) GROUP BY 1) SELECT o.category, o.ord, coalesce(docs, 0) AS docs FROM (VALUES ('legal', 0), ('texts', 1), ('empty', 2), ('other', 3)) o(category, ord) LEFT JOIN c USING (category)"
 
+_JD = "(date_diff('day', DATE '1970-01-01', d) + 492148)"
+ORACLE_SQL |= {
+    "unified_index": f"SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, lang AS doc_type, source AS title, CASE WHEN regexp_matches(date, '20[0-9][0-9]') THEN '' ELSE date END AS date_hijri, CASE WHEN regexp_matches(date, '20[0-9][0-9]') THEN date ELSE '' END AS date_gregorian, coalesce(nullif(mail, ''), source, '') AS authority, owner AS parties, p AS n_pages, CAST(sum(greatest(1, p)) OVER (ORDER BY doc_id) - greatest(1, p) + 1 AS BIGINT) || '-' || CAST(sum(greatest(1, p)) OVER (ORDER BY doc_id) AS BIGINT) AS page_range, '#' || doc_id AS link, url, '' AS status FROM (SELECT *, {_PAGES} AS p, regexp_extract(text, '([0-9]{{4}}-[0-9]{{2}})', 1) AS date, regexp_extract(text, '([a-z0-9._]+@[a-z0-9.]+)', 1) AS mail, regexp_extract(text, 'Copyright ([A-Za-z0-9]+)', 1) AS owner, regexp_extract(text, '(https?://[a-z./]+)', 1) AS url FROM documents)",
+    "package_quality": f"SELECT count(*) AS docs, CAST(sum(greatest(1, {_PAGES})) AS BIGINT) AS pages, CAST(sum(len(string_split(text, chr(10) || chr(10))) - 1) AS BIGINT) AS blank_pages, count(*) FILTER (len(regexp_extract_all(text, '[*%&$#]')) >= 3) AS distorted, count(*) FILTER (n_chars < 100) AS needs_review, count(*) FILTER (regexp_matches(text, 'https?://[a-z./]+')) AS with_link, count(*) FILTER (NOT regexp_matches(text, '[0-9]{{4}}')) AS no_date, count(*) FILTER (NOT regexp_matches(text, 'https?://[a-z./]+')) AS no_source, count(*) FILTER (length(trim(text)) = 0) AS no_text, count(*) FILTER (contains(text, chr(12))) AS with_page_marks, (SELECT count(*) FROM ({ORACLE_SQL['exact_dups']})) AS duplicate_pairs FROM documents",
+    "inner_inventory": "SELECT archive, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(DISTINCT extension) AS extensions FROM (SELECT archive, size, lower(regexp_extract(name, '\\.([^./]+)$', 1)) AS extension FROM (SELECT regexp_extract(url, '^https?:/*([^/]+)/(.+)$', 1) AS archive, regexp_extract(url, '^https?:/*([^/]+)/(.+)$', 2) AS name, strlen(html) AS size FROM pages) WHERE archive <> '') GROUP BY ROLLUP (archive)",
+    "timeline": f"WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS doc_type, CAST(o_orderdate AS DATE) AS d FROM orders), f AS (SELECT d, title, arg_min(doc_type, k) AS doc_type FROM o GROUP BY d, title), y AS (SELECT *, {_JD} AS j, (30 * {_JD} + 10646) // 10631 AS y FROM f), m AS (SELECT *, j - 354 * (y - 1) - (3 + 11 * y) // 30 AS i FROM y), n AS (SELECT *, least(12, (2 * i) // 59 + 1) AS m FROM m) SELECT 'gregorian' AS calendar, day(d) || '/' || month(d) || '/' || year(d) AS value, CAST(year(d) * 10000 + month(d) * 100 + day(d) AS INT) AS date_key, title, doc_type, 'orders' AS path, d AS date, CAST(y * 10000 + m * 100 + i - (59 * (m - 1) + 1) // 2 + 1 AS INT) AS other_key FROM n",
+    "highlights": "SELECT doc_id, e - 3 AS start_pos, e AS end_pos FROM (SELECT doc_id, i, n, CAST(sum(length(piece) + 3) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i, len(p) AS n FROM (SELECT doc_id, string_split(lower(text), 'the') AS p FROM documents))) WHERE i < n",
+}
+
 #: These read each text in order or page by page and have no SQL; test_repair.py holds them against fixtures.
 NO_SQL = ("header_zones", "paragraphs")
 QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)}

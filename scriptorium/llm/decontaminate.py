@@ -1,15 +1,15 @@
-"""Benchmark decontamination (operator 9): rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination (operator 9): n-gram seeds, then Smith-Waterman alignment of words.
 
-Benchmark items are taken in blocks of bounded size. For a block, one pass over the texts counts how many documents hold each
-word n-gram of its items, and writes the word numbers of the documents that hold enough n-grams of some item. N-grams that are
-common beside the others of their item are no seeds; around the rare seeds of the written documents, words are aligned with
-the item's words.
+Benchmark items are taken in blocks of bounded size. For a block, one pass over the texts finds the word n-grams of its items in
+each document. Where enough n-grams of an item lie near each other, words are aligned with the item's words, however many
+documents hold these n-grams: copies of a leak must not hide each other. Before an alignment, the words that both sides hold
+bound its score, so common n-grams cost little.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table
 
-#: Words in a seed; a seed's document frequency at most so many times its item's lower quartile, or at most so many documents.
-SEED, RARER, ALWAYS = 3, 4, 8
+#: Words in a seed.
+SEED = 3
 #: Seeds of one item near each other that a passage needs; part of the item's best possible score that an alignment needs.
 LEAST_SEEDS, LEAST_SCORE = 2, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -48,13 +48,14 @@ class Items:
         self.base = max(2, len(self.number))
         grams = [self.codes(s) if len(s) >= n else np.empty(0, np.uint64) for s in self.seqs]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
-        at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, g in enumerate(grams):
-            for pos, code in enumerate(np.searchsorted(self.grams, g)):
-                at[int(code)].append((i, pos))
-        self.at = dict(at)
-        self.rare = np.ones(len(self.grams), bool)
+        #: Of each item the numbers of its n-grams by place; all places sorted by n-gram, those of n-gram c from start[c] on.
+        self.own = [np.searchsorted(self.grams, g) for g in grams]
+        every = np.concatenate(self.own) if grams else np.empty(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        self.start = np.searchsorted(every[order], np.arange(len(self.grams) + 1))
+        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
         self.least = [max(1, len(s) - n + 1) for s in self.seqs]
+        self.words = [np.unique(s, return_counts=True) for s in self.seqs]
 
     def codes(self, seq: np.ndarray) -> np.ndarray:
         """One number for each n-gram; mixed modulo 2^64, so a false match is possible in principle and ends at the alignment."""
@@ -84,28 +85,27 @@ class Items:
         hit = self.grams[found] == code
         return seq, pos[hit], found[hit]
 
-    def may_leak(self, code: np.ndarray, least_seeds: int) -> bool:
-        """Whether the n-grams found stand at enough places of some item; what choose_rare leaves of them is a part of these."""
-        places: dict[int, set[int]] = defaultdict(set)
-        for c in np.unique(code).tolist():
-            for item, at in self.at[c]:
-                own = places[item]
-                own.add(at)
-                if len(own) >= least_seeds or len(own) >= self.least[item]:
-                    return True
-        return False
-
-    def choose_rare(self, df: dict[int, int]) -> None:
-        counts = np.array([df.get(i, 0) for i in range(len(self.grams))])
-        self.rare[:] = False
-        of: dict[int, list[int]] = defaultdict(list)
-        for code, places in self.at.items():
-            for item in {i for i, _ in places}:
-                of[item].append(code)
-        for codes in of.values():
-            own = counts[codes]
-            limit = max(ALWAYS, RARER * np.quantile(own, 0.25))
-            self.rare[np.array(codes)[own <= limit]] = True
+    def may_leak(self, seq: np.ndarray, code: np.ndarray, least_seeds: int, least_score: float) -> list[int]:
+        """The items with n-grams at enough places and with words enough for least_score; each place of an item has one n-gram."""
+        some = np.unique(code)
+        begin, size = self.start[some], self.start[some + 1] - self.start[some]
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        items, places = np.unique(self.item[at], return_counts=True)
+        have = np.bincount(seq[seq >= 0], minlength=self.base)
+        out = []
+        for item, n in zip(items.tolist(), places.tolist(), strict=True):
+            if n >= min(least_seeds, self.least[item]):
+                words, need = self.words[item]
+                if np.minimum(have[words], need).sum() >= least_score * len(self.seqs[item]):
+                    out.append(item)
+        return out
+
+    def common(self, item: int, part: np.ndarray) -> int:
+        """How many of the item's words a part of a text can match, whatever their order."""
+        words, need = self.words[item]
+        found = np.searchsorted(words, part)
+        found[found == len(words)] = 0
+        return int(np.minimum(np.bincount(found[words[found] == part], minlength=len(words)), need).sum())
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
@@ -125,28 +125,28 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
 
 def scan(items: Items, seq: np.ndarray, pos: np.ndarray, code: np.ndarray, least_seeds: int, least_score: float) -> list[tuple]:
     """(item_id, score, start_word, end_word, seeds) for each item that a text leaks, the best passage of each; seq, pos, code as document() has them."""
-    rare = items.rare[code] if len(code) else np.empty(0, bool)
-    if not rare.any():
+    if not len(code):
         return []
-    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p, c in zip(pos[rare].tolist(), code[rare].tolist(), strict=True):
-        for item, at in items.at[c]:
-            places[item].append((p, at))
     out = []
-    for item, hits in places.items():
-        own = items.seqs[item]
+    order = np.argsort(code, kind="stable")
+    by_code, by_pos = code[order], pos[order]
+    for item in items.may_leak(seq, code, least_seeds, least_score):
+        own, grams = items.seqs[item], items.own[item]
+        low, high = np.searchsorted(by_code, grams), np.searchsorted(by_code, grams, "right")
+        hits = sorted((p, at) for at, (i, j) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) for p in by_pos[i:j].tolist())
         slack = 4 + len(own) // 3
         spans: list[list] = []
-        for p, at in sorted(hits):
+        for p, at in hits:
             a, b = max(0, p - at - slack), min(len(seq), p - at + len(own) + slack)
             if spans and a <= spans[-1][1] and b - spans[-1][0] < 4 * len(own) + 4 * slack:
-                spans[-1][1] = max(b, spans[-1][1])
-                spans[-1][2].add((p, at))
+                spans[-1][0], spans[-1][1] = min(a, spans[-1][0]), max(b, spans[-1][1])
             else:
-                spans.append([a, b, {(p, at)}])
+                spans.append([a, b])
         best = None
-        for a, b, seeds in spans:
-            if len({at for _, at in seeds}) < min(least_seeds, items.least[item]):
+        for a, b in spans:
+            # seeds of a passage at a span's edge may have opened the next span; they count in both
+            seeds = hits[bisect_left(hits, (a, 0)) : bisect_left(hits, (b, 0))]
+            if len({at for _, at in seeds}) < min(least_seeds, items.least[item]) or items.common(item, seq[a:b]) < least_score * len(own):
                 continue
             top, end = align(own, seq[a:b])
             score = top / (MATCH * len(own))
@@ -182,39 +182,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, least_seeds: int
 
 
 def _leaks(texts: DataFrame, items: Items, least_seeds: int, least_score: float, schema: str) -> DataFrame:
-    sc = texts.sparkSession.sparkContext
-    first = sc.broadcast(items)
-    columns = ["gram", "df", "doc_id", "seq", "pos", "code"]
+    sent = texts.sparkSession.sparkContext.broadcast(items)
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = first.value
-        df = np.zeros(len(own.grams), np.int64)
+        own = sent.value
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                seq, pos, code = own.document(text)
-                if len(code):
-                    df[np.unique(code)] += 1
-                    if own.may_leak(code, least_seeds):
-                        rows.append((None, None, doc_id, *(x.astype(np.int32).tobytes() for x in (seq, pos, code))))
-            yield pd.DataFrame(rows, columns=columns)
-        some = np.flatnonzero(df)
-        yield pd.DataFrame({"gram": some, "df": df[some]}).reindex(columns=columns)
-
-    found = cut(texts.mapInPandas(find, "gram long, df long, doc_id long, seq binary, pos binary, code binary"))
-    df = found.where("gram is not null").groupBy("gram").agg(F.sum("df").alias("df"))
-    items.choose_rare({r.gram: r.df for r in df.collect()})  # bounded by the block's n-grams
-    chosen = sc.broadcast(items)
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = chosen.value
-        for frame in frames:
-            rows = []
-            for doc_id, *parts in zip(frame["doc_id"], frame["seq"], frame["pos"], frame["code"], strict=True):
-                rows += [(doc_id, *x) for x in scan(own, *(np.frombuffer(x, np.int32) for x in parts), least_seeds, least_score)]
+                rows += [(doc_id, *x) for x in scan(own, *own.document(text), least_seeds, least_score)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
 
-    return found.where("seq is not null").select("doc_id", "seq", "pos", "code").mapInPandas(verify, schema)
+    return texts.mapInPandas(find, schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

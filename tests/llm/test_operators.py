@@ -330,6 +330,19 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_copied_edits(spark):
+    item, other = prose(51, 45), prose(52, 45)
+    edited = [f"new{i}" if i % 9 == 4 else w for i, w in enumerate(item)]
+    rows = [(i, " ".join(prose(100 + i, 60) + edited + prose(200 + i, 60))) for i in range(20)]
+    rows += [(100 + i, " ".join(prose(300 + i, 60) + other[:30] + prose(400 + i, 60))) for i in range(20)]
+    rows += [(200 + i, " ".join(prose(500 + i, 60) + item[5:9] + prose(600 + i, 60))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(other))], "item_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, 0) for i in range(20)} | {(100 + i, 1) for i in range(20)}
+    assert all(60 <= r.start_word < r.end_word <= 105 for r in got)
+
+
 def test_alignment_brute():
     rng = np.random.default_rng(1)
     for _ in range(60):

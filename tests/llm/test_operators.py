@@ -276,6 +276,23 @@ def test_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_inside_frequent_lines(spark):
+    lines = [(prose(700 + i, 25), prose(720 + i, 25)) for i in range(10)]
+
+    def apart(seed):
+        firsts = [w for i, (a, _) in enumerate(lines) for w in [*a, *prose(seed + i, 60)]]
+        return firsts + [w for i, (_, b) in enumerate(lines) for w in [*b, *prose(seed + 20 + i, 60)]]
+
+    rows = [(d, " ".join(apart(1000 + 100 * d))) for d in range(8)]
+    # the source holds each line in another context before the passage
+    rows.append((100, " ".join(apart(3000) + [w for i, (a, b) in enumerate(lines) for w in [*a, *b, *prose(3200 + i, 60)]])))
+    rows.append((101, " ".join(w for i, (a, b) in enumerate(lines) for w in [*a, *b, *prose(3300 + i, 60)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in passages.repeated_passages(df).collect() if r.doc_id == 101]
+    missed = [i for i in range(10) if not any(r.source_doc_id == 100 and r.start_word <= 110 * i and r.end_word >= 110 * i + 50 for r in got)]
+    assert not missed
+
+
 def test_token_counts_brute():
     model = token_counts.Unigram(["▁", "▁a", "a", "b", "ab", "▁ab", "bab", "c"])
     rng = random.Random(0)

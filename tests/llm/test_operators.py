@@ -374,21 +374,51 @@ def test_alignment_brute():
 def test_lm_scores(spark):
     rng = random.Random(0)
     texts = [" ".join(rng.choice(("a b c", "d e f", "g h i")) for _ in range(30)) + f" rare{i}" for i in range(60)]
-    docs = spark.createDataFrame([*enumerate(texts), (60, None), (61, ""), (61, "")], "doc_id long, text string")
-    train = docs.where("doc_id % 5 <> 1")
-    out = recurrent_lm.lm_scores(docs, train, vocabulary=16, head=20, passes=30).collect()
-    assert len(out) == 63
+    rows = [*enumerate(texts), (60, None), (61, ""), (61, ""), (None, "a B c"), (2**53 + 1, "a")]
+    docs = spark.createDataFrame([(i, t, t, "x") for i, t in rows], "doc_id long, text string, copy string, score string")
+    train = docs.where("doc_id % 5 <> 1 and doc_id < 100")
     counts = Counter()
-    for i, t in [*enumerate(texts), (60, None), (61, ""), (61, "")]:
-        if i % 5 != 1:
+    for i, t in rows:
+        if i is not None and i % 5 != 1 and i < 100:
             counts.update(recurrent_lm.tokens_of(t))
     n, v = sum(counts.values()), len(counts)
-    for r in out:
-        tokens = recurrent_lm.tokens_of(r.text)
-        assert r.n_tokens == len(tokens) and r.n_known == sum(counts[t] > 0 for t in tokens) and r.train_tokens == n
-        assert math.isclose(r.base_score, sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens), abs_tol=1e-6)
-    held = [r for r in out if r.doc_id % 5 == 1 and r.doc_id < 60]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    for head in (1 << 18, 20):
+        out = recurrent_lm.lm_scores(docs, train, vocabulary=16, head=head, rounds=2).collect()
+        assert len(out) == len(rows) and {r.doc_id for r in out} == {i for i, _ in rows}
+        for r in out:
+            tokens = recurrent_lm.tokens_of(r["copy"])
+            assert r.n_tokens == len(tokens) and r.n_known == sum(counts[t] > 0 for t in tokens) and r.train_tokens == n
+            assert math.isclose(r.base_score, sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens), abs_tol=1e-6)
+    none = recurrent_lm.lm_scores(docs, train.limit(0)).collect()
+    assert len(none) == len(rows) and all(r.n_known == r.train_tokens == 0 and math.isclose(r.base_score, 0, abs_tol=1e-9) for r in none)
+    assert recurrent_lm.lm_scores(docs.limit(0), train).count() == 0
+
+
+def test_lm_beats_unigrams_on_held_out_documents(spark):
+    out = recurrent_lm.op10_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out")
+    r = out.agg(F.sum("score").alias("net"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
+    assert r.net > r.base + 0.05 * r.n
+
+
+def test_gru_gradient_against_differences():
+    net = recurrent_lm.Gru(10, hidden=4, size=4, seed=1)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    rng = np.random.default_rng(0)
+    x, y, h = rng.integers(0, 10, (5, 3)), rng.integers(0, 10, (5, 3)), rng.standard_normal((3, 4)) * 0.1
+    x[2, 1] = 0
+    grads, _, _ = net.gradient(x, y, h)
+    for k, w in net.w.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in w.shape)
+            if k == "ob" and at[0] * 4 + at[1] >= 10:
+                continue
+            old, e = w[at], 1e-5
+            w[at] = old + e
+            up = net.gradient(x, y, h)[1]
+            w[at] = old - e
+            down = net.gradient(x, y, h)[1]
+            w[at] = old
+            assert math.isclose(grads[k][at], (up - down) / (2 * e), rel_tol=1e-4, abs_tol=1e-6), (k, at)
 
 
 def test_gru_gradient_and_state():

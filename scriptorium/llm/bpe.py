@@ -6,22 +6,33 @@ have changed meanwhile are stale and skipped. Decoding concatenates the vocabula
 
 from __future__ import annotations
 
-import heapq
 import json
+import re
 from array import array
-from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, table
+from .common import in_python, table
 
 #: The byte-level pattern for pre-tokens of the vocabulary's publisher.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pre-tokens kept with their ids in a worker; the table starts anew when full.
-CACHED = 150_000
+#: Pre-tokens kept with their ids in a worker: two tables of half as many, of which the older goes when the younger is full.
+CACHED = 400_000
+
+
+def _unlike_class() -> str:
+    """Characters that the standard library's classes sort otherwise than the pattern, and all from U+0700 on but for general punctuation."""
+    pairs = [(re.compile(a), regex.compile(b)) for a, b in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\p{White_Space}"), (r"\w", r"[\p{L}\p{N}_]"))]
+    odd = [c for c in map(chr, [*range(0x700), *range(0x2000, 0x2070)]) if any(bool(a.match(c)) != bool(b.match(c)) for a, b in pairs)]
+    return "[" + "".join(map(re.escape, odd)) + "\u0700-\u1fff\u2070-\U0010ffff]"
+
+
+#: The pattern in terms of the standard library, which is faster, for texts without such characters.
+_unlike = re.compile(_unlike_class()).search
+_find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 
 
 def byte_letters() -> list[str]:
@@ -40,53 +51,71 @@ class Bpe:
         self.byte_id = [vocab[c] for c in letters]
         back = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        self.strings = {i: bytes(back[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        strings = {i: bytes(back[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.strings = [strings.get(i, b"") for i in range(max(strings, default=-1) + 1)]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.pairs = [vocab[a] << 32 | vocab[b] for a, b in merges]
-        self.made = [vocab[a + b] for a, b in merges]
-        self.rank = {p: r for r, p in reversed(list(enumerate(self.pairs)))}
+        #: What a pair of symbols becomes, with the merge's rank above it in one number; of equal pairs the first merge counts.
+        self.merged = {vocab[a] << 32 | vocab[b]: r << 32 | vocab[a + b] for r, (a, b) in reversed(list(enumerate(merges)))}
+        #: The same for two bytes.
+        self.first = [self.merged.get(self.byte_id[a] << 32 | self.byte_id[b], -1) for a in range(256) for b in range(256)]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.find = regex.compile(PRE_TOKEN).findall
         self.at_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def merge(self, raw: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token. A queue entry is the merge's rank, the place of its left symbol and that merge's outcome; it is stale if the pair there has another outcome by now."""
         sym = [self.byte_id[b] for b in raw]
-        n, rank, pairs, made = len(sym), self.rank.get, self.pairs, self.made
-        queue = [r << 32 | i for i in range(n - 1) if (r := rank(sym[i] << 32 | sym[i + 1])) is not None]
+        first, known = self.first, self.merged.get
+        queue = [(m >> 32) << 32 | i for i, (a, b) in enumerate(zip(raw, raw[1:])) if (m := first[a << 8 | b]) >= 0]
         if not queue:
             return sym
+        n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heapq.heapify(queue)
-        push, pop = heapq.heappush, heapq.heappop
+        heapify(queue)
         while queue:
-            top = pop(queue)
-            r, i = top >> 32, top & 0xFFFFFFFF
+            top = heappop(queue)
+            i = top & 0xFFFFFFFF
             j = after[i]
-            if sym[i] < 0 or j >= n or sym[i] << 32 | sym[j] != pairs[r]:
-                continue  # stale
-            new = made[r]
+            if j >= n or sym[i] < 0:
+                continue
+            m = known(sym[i] << 32 | sym[j], -1)
+            if m >> 32 != top >> 32:
+                continue
+            new = m & 0xFFFFFFFF
             sym[i], sym[j] = new, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank(new << 32 | sym[k])) is not None:
-                    push(queue, r << 32 | i)
+                m = known(new << 32 | sym[k], -1)
+                if m >= 0:
+                    heappush(queue, (m >> 32) << 32 | i)
             h = before[i]
-            if h >= 0 and (r := rank(sym[h] << 32 | new)) is not None:
-                push(queue, r << 32 | h)
+            if h >= 0:
+                m = known(sym[h] << 32 | new, -1)
+                if m >= 0:
+                    heappush(queue, (m >> 32) << 32 | h)
         return [s for s in sym if s >= 0]
 
+    def _ids(self, word: str) -> bytes:
+        """Of a pre-token that the younger table doesn't hold."""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.merge(word.encode())).tobytes()
+        if len(word) <= 64:
+            if 2 * len(self.cache) >= CACHED:
+                self.older, self.cache = self.cache, {}
+            self.cache[word] = ids
+        return ids
+
     def _plain(self, text: str, out: list[bytes]) -> None:
-        cache = self.cache
-        for word in self.find(text):
-            ids = cache.get(word)
+        words = (self.find if _unlike(text) else _find)(text)
+        get = self.cache.get
+        for word in words:
+            ids = get(word)
             if ids is None:
-                ids = array("I", self.merge(word.encode())).tobytes()
-                if len(word) <= 64:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    cache[word] = ids
+                ids = self._ids(word)
+                get = self.cache.get
             out.append(ids)
 
     def encode(self, text: str) -> bytes:
@@ -130,16 +159,13 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "tex
     size (one file of fixed size) is what is broadcast.
     """
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(tokenizer_path))
-    keep = docs.drop("token_ids", "n_tokens", "decoded")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list) -> tuple:
         bpe = codec(tokenizer_path, spec)
-        for frame in in_slices(frames):
-            ids = [bpe.encode(t or "") for t in frame[text_col]]
-            yield frame.assign(token_ids=ids, n_tokens=[len(x) // 4 for x in ids], decoded=[bpe.decode(x) for x in ids])
+        ids = [bpe.encode(t or "") for t in texts]
+        return ids, [len(x) // 4 for x in ids], [bpe.decode(x) for x in ids]
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields)
-    return keep.mapInPandas(run, f"{out}, token_ids binary, n_tokens long, decoded string")
+    return in_python(docs, [text_col], "token_ids binary, n_tokens long, decoded string", work)
 
 
 def default_path() -> str:

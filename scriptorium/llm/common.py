@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,11 +68,25 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def in_slices(frames: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
-    """Smaller frames, so that what a task returns at once stays small."""
-    for frame in frames:
-        for at in range(0, len(frame), rows):
-            yield frame.iloc[at : at + rows]
+def in_python(docs: DataFrame, columns: list[str], new: str, work: Callable[..., tuple], rows: int = 256) -> DataFrame:
+    """docs with new columns (a DDL string) that work(values of each of `columns`) gives as a tuple of lists, some rows at a time.
+
+    Other columns go through as Arrow data, so their nulls, large integers and nested values stay what they are. Columns named
+    like the new ones are replaced, unless work reads them.
+    """
+    added = StructType.fromDDL(new)
+    names = [f.name for f in added.fields]
+    kept = docs.drop(*[n for n in names if n not in columns])
+    types = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                got = work(*[part.column(c).to_pylist() for c in columns])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, t) for v, t in zip(got, types, strict=True))], names=[*part.schema.names, *names])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *added.fields]))
 
 
 def remainder(col: str = "doc_id", by: int = 5):

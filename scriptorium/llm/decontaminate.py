@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import table
 
@@ -167,7 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, least_seeds: int
     empty table; other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long"
     out = spark.createDataFrame([], schema)
     total = benchmark.count()
@@ -183,16 +185,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, least_seeds: int
 
 def _leaks(texts: DataFrame, items: Items, least_seeds: int, least_score: float, schema: str) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(items)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 rows += [(doc_id, *x) for x in scan(own, *own.document(text), least_seeds, least_score)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], names=arrow.names)
 
-    return texts.mapInPandas(find, schema)
+    return texts.mapInArrow(find, schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

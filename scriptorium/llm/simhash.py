@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, lower_ascii, table, words_of
+from .common import components, cut, in_python, lower_ascii, table, words_of
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Buckets with more distinct fingerprints are refined; a bucket refined twice has at most 2^8 or so.
@@ -48,14 +48,7 @@ def _hash(shingle: str, _h=xxhash.xxh64_intdigest) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Adds fp (long) to docs(.., text)."""
-    kept = docs.drop("fp")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(fp=np.fromiter((fingerprint(t) for t in frame["text"]), np.int64, len(frame)))
-
-    return kept.mapInPandas(run, f"{schema}, fp long")
+    return in_python(docs, ["text"], "fp long", lambda texts: ([fingerprint(t) for t in texts],))
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:

@@ -8,12 +8,9 @@ ends hold its number of tokens. A text's count is the sum over its words.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import in_slices, table, words_of
+from .common import in_python, table, words_of
 
 #: Trie nodes of a worker before it starts anew; longer words are scored without leaving nodes.
 MAX_NODES, MAX_WORD = 1_000_000, 64
@@ -108,16 +105,13 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     the new ones are replaced; an empty table gives an empty table. The vocabulary (one file of fixed size) is broadcast.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary_path))
-    kept = docs.drop("n_tokens", "n_words")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list) -> tuple:
         model = model_of(vocabulary_path, pieces)
-        for frame in in_slices(frames):
-            words = [words_of(t) for t in frame["text"]]
-            yield frame.assign(n_tokens=[sum(map(model.count, w)) for w in words], n_words=[len(w) for w in words])
+        words = [words_of(t) for t in texts]
+        return [sum(map(model.count, w)) for w in words], [len(w) for w in words]
 
-    return kept.mapInPandas(run, f"{schema}, n_tokens long, n_words long")
+    return in_python(docs, ["text"], "n_tokens long, n_words long", work)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:

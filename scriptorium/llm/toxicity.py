@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remainder, table
+from .common import cut, in_python, remainder, table
 
 #: Letters of other scripts that look like a Latin letter.
 LOOK_ALIKE = {
@@ -39,14 +39,15 @@ _fold_table = str.maketrans(LOOK_ALIKE)
 _in_word = regex.compile(r"(?<=\p{L})[0134578@$!9]+(?=\p{L})|(?<![\p{L}\d])[01345789@$](?=\p{L}{2})|(?<=\p{L}{2})[013457@$](?![\p{L}\d])")
 _stand_in = str.maketrans(STAND_IN)
 _word = regex.compile(r"\p{L}+").findall
-_marks = regex.compile(r"\p{Mn}+")
+_marks = regex.compile(r"\p{Mn}+|[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 
 def fold(text: str) -> str:
     """Lower case, compatibility forms and look-alikes undone, digits and signs inside words read as letters, no invisible marks."""
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.replace("­", "").replace("​", "").replace("‍", "")).translate(_fold_table)
+        text = _marks.sub("", unicodedata.normalize("NFKD", text))
+        text = unicodedata.normalize("NFC", text).translate(_fold_table)
     return _in_word.sub(lambda m: m[0].translate(_stand_in), text)
 
 
@@ -145,24 +146,20 @@ def features(docs: DataFrame, lexicon: dict[str, float], exceptions=EXCEPTIONS)
     """Adds n_words, hit_weight (sum of weights), heaviest, hit_density (sum by length) and hits (the matched terms, in order) to docs(.., text)."""
     sc = docs.sparkSession.sparkContext
     sent, key = sc.broadcast(lexicon), f"{hash(frozenset(lexicon.items()))}-{len(lexicon)}-{exceptions}"
-    kept = docs.drop("n_words", "hit_weight", "hit_density", "heaviest", "hits")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list) -> tuple:
         m = matcher(key, sent.value, exceptions)
-        for frame in frames:
-            n, total, most, hits = [], [], [], []
-            for text in frame["text"]:
-                words = folded_words(text)
-                found = m.hits(words)
-                n.append(len(words))
-                total.append(float(sum(w for _, _, w in found)))
-                most.append(max((w for _, _, w in found), default=0.0))
-                hits.append([t.strip() for _, t, _ in found])
-            out = frame.assign(n_words=n, hit_weight=total, heaviest=most, hits=hits)
-            yield out.assign(hit_density=out["hit_weight"] / np.log2(2.0 + out["n_words"]))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(run, f"{schema}, n_words long, hit_weight double, heaviest double, hits array<string>, hit_density double")
+        n, total, most, hits = [], [], [], []
+        for text in texts:
+            words = folded_words(text)
+            found = m.hits(words)
+            n.append(len(words))
+            total.append(math.fsum(w for _, _, w in found))
+            most.append(max((w for _, _, w in found), default=0.0))
+            hits.append([t.strip() for _, t, _ in found])
+        return n, total, most, hits, [w / math.log2(2.0 + k) for w, k in zip(total, n, strict=True)]
+
+    return in_python(docs, ["text"], "n_words long, hit_weight double, heaviest double, hits array<string>, hit_density double", work)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> list[float]:

@@ -15,7 +15,9 @@ MARKS = "ًٌٍَُِّْٰـ"
 ALEF = "أإآٱ"
 BIDI = "​‌‍‎‏‪‫‬‭‮⁦⁧⁨⁩﻿"
 PREFIXES = ("وال", "بال", "كال", "فال", "لل", "ال", "و")
-SUFFIXES = ("هما", "ات", "ان", "ون", "ين", "ها", "هم", "ية", "يه", "ه", "ة", "ي")
+SUFFIXES = ("ها", "ات", "ان", "ون", "ين", "يه", "ه", "ي")
+#: Letters that look alike, and the letters that stand for them.
+LOOK_ALIKES, LOOKED_LIKE = "ھہۀۃیۍک", "هههةييك"
 TATWEEL = "ـ"
 
 
@@ -54,8 +56,8 @@ def without_controls(c: Column) -> Column:
 
 
 def clean_letters(c: Column) -> Column:
-    """Drop direction marks, map look-alike Persian letters, Persian to Arabic-Indic digits."""
-    return F.translate(c, "یک" + PERSIAN_DIGITS + BIDI, "يك" + ARABIC_DIGITS)
+    """Drop direction marks, map look-alike letters, Persian to Arabic-Indic digits."""
+    return F.translate(c, LOOK_ALIKES + PERSIAN_DIGITS + BIDI, LOOKED_LIKE + ARABIC_DIGITS)
 
 
 def light_stem(c: Column) -> Column:

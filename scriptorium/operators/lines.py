@@ -111,8 +111,8 @@ def quality_metrics(docs: DataFrame, script: str = r"؀-ۿ", other: str = "A-Za-
         "doc_id",
         (wanted / F.greatest(letters, F.lit(1))).alias("script_ratio"),
         (1 - F.size(F.filter(ls, lambda x: F.length(F.trim(x)) < 3)) / n).alias("line_ratio"),
-        (F.regexp_count(c, F.lit("[�■□¤]")) / F.greatest(F.length(c), F.lit(1))).alias("bad"),
-        (F.size(F.filter(ls, lambda x: F.trim(x).rlike(r"^[0-9]+$"))) / n).alias("fragments"),
+        (F.regexp_count(c, F.lit("[�□¿⸻]")) / F.greatest(F.length(c), F.lit(1))).alias("bad"),
+        (F.size(F.filter(ls, lambda x: F.length(F.trim(x)) < 3)) / n).alias("fragments"),
     )
     q = clamp(100 * (0.55 * F.col("script_ratio") + 0.30 * F.col("line_ratio") - 20 * F.col("bad") - 0.15 * F.col("fragments")))
     return base.withColumn("quality", F.round(q, 1)).withColumn("risk", F.round(100 - q, 1))

@@ -16,7 +16,7 @@ def readability_flags(files: DataFrame, least: int = 20, forms: float = 0.15) ->
     n = F.length(F.trim(F.coalesce("text", F.lit(""))))
     status = F.coalesce("read_status", F.lit(""))
     readable = (n >= least) & ~status.isin("error", "needs_ocr")
-    shaped = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[ﭐ-﷿ﹰ-ﻼ]")) / F.greatest(n, F.lit(1))
+    shaped = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[ﭐ-﷿ﹰ-ﻼ]")) / F.greatest(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")), F.lit(1))
     image = F.lower(F.coalesce("fileExtension", F.lit(""))).isin("jpg", "jpeg", "png", "tif", "tiff", "pdf")
     return files.withColumns({"readable": readable, "needs_ocr": (status == "needs_ocr") | (image & ~readable), "orientation": F.when(shaped > forms, "visual").otherwise("logical")})
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import file_id
 from scriptorium.operators import extract, lines, package, pairs, registers, repair, reports, search
+from scriptorium.plans import casework
 from scriptorium.streaming import incremental
 
 #: (label, pattern, ord)
@@ -58,7 +59,7 @@ def distortion_scores(spark, d):
 
 def quality_metrics(spark, d):
     q = lines.quality_metrics(_t(spark, d, "documents"), script="A-Za-z", other="0-9")
-    return q.select("doc_id", F.round("script_ratio", 6).alias("script_ratio"), F.round("line_ratio", 6).alias("line_ratio"))
+    return q.select("doc_id", F.round("script_ratio", 6).alias("script_ratio"), F.round("line_ratio", 6).alias("line_ratio"), F.round("fragments", 6).alias("fragments"))
 
 
 def doc_type_rules(spark, d):
@@ -321,7 +322,7 @@ ORACLE_SQL = {
     "header_repeats": f"SELECT doc_id, norm, count(*) AS times, min(line_no) AS first_line FROM (SELECT doc_id, line_no, trim(lower(line)) AS norm FROM ({_LINES})) WHERE length(norm) >= 8 GROUP BY doc_id, norm HAVING count(*) >= 2",
     "boilerplate_lines": f"SELECT norm, count(*) AS docs FROM (SELECT DISTINCT doc_id, trim(lower(line)) AS norm FROM ({_LINES})) WHERE length(norm) BETWEEN 6 AND 80 GROUP BY norm HAVING count(*) >= 3",
     "distortion_scores": "SELECT doc_id, symbols, fragments, round((3 * symbols + fragments) / greatest(1.0, length(text) / 500.0), 4) AS score FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[*%&$#]')) AS symbols, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) BETWEEN 1 AND 2)) AS fragments FROM documents)",
-    "quality_metrics": "SELECT doc_id, round(len(regexp_extract_all(text, '[A-Za-z]')) / greatest(len(regexp_extract_all(text, '[A-Za-z0-9]')), 1), 6) AS script_ratio, round(1 - len(list_filter(ls, lambda x: length(trim(x)) < 3)) / greatest(len(ls), 1), 6) AS line_ratio FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)",
+    "quality_metrics": "SELECT doc_id, round(len(regexp_extract_all(text, '[A-Za-z]')) / greatest(len(regexp_extract_all(text, '[A-Za-z0-9]')), 1), 6) AS script_ratio, round(1 - len(list_filter(ls, lambda x: length(trim(x)) < 3)) / greatest(len(ls), 1), 6) AS line_ratio, round(len(list_filter(ls, lambda x: length(trim(x)) < 3)) / greatest(len(ls), 1), 6) AS fragments FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)",
     "doc_type_rules": f"SELECT d.doc_id, coalesce(arg_min(r.label, (CASE WHEN contains(lower(d.source), r.pattern) THEN 0 ELSE 1 END) * 100 + r.ord), 'unclassified') AS doc_type FROM documents d LEFT JOIN {_values(TYPE_RULES)} ON contains(lower(d.source), r.pattern) OR contains(lower(d.text), r.pattern) GROUP BY d.doc_id",
     "segment_rules": f"SELECT doc_id, label, string_agg(pattern, ',' ORDER BY pattern) AS keywords FROM documents JOIN {_values(SEGMENTS)} ON contains(lower(text), pattern) GROUP BY doc_id, label",
     "long_numbers": _NUMBERS,
@@ -385,4 +386,5 @@ ORACLE_SQL |= {
 
 #: These read each text in order or page by page and have no SQL; test_repair.py holds them against fixtures.
 NO_SQL = ("header_zones", "paragraphs")
-QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)}
+QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)} | casework.QUERIES
+ORACLE_SQL |= casework.ORACLE_SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,11 +43,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder in spark.checkpoint.dir (one of our own only where it is unset) and read back."""
+    """Write once to the shared folder in spark.checkpoint.dir (one of our own only in a local session where it is unset) and read back."""
     spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = sc._scriptorium_tables = getattr(sc, "_scriptorium_tables", None) or tempfile.mkdtemp(prefix="spark-")
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)

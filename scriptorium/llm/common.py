@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,10 +41,12 @@ def words_of(text: str) -> list[str]:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and cut tables; one of our own only where the session names none."""
+    """The shared folder for checkpoints and cut tables; one of our own only in a local session that names none."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(sc, "_scriptorium_dir", None) or tempfile.mkdtemp(prefix="spark-")
         sc._scriptorium_dir = folder
     if sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage. SQL cannot express them whole, so tests hold them against brute force."""
+"""The registered queries of this subpackage. SQL cannot express them whole; tests/llm holds them against brute force, a library, round trips or held-out accuracy, as far as the README says."""
 
 from __future__ import annotations
 

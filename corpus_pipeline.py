@@ -58,7 +58,7 @@ STAGES = [
     ("bpe_encoding", encode),
 ]
 
-#: SQL has neither fitted lexicons nor fingerprints, alignments or merges; run() is tested against a brute-force version.
+#: SQL has neither fitted lexicons nor fingerprints, alignments or merges; tests/llm/test_pipeline.py holds each stage against its rule, the first but for its scores.
 ORACLE_SQL = None
 
 

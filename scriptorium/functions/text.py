@@ -35,6 +35,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without blanks, tabs and line ends at either end."""
+    return F.trim(c, F.lit(" \t\r\n\x0b\f"))
+
+
 def search_form(c: Column) -> Column:
     """No marks, one form of each letter, lower case; the length changes only by the marks."""
     return F.lower(F.translate(ascii_digits(c), ALEF + "ىةؤئ" + MARKS, "اااا" + "يهوي"))

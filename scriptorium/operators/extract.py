@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import ascii_digits
+from scriptorium.functions.text import ascii_digits, audit_form
 
 #: No letter, digit or underscore beside a match.
 _L, _R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 HIJRI = rf"{_L}(?:\d{{1,2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*1[34]\d{{2}}|1[34]\d{{2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*\d{{1,2}}){_R}"
 GREGORIAN = rf"{_L}(?:\d{{1,2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*(?:19|20)\d{{2}}|(?:19|20)\d{{2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*\d{{1,2}}){_R}"
-AMOUNT = r"(\d[\d,.]*)\s*(?:ريال|دولار|SAR|USD|EUR)"
+#: A number before a currency or after a cue word, and words that multiply it, all in the normal form of audit_form.
+MONEY = r"([0-9][0-9.,٬]{2,})\s*(?:ريالا?|ر\.?س\.?|دولار|SAR|USD|EUR)"
+CUE = r"(?:مبلغ|قدره|وقدره|بمبلغ|قيمته|بقيمه)\s*([0-9][0-9.,٬]{2,})"
+MAGNITUDES = {"مليون": 1_000_000, "ملايين": 1_000_000, "الف": 1_000, "الاف": 1_000, "مليار": 1_000_000_000}
 #: Lexicons up to so many rows are sent to all tasks; larger ones are left to the planner.
 LEXICON_ROWS = 10_000
+#: Rule lists up to so many rows become constants of one expression, so that each text is read once and nothing is joined.
+RULE_ROWS = 500
 
 
 def small(lexicon: DataFrame, most: int = LEXICON_ROWS) -> DataFrame:
@@ -21,6 +28,18 @@ def small(lexicon: DataFrame, most: int = LEXICON_ROWS) -> DataFrame:
     return F.broadcast(lexicon) if lexicon.limit(most + 1).count() <= most else lexicon
 
 
+def rule_rows(rules: DataFrame) -> list[Row] | None:
+    """The rows of a short rule list; None if it is longer than RULE_ROWS."""
+    rows = rules.limit(RULE_ROWS + 1).collect()
+    return rows if len(rows) <= RULE_ROWS else None
+
+
+def constants(rows: Sequence[tuple[str, ...]], *names: str) -> Column:
+    """An array of structs of strings as a constant."""
+    kind = "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]).cast(kind)
+
+
 def entities(docs: DataFrame, kind: str, values: Column) -> DataFrame:
     """The long form (doc_id, kind, value) of an array column."""
     return docs.select("doc_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(values)).alias("value"))
@@ -34,32 +53,71 @@ def dates(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_digits(text), F.lit(pattern), F.lit(0)))
 
 
-def extract_amounts(docs: DataFrame) -> DataFrame:
-    """(doc_id, amount_key, amount_value): keys are digits only, of 4 to 13 digits; values as written."""
-    raw = docs.select("doc_id", F.explode(F.regexp_extract_all(ascii_digits(F.col("text")), F.lit(AMOUNT), F.lit(1))).alias("raw"))
-    out = raw.select("doc_id", F.regexp_replace("raw", r"\D", "").alias("amount_key"), F.expr("try_cast(regexp_replace(rtrim('.,', raw), ',', '') AS decimal(20,2))").alias("amount_value"))
-    return out.where(F.length("amount_key").between(4, 13)).dropDuplicates(["doc_id", "amount_key"])
+def extract_amounts(docs: DataFrame, money: str = MONEY, cue: str = CUE, magnitudes: dict[str, int] = MAGNITUDES, reach: int = 12) -> DataFrame:
+    """(doc_id, amount_key, amount_value, scaled_value, shown): numbers with a currency or after a cue word (group 1 of each pattern).
+
+    Keys are digits only, of 4 to 13 digits, or fewer where one of the magnitudes stands within `reach` characters after;
+    scaled_value is multiplied by it, amount_value is as written. Of equal keys of a document the largest values stand.
+    """
+    text = docs.select("doc_id", audit_form(F.col("text")).alias("t"))
+
+    def found(pattern: str) -> Column:
+        both = [F.regexp_extract_all("t", F.lit(rf"(?:{pattern})(?=((?s:.{{0,{reach}}})))"), F.lit(g)) for g in (1, 2)]
+        return F.zip_with(*both, lambda raw, after: F.struct(raw.alias("raw"), after.alias("after")))
+
+    rows = text.select("doc_id", F.explode(F.concat(found(money), found(cue))).alias("a")).select("doc_id", "a.*")
+    factor = F.lit(1).cast("long")
+    for word, by in magnitudes.items():
+        factor = F.when(F.contains("after", F.lit(word)), F.greatest(factor, F.lit(by).cast("long"))).otherwise(factor)
+    key = F.regexp_replace("raw", "[^0-9]", "")
+    value = F.expr("try_cast(regexp_replace(rtrim('.,', raw), '[,٬]', '') AS decimal(20,2))")
+    kept = rows.select("doc_id", key.alias("amount_key"), value.alias("v"), factor.alias("f")).where(F.length("amount_key").between(1, 13) & ((F.length("amount_key") >= 4) | (F.col("f") > 1)))
+    one = kept.groupBy("doc_id", "amount_key").agg(F.max("v").alias("amount_value"), F.max((F.col("v") * F.col("f")).cast("decimal(32,2)")).alias("scaled_value"))
+    return one.withColumn("shown", F.format_number(F.col("amount_key").cast("long"), 0))
 
 
 def match_aliases(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, kind, label): a pattern stands in the text, forward or reversed."""
-    hit = F.contains("text", "pattern") | F.contains(F.reverse("text"), F.col("pattern"))
-    return docs.select("doc_id", "text").join(small(lexicon), hit).select("doc_id", "kind", "label").distinct()
+    """(doc_id, kind, label): a pattern stands in the text, forward or reversed. Ids are unique."""
+    rows = rule_rows(lexicon.select("kind", "label", "pattern").where("pattern is not null"))
+    if rows is None:
+        hit = F.contains("text", "pattern") | F.contains(F.reverse("text"), F.col("pattern"))
+        return docs.select("doc_id", "text").join(small(lexicon), hit).select("doc_id", "kind", "label").distinct()
+    ways = constants(sorted({(r.kind, r.label, p) for r in rows for p in (r.pattern, r.pattern[::-1])}, key=str), "kind", "label", "pattern")
+    hits = F.filter(ways, lambda e: F.contains(F.col("text"), e["pattern"]))
+    labels = F.array_distinct(F.transform(hits, lambda e: F.struct(e["kind"].alias("kind"), e["label"].alias("label"))))
+    return docs.select("doc_id", F.explode(labels).alias("l")).select("doc_id", "l.kind", "l.label")
 
 
 def classify_type(docs: DataFrame, rules: DataFrame, generic: list[str] = (), rest: str = "unclassified") -> DataFrame:
     """The first rule (by ord) whose pattern is in the title, else the first whose pattern, no generic one, is in the text."""
-    title = F.contains(F.lower("title"), "pattern")
-    body = F.contains(F.lower("text"), "pattern") & ~F.col("pattern").isin(list(generic))
-    hits = docs.select("doc_id", "title", "text").join(small(rules), title | body)
-    best = hits.groupBy("doc_id").agg(F.min_by("label", F.struct((~title).cast("int"), F.col("ord"))).alias("doc_type"))
-    return docs.select("doc_id").join(best, "doc_id", "left").fillna(rest, ["doc_type"])
+    rows = rule_rows(rules.select("label", "pattern", "ord").where("pattern is not null"))
+    if rows is None:
+        title = F.contains(F.lower("title"), "pattern")
+        body = F.contains(F.lower("text"), "pattern") & ~F.col("pattern").isin(list(generic))
+        hits = docs.select("doc_id", "title", "text").join(small(rules), title | body)
+        best = hits.groupBy("doc_id").agg(F.min_by("label", F.struct((~title).cast("int"), F.col("ord"))).alias("doc_type"))
+        return docs.select("doc_id").join(best, "doc_id", "left").fillna(rest, ["doc_type"])
+    order = sorted(rows, key=lambda r: r.ord)
+    first = lambda c, rs: F.get(F.filter(constants([(r.label, r.pattern) for r in rs], "label", "pattern"), lambda e: F.contains(c, e["pattern"])), F.lit(0))["label"]
+    low = docs.select("doc_id", F.lower("title").alias("_title"), F.lower("text").alias("_text"))
+    return low.select("doc_id", F.coalesce(first(F.col("_title"), order), first(F.col("_text"), [r for r in order if r.pattern not in generic]), F.lit(rest)).alias("doc_type"))
 
 
 def classify_segments(docs: DataFrame, rules: DataFrame, most: int = 8) -> DataFrame:
-    """(doc_id, label, keywords): the keywords of each class that a text holds."""
-    hits = docs.select("doc_id", F.lower("text").alias("low")).join(small(rules), F.contains("low", "pattern"))
-    return hits.groupBy("doc_id", "label").agg(F.slice(F.array_sort(F.collect_set("pattern")), 1, most).alias("keywords"))
+    """(doc_id, label, keywords): the keywords of each class that a text holds. Ids are unique."""
+    rows = rule_rows(rules.select("label", "pattern").where("pattern is not null"))
+    if rows is None:
+        hits = docs.select("doc_id", F.lower("text").alias("low")).join(small(rules), F.contains("low", "pattern"))
+        return hits.groupBy("doc_id", "label").agg(F.slice(F.array_sort(F.collect_set("pattern")), 1, most).alias("keywords"))
+    words: dict[str, set[str]] = {}
+    for r in rows:
+        words.setdefault(r.label, set()).add(r.pattern)
+    held = lambda ps: F.slice(F.filter(F.array(*[F.lit(p) for p in sorted(ps)]), lambda p: F.contains(F.col("low"), p)), 1, most)
+    classes = F.array(*[F.struct(F.lit(label).alias("label"), held(ps).alias("keywords")) for label, ps in words.items()])
+    if not words:
+        classes = F.array().cast("array<struct<label:string,keywords:array<string>>>")
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    return low.select("doc_id", F.explode(classes).alias("c")).where(F.size("c.keywords") > 0).select("doc_id", "c.label", "c.keywords")
 
 
 def importance(docs: DataFrame, key_types: list[str]) -> DataFrame:

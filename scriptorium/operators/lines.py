@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import clamp, line_form
+from scriptorium.functions.text import clamp, line_form, nfkc, strip
+from scriptorium.operators.package import highlights
 
 PAGE_MARK = r"\[صفحة\s*([0-9٠-٩]+)\]"
 
@@ -88,34 +91,41 @@ def blank_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.length(F.regexp_replace("text", r"[\s\p{N}\p{P}]+", "")) < 3)
 
 
-def distortion(docs: DataFrame) -> DataFrame:
-    """Bad symbols, characters four times in a row and fragment lines, and a score by length."""
-    c = F.col("text")
+def distortion(docs: DataFrame, symbols: str = "[�■□¤]") -> DataFrame:
+    """Bad symbols, characters four times in a row and fragment lines, a score by length, and the issues found (fragments from six on)."""
+    c = F.coalesce("text", F.lit(""))
     parts = docs.select(
-        "doc_id", "text",
-        F.regexp_count(c, F.lit("[�■□¤]")).alias("symbols"),
+        "doc_id", F.length(c).alias("_n"),
+        F.regexp_count(c, F.lit(symbols)).alias("symbols"),
         F.regexp_count(c, F.lit(r"([^\s])\1{3,}")).alias("repeats"),
-        F.size(F.filter(F.split(c, "\n"), lambda x: F.length(F.trim(x)).between(1, 2))).alias("fragments"),
+        F.size(F.filter(F.split(c, "\n"), lambda x: F.length(strip(x)).between(1, 2))).alias("fragments"),
     )
-    score = (3 * F.col("symbols") + F.col("repeats") + F.col("fragments")) / F.greatest(F.lit(1.0), F.length("text") / 500)
-    return parts.select("doc_id", "symbols", "repeats", "fragments", F.round(score, 4).alias("score"))
-
-
-def quality_metrics(docs: DataFrame, script: str = r"؀-ۿ", other: str = "A-Za-z") -> DataFrame:
-    """Shares of the wanted script, regular lines, bad symbols and fragments; quality 0 to 100 and risk."""
-    c = F.col("text")
-    ls = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    wanted, letters = F.regexp_count(c, F.lit(f"[{script}]")), F.regexp_count(c, F.lit(f"[{script}{other}]"))
-    n = F.greatest(F.size(ls), F.lit(1))
-    base = docs.select(
-        "doc_id",
-        (wanted / F.greatest(letters, F.lit(1))).alias("script_ratio"),
-        (1 - F.size(F.filter(ls, lambda x: F.length(F.trim(x)) < 3)) / n).alias("line_ratio"),
-        (F.regexp_count(c, F.lit("[�□¿⸻]")) / F.greatest(F.length(c), F.lit(1))).alias("bad"),
-        (F.size(F.filter(ls, lambda x: F.length(F.trim(x)) < 3)) / n).alias("fragments"),
-    )
+    score = (3 * F.col("symbols") + F.col("repeats") + F.col("fragments")) / F.greatest(F.lit(1.0), F.col("_n") / 500)
+    issues = F.array_compact(F.array(F.when(F.col("symbols") > 0, "symbols"), F.when(F.col("repeats") > 0, "repeats"), F.when(F.col("fragments") > 5, "fragments")))
+    return parts.select("doc_id", "symbols", "repeats", "fragments", F.round(score, 4).alias("score"), issues.alias("issues"))
+
+
+def quality_metrics(docs: DataFrame, script: str = r"؀-ۿ", other: str = "A-Za-z", compatibility: bool = False) -> DataFrame:
+    """Counts and shares of the wanted script, other letters, bad symbols, short and number lines; quality 0 to 100 and risk.
+
+    `compatibility` turns presentation forms into letters first (a Python hop). No text counts as empty.
+    """
+    t = F.coalesce("text", F.lit(""))
+    count = lambda p: F.regexp_count("_t", F.lit(p))
+    size = lambda c: F.greatest(c, F.lit(1))
+    ls = docs.select("doc_id", (nfkc(t) if compatibility else t).alias("_t")).withColumn("_ls", F.filter(F.transform(F.split("_t", "\n"), strip), lambda x: x != ""))
+    n = ls.select(
+        "doc_id", F.length("_t").alias("chars"), F.size(F.filter(F.split("_t", r"\s+"), lambda x: x != "")).alias("words"), F.size("_ls").alias("_lines"),
+        count(f"[{script}]").alias("script_letters"), count(r"\p{L}").alias("_letters"), count("[�□¿⸻]").alias("bad_symbols"), count(f"[{script}][{other}]|[{other}][{script}]").alias("mixed"),
+        F.size(F.filter("_ls", lambda x: F.length(x) <= 2)).alias("short_lines"),
+        F.size(F.filter("_ls", lambda x: x.rlike(r"^[0-9٠-٩\s.\-_،|]+$"))).alias("number_lines"),
+    )
+    base = n.withColumns({
+        "other_letters": F.col("_letters") - F.col("script_letters"), "script_ratio": F.col("script_letters") / size(F.col("_letters")),
+        "line_ratio": 1 - F.col("short_lines") / size(F.col("_lines")), "bad": F.col("bad_symbols") / size(F.col("chars")), "fragments": F.col("short_lines") / size(F.col("_lines")),
+    })
     q = clamp(100 * (0.55 * F.col("script_ratio") + 0.30 * F.col("line_ratio") - 20 * F.col("bad") - 0.15 * F.col("fragments")))
-    return base.withColumn("quality", F.round(q, 1)).withColumn("risk", F.round(100 - q, 1))
+    return base.drop("_lines", "_letters").withColumn("quality", F.round(q, 1)).withColumn("risk", F.round(100 - q, 1))
 
 
 def run_groups(df: DataFrame, part: list[str], order: list[str], category: str) -> DataFrame:
@@ -125,13 +135,16 @@ def run_groups(df: DataFrame, part: list[str], order: list[str], category: str)
     return df.withColumn("_c", changed).withColumn("run_no", F.sum("_c").over(w)).drop("_c")
 
 
-def kwic(docs: DataFrame, term: str, before: int = 32, after: int = 40) -> DataFrame:
-    """Each occurrence of a term (letters and digits) with its context, without regard to case."""
-    low = F.lower(F.col("text"))
-    pieces = F.split(low, term.lower())
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * len(term))
-    hits = docs.where(F.contains(low, F.lit(term.lower()))).select("doc_id", "text", F.explode(ends).alias("pos"))
-    return hits.select("doc_id", "pos", F.substr("text", F.greatest(F.col("pos") + 1 - before, F.lit(1)), F.least(F.lit(before), F.col("pos")) + len(term) + after).alias("context"))
+def kwic(docs: DataFrame, terms: str | Sequence[str], before: int = 32, after: int = 40) -> DataFrame:
+    """(doc_id, pos, context, times): where docs(doc_id, text) hold a term as written or in look-alike letters, and how often.
+
+    Overlapping hits are one. Texts meet their hits by a join on unique ids.
+    """
+    hits = highlights(docs, [terms] if isinstance(terms, str) else list(terms))
+    pos, end = F.col("start_pos"), F.col("end_pos")
+    context = F.substr("text", F.greatest(pos + 1 - before, F.lit(1)).cast("int"), (F.least(F.lit(before), pos) + end - pos + after).cast("int"))
+    times = F.count("*").over(Window.partitionBy("doc_id"))
+    return hits.withColumn("times", times).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", pos.alias("pos"), context.alias("context"), "times")
 
 
 def page_estimate(text: Column, per_page: int = 1800) -> Column:

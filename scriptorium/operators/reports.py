@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import ascii_digits, hijri_key
-from scriptorium.operators.extract import small
+from scriptorium.operators.extract import constants, rule_rows, small
 
 
 def readability_flags(files: DataFrame, least: int = 20, forms: float = 0.15) -> DataFrame:
@@ -125,8 +125,14 @@ def milestones(docs: DataFrame, keywords: str, date: str = r"(\d{1,2}[-/]\d{1,2}
 
 def deed_register(deeds: DataFrame, docs: DataFrame) -> DataFrame:
     """(number, in_titles, in_texts, first_doc, status) for each known number, found or not."""
-    hit = docs.join(small(deeds), F.contains("title", "number") | F.contains("text", "number"))
-    found = hit.groupBy("number").agg(F.count_if(F.contains("title", F.col("number"))).alias("in_titles"), F.count_if(F.contains("text", F.col("number"))).alias("in_texts"), F.min("doc_id").alias("first_doc"))
+    rows = rule_rows(deeds.select("number").where("number is not null").distinct())
+    if rows is None:
+        hit = docs.join(small(deeds), F.contains("title", "number") | F.contains("text", "number")).select("doc_id", "number", F.contains("title", F.col("number")).alias("in_title"), F.contains("text", F.col("number")).alias("in_text"))
+    else:
+        seen = lambda e: F.struct(e["number"].alias("number"), F.contains(F.col("title"), e["number"]).alias("in_title"), F.contains(F.col("text"), e["number"]).alias("in_text"))
+        held = F.filter(F.transform(constants([(r.number,) for r in rows], "number"), seen), lambda e: e["in_title"] | e["in_text"])
+        hit = docs.select("doc_id", F.explode(held).alias("h")).select("doc_id", "h.*")
+    found = hit.groupBy("number").agg(F.count_if("in_title").alias("in_titles"), F.count_if("in_text").alias("in_texts"), F.min("doc_id").alias("first_doc"))
     out = deeds.join(found, "number", "left").fillna(0, ["in_titles", "in_texts"])
     return out.withColumn("status", F.when(F.col("in_titles") > 0, "document").when(F.col("in_texts") > 0, "mentioned").otherwise("missing"))
 
@@ -176,6 +182,71 @@ def select_weak(docs: DataFrame, threshold: float = 60.0, k: int = 50, targets:
 
 
 def master_table(docs: DataFrame, date: str = r"(\d{1,2}[-/]\d{1,2}[-/]\d{4}|\d{4}[-/]\d{1,2}[-/]\d{1,2})") -> DataFrame:
-    """One row for each document; the date is the title's, else the day of the last change."""
+    """One row for each document; the date is the title's, else the day of the last change. Where docs have them, repaired, text and summary give the text's origin, its length and the summary."""
     day = F.coalesce(F.nullif(F.regexp_extract("title", date, 1), F.lit("")), F.substring("modifiedTime", 1, 10))
-    return docs.select("id", "title", "doc_type", "parent_path", day.alias("date"), "fileExtension", "fileSize", "readable", "availability", "viewUrl")
+    given = lambda name, kind: F.col(name) if name in docs.columns else F.lit(None).cast(kind)
+    text = given("text", "string")
+    origin = F.when(given("repaired", "boolean"), "repaired").when(F.length(text) > 0, "logical").otherwise("none")
+    return docs.select(
+        "id", "title", "doc_type", "parent_path", day.alias("date"), "fileExtension", "fileSize", "readable", "availability", "viewUrl",
+        origin.alias("text_source"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"), F.coalesce(given("summary", "string"), F.lit("")).alias("summary"),
+    )
+
+
+def new_findings(docs: DataFrame, natures: dict[str, str], rest: str = "fact") -> DataFrame:
+    """(doc_id, nature, found): documents with known deeds, amounts or case numbers, in one line each (three amounts at most).
+
+    docs(doc_id, doc_type, deeds, amounts, cases) with arrays of strings; the nature comes from the type.
+    """
+    nature = F.lit(rest)
+    for doc_type, name in natures.items():
+        nature = F.when(F.col("doc_type") == doc_type, name).otherwise(nature)
+    part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(c, ", ")))
+    found = F.concat_ws(" | ", part("deeds", F.col("deeds")), part("amounts", F.slice("amounts", 1, 3)), part("cases", F.col("cases")))
+    return docs.select("doc_id", nature.alias("nature"), found.alias("found")).where("found <> ''")
+
+
+def summarize(docs: DataFrame, opening: int = 300) -> DataFrame:
+    """(doc_id, summary): type, parties, three courts, case and deed numbers, four amounts of at most ten digits, four dates and the text's opening.
+
+    docs(doc_id, doc_type, text, parties, courts, cases, deeds, amounts, dates), the last six arrays of strings. A tag in square
+    brackets before the opening goes; parts without content are left out.
+    """
+    part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(c, ", ")))
+    amounts = F.filter("amounts", lambda a: F.length(F.regexp_replace(a, "[^0-9]", "")) <= 10)
+    start = F.substring(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), r"^\[.*?\]\s*", ""), 1, opening)
+    return docs.select(
+        "doc_id",
+        F.concat_ws(
+            " | ", F.concat(F.lit("type: "), F.coalesce("doc_type", F.lit("unclassified"))), part("parties", F.col("parties")), part("courts", F.slice("courts", 1, 3)), part("cases", F.col("cases")),
+            part("deeds", F.col("deeds")), part("amounts", F.slice(amounts, 1, 4)), part("dates", F.slice("dates", 1, 4)), F.when(start != "", F.concat(F.lit("opening: "), start)),
+        ).alias("summary"),
+    )
+
+
+def law_references(entity: DataFrame, titles: DataFrame, kinds: Sequence[str], samples: int = 5) -> DataFrame:
+    """(kind, value, sources, samples): distinct titles that cite each law or article, and the first of them; the most cited first."""
+    named = entity.where(F.col("kind").isin(list(kinds))).select("doc_id", "kind", "value").distinct().join(titles, "doc_id").select("kind", "value", "title").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind", "value").orderBy("title"))
+    out = named.withColumn("_n", nth).groupBy("kind", "value").agg(F.count("*").alias("sources"), F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.col("title")))).alias("samples"))
+    return out.orderBy(F.desc("sources"), "kind", "value")
+
+
+def cleaning_metrics(before: DataFrame, after: DataFrame, table: str = r"\||\t|( {3,}\S+){2}", mixed: str = r"[؀-ۿ].*[A-Za-z]{3}|[A-Za-z]{3}.*[؀-ۿ]", reversed_docs: DataFrame | None = None, review: DataFrame | None = None) -> DataFrame:
+    """One row over docs(doc_id, text) before and after cleaning: documents, paragraphs (non-blank lines) and words of both, the words' change in percent,
+    lines of mixed scripts and of tables before, documents to review (their words changed by more than 8 percent, or they stand in review(doc_id)) and those
+    in reversed_docs(doc_id)."""
+    ls = lambda c: F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+    a = before.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).select("doc_id", F.size(ls(F.col("_t"))).alias("pb"), words(F.col("_t")).alias("wb"), F.size(F.filter(ls(F.col("_t")), lambda x: x.rlike(mixed))).alias("mx"), F.size(F.filter(ls(F.col("_t")), lambda x: x.rlike(table))).alias("tb"))
+    b = after.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).select("doc_id", F.size(ls(F.col("_t"))).alias("pa"), words(F.col("_t")).alias("wa"))
+    both = a.join(b, "doc_id", "left").fillna(0, ["pa", "wa"])
+    flag = lambda df, given, name: df.withColumn(name, F.lit(False)) if given is None else df.join(given.select("doc_id").distinct().withColumn(name, F.lit(True)), "doc_id", "left").fillna(False, [name])
+    both = flag(flag(both, review, "named"), reversed_docs, "turned")
+    drift = F.abs(F.col("wa") - F.col("wb")) * 100 > F.greatest(F.col("wb"), F.lit(1)) * 8
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    out = both.agg(
+        F.count("*").alias("docs"), total("pb", "paragraphs_before"), total("pa", "paragraphs_after"), total("wb", "words_before"), total("wa", "words_after"),
+        total("mx", "mixed_lines"), total("tb", "table_lines"), F.count_if(drift | F.col("named")).alias("review_docs"), F.count_if("turned").alias("reversed_docs"),
+    )
+    return out.withColumn("change", F.round(F.when(F.col("words_before") > 0, 100 * (F.col("words_after") - F.col("words_before")) / F.col("words_before")).otherwise(0.0), 4))

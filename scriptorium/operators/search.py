@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import light_stem, search_form, tokens
+from scriptorium.plans.session import shared_table
 
 
 def postings(docs: DataFrame, stem: bool = False, least: int = 2) -> DataFrame:
@@ -14,13 +17,11 @@ def postings(docs: DataFrame, stem: bool = False, least: int = 2) -> DataFrame:
     return (t.withColumn("term", light_stem(F.col("term"))) if stem else t).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) of documents with any query term; ranks need totals over all postings, in one pass."""
-    spark = index.sparkSession
-    sizes = index.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+def bm25(index: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score) of documents with any query term, from postings; sizes(doc_id, length) are added up from them if not given."""
+    sizes = index.groupBy("doc_id").agg(F.sum("tf").alias("length")) if sizes is None else sizes.where("length > 0")
     total = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    wanted = F.broadcast(spark.createDataFrame([(t,) for t in dict.fromkeys(query)], "term string"))
-    hits = index.join(wanted, "term")
+    hits = index.where(F.col("term").isin(list(dict.fromkeys(query))))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row for each query term
     rows = hits.join(F.broadcast(df), "term").join(sizes, "doc_id").join(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -28,6 +29,66 @@ def bm25(index: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75) -
     return rows.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
+def build_search_table(docs: DataFrame, path: str, stem: bool = True) -> None:
+    """Write docs with the number of their terms to path/docs and postings in the order of terms to path/postings, so that a query reads few row groups."""
+    docs.withColumn("length", F.size(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).cast("long")).write.mode("overwrite").parquet(f"{path}/docs")
+    postings(docs, stem).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def search_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(docs, postings) as written by build_search_table."""
+    return spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
+
+
+def _scored(docs: DataFrame, terms: list[str], prefixes: bool, stem: bool, whole: str, width: int, k1: float, b: float) -> tuple[DataFrame, int]:
+    """docs(doc_id, text) as (doc_id, tf, score, snippet, whole), and how many hold all terms; each text is read once, then one row of totals."""
+    t = tokens(F.coalesce("text", F.lit("")))
+    t = F.transform(t, light_stem) if stem else t
+    wanted = [light_stem(F.lit(q)) if stem else F.lit(q) for q in terms]
+    hit = lambda x, q: F.startswith(x, q) if prefixes else x == q
+
+    def some(x: Column) -> Column:
+        out = F.lit(False)
+        for q in wanted:
+            out = out | hit(x, q)
+        return out
+
+    base = docs.select("doc_id", t.alias("t"), F.contains(search_form(F.coalesce("text", F.lit(""))), F.lit(whole)).alias("whole"))
+    held = lambda q: F.size(F.filter("t", lambda x: hit(x, q)))
+    tf = F.array(*[held(q) for q in wanted]).cast("array<int>")
+    start = F.greatest(F.array_position(F.transform("t", some), F.lit(True)).cast("int") - width // 2, F.lit(1))
+    table = shared_table(base.select("doc_id", F.size("t").alias("length"), tf.alias("tf"), F.array_join(F.slice("t", start, width), " ").alias("snippet"), "whole"))
+    every, rows = F.forall("tf", lambda n: n > 0) & (F.size("tf") > 0), F.col("length") > 0
+    sums = table.agg(F.count_if(rows).alias("n"), F.avg(F.when(rows, F.col("length"))).alias("mean"), F.count_if(every).alias("all"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        n, idf = F.get("tf", F.lit(i)), math.log(1 + (sums.n - sums[f"df{i}"] + 0.5) / (sums[f"df{i}"] + 0.5))
+        score = score + F.lit(idf) * n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("length") / F.lit(float(sums.mean or 1))))
+    return table.withColumn("score", score), sums["all"]
+
+
+def bm25_texts(docs: DataFrame, query: list[str], stem: bool = True, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(doc_id, score) of docs(doc_id, text) with any query term, straight from the texts: nothing is shuffled but one row of totals."""
+    table, _ = _scored(docs, list(dict.fromkeys(query)), False, stem, "", 1, k1, b)
+    return table.where(F.exists("tf", lambda n: n > 0)).select("doc_id", "score")
+
+
+def ranked_search(docs: DataFrame, query: str, k: int = 400, width: int = 14) -> DataFrame:
+    """(doc_id, score, snippet): documents in which each token of two characters or more of the query begins some token, best first.
+
+    Ranks are BM25 over the prefixes, snippets `width` tokens around the first hit. Where no document has all tokens, those
+    that hold the whole query in its normal form are given, with score 0 and no snippet. A query without tokens finds nothing.
+    """
+    row = docs.sparkSession.range(1).select(tokens(F.lit(query)).alias("t"), F.trim(search_form(F.lit(query))).alias("q")).first()
+    table, full = _scored(docs, list(dict.fromkeys(row.t)), True, False, row.q, width, 1.5, 0.75)
+    score, snippet = F.round("score", 6).alias("score"), F.col("snippet")
+    if full or not row.t:
+        table = table.where(F.forall("tf", lambda n: n > 0) & (F.size("tf") > 0))
+    else:
+        table, score, snippet = table.where("whole"), F.lit(0.0).alias("score"), F.lit("").alias("snippet")
+    return table.select("doc_id", score, snippet).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
 def boolean_search(docs: DataFrame, terms=(), phrases=(), nots=(), mode: str = "and") -> DataFrame:
     """Documents whose normal form holds all (or any) of terms and phrases and none of nots; with nots alone, all others."""
     text = search_form(F.col("text"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import file_id
 from scriptorium.operators import extract, lines, package, pairs, registers, repair, reports, search
-from scriptorium.plans import casework
+from scriptorium.plans import casework, findings
+from scriptorium.plans.session import shared_folder
 from scriptorium.streaming import incremental
 
 #: (label, pattern, ord)
@@ -20,6 +21,7 @@ CATEGORIES = [("notice", "legal"), ("secret", "legal"), ("report", "texts"), ("b
 CONCEPTS = [("the", "article", "grammar"), ("der", "article", "grammar"), ("and", "conjunction", "grammar"), ("token", "secret", "security"), ("password", "secret", "security")]
 NUMBERS = ["2024", "10000", "555", "987654321"]
 UNITS, MONEY = "USD|EUR|GB|MB", "price|total|amount|license|card|the|der"
+MAIL = "[a-z0-9._]+@[a-z0-9.]+"
 SPANS = {"mail": "[a-z0-9._]+@[a-z0-9.]+", "number": "[0-9]{4,}"}
 
 
@@ -41,25 +43,22 @@ def line_table_stats(spark, d):
 
 
 def header_repeats(spark, d):
-    ls = lines.lines(_t(spark, d, "documents")).withColumn("norm", F.trim(F.lower("line")))
-    return ls.where(F.length("norm") >= 8).groupBy("doc_id", "norm").agg(F.count("*").alias("times"), F.min("line_no").alias("first_line")).where("times >= 2")
+    _, removed = lines.repeated_headers(lines.lines(_t(spark, d, "documents")))
+    return removed.groupBy("doc_id", "norm").agg(F.count("*").alias("times"), F.min(F.when(F.col("identity"), F.col("line_no"))).alias("first_line"))
 
 
 def boilerplate_lines(spark, d):
-    ls = lines.lines(_t(spark, d, "documents")).select("doc_id", F.trim(F.lower("line")).alias("norm")).where(F.length("norm").between(6, 80)).distinct()
-    return ls.groupBy("norm").agg(F.count("*").alias("docs")).where("docs >= 3")
+    return lines.boilerplate(lines.lines(_t(spark, d, "documents")), least_docs=3, share=0.002)
 
 
 def distortion_scores(spark, d):
-    c = F.col("text")
-    n = F.size(F.filter(F.split(c, "\n"), lambda x: F.length(F.trim(x)).between(1, 2)))
-    marks = F.regexp_count(c, F.lit(r"[*%&$#]"))
-    return _t(spark, d, "documents").select("doc_id", marks.cast("long").alias("symbols"), n.cast("long").alias("fragments"), F.round((3 * marks + n) / F.greatest(F.lit(1.0), F.length(c) / 500), 4).alias("score"))
+    out = lines.distortion(_t(spark, d, "documents"), "[*%&$#]")
+    return out.select("doc_id", "symbols", "repeats", "fragments", "score", F.array_join("issues", ",").alias("issues"))
 
 
 def quality_metrics(spark, d):
     q = lines.quality_metrics(_t(spark, d, "documents"), script="A-Za-z", other="0-9")
-    return q.select("doc_id", F.round("script_ratio", 6).alias("script_ratio"), F.round("line_ratio", 6).alias("line_ratio"), F.round("fragments", 6).alias("fragments"))
+    return q.withColumns({c: F.round(c, 6) for c in ("script_ratio", "line_ratio", "bad", "fragments")})
 
 
 def doc_type_rules(spark, d):
@@ -73,8 +72,7 @@ def segment_rules(spark, d):
 
 
 def long_numbers(spark, d):
-    docs = _t(spark, d, "documents")
-    return extract.entities(docs, "number", F.regexp_extract_all("text", F.lit("([0-9]{6,})"), F.lit(1)))
+    return extract.entities(_t(spark, d, "documents"), "number", extract.long_numbers(F.col("text")))
 
 
 def number_df(spark, d):
@@ -123,16 +121,17 @@ def run_grouping(spark, d):
 
 
 def central_documents(spark, d):
-    docs = _t(spark, d, "documents")
-    n = F.size(F.regexp_extract_all("text", F.lit("([0-9]{6,})"), F.lit(1)))
-    score = F.when(F.lower("text").contains("licen"), 3).otherwise(0) + F.least(n, F.lit(3)) + F.when(F.col("n_chars") >= 1000, 1).otherwise(0)
-    return registers.top(docs.select("doc_id", score.cast("long").alias("importance")).where("importance >= 3"), 25, F.desc("importance"), F.col("doc_id"))
+    text = F.col("text")
+    docs = _t(spark, d, "documents").select(
+        "doc_id", F.when(F.contains(F.lower(text), F.lit("licen")), "notice").otherwise("text").alias("doc_type"), F.size(extract.long_numbers(text, 9)).alias("n_deeds"), F.size(extract.long_numbers(text)).alias("n_cases"),
+        F.regexp_count(text, F.lit(r"[0-9]+\.[0-9]")).alias("n_amounts"), F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(MAIL), F.lit(0)))).alias("n_parties"), (F.col("n_chars") >= 1000).alias("readable"),
+    )
+    scored = extract.importance(docs, ["notice"]).select("doc_id", F.col("importance").cast("long").alias("importance"))
+    return registers.top(scored.where("importance >= 3"), 25, F.desc("importance"), F.col("doc_id"))
 
 
 def bm25_topk(spark, d):
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 2)
-    index = _t(spark, d, "documents").select("doc_id", F.explode(words).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    ranked = search.bm25(index, QUERY).select("doc_id", F.round("score", 6).alias("score"))
+    ranked = search.bm25_texts(_t(spark, d, "documents"), QUERY).select("doc_id", F.round("score", 6).alias("score"))
     return registers.top(ranked, 400, F.desc("score"), F.col("doc_id"))
 
 
@@ -141,9 +140,7 @@ def boolean_search(spark, d):
 
 
 def word_families(spark, d):
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 2)
-    t = _t(spark, d, "documents").select("doc_id", F.explode(words).alias("form")).groupBy("form", "doc_id").agg(F.count("*").alias("n"))
-    return t.groupBy("form").agg(F.sum("n").alias("times"), F.count("*").alias("docs")).where("docs >= 2")
+    return search.word_families(_t(spark, d, "documents")).where("docs >= 2").select("stem", "times", "docs", F.array_join("forms", ",").alias("forms"))
 
 
 def url_ids(spark, d):
@@ -163,11 +160,14 @@ def keep_best(spark, d):
 
 
 def ingest_batches(spark, d):
-    """Two batches of events by halves of the time range; the second adds only ids that the first lacks."""
-    events = _t(spark, d, "events").select("event_id", "event_type")
-    first, second = events.where("event_type < 'm'"), events
-    both = first.union(pairs.only_new(second, first, "event_id"))
-    return both.groupBy("event_type").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"))
+    """Events as files of two halves of their time range, through the stream one after the other; a third run over all files with a new checkpoint adds nothing."""
+    events, path = _t(spark, d, "events").select("event_id", "event_type", "ts"), shared_folder(spark)
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    early = F.coalesce(F.col("ts") < F.lit(span.a + (span.b - span.a) / 2), F.lit(False)) if span.a is not None else F.lit(True)
+    for part, run in ((events.where(early), "stream"), (events.where(~early), "stream"), (events.limit(0), "again")):
+        part.write.mode("append").parquet(f"{path}/in")
+        incremental.ingest_stream(spark, f"{path}/in", events.schema, f"{path}/out", f"{path}/{run}", "event_id")
+    return spark.read.parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"))
 
 
 def doubling_collapse(spark, d):
@@ -313,16 +313,21 @@ def highlights(spark, d):
 
 
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
-_NUMBERS = "SELECT DISTINCT doc_id, 'number' AS kind, unnest(regexp_extract_all(text, '[0-9]{6,}')) AS value FROM documents"
+_TOKENS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"
+_LONG = lambda n: f"list_distinct(list_filter({_TOKENS}, lambda x: regexp_full_match(x, '[0-9]{{{n},}}')))"
+_NUMBERS = f"SELECT doc_id, 'number' AS kind, unnest({_LONG(6)}) AS value FROM documents"
+_NORM = "trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+_TERMS = "SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents) WHERE length(w) >= 2 GROUP BY ALL"
+_STRIP = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _WORDS = "SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) >= 2 GROUP BY ALL"
 _PAGES = "CASE WHEN length(trim(text)) > 0 THEN CAST(ceil(length(text) / 1800.0) AS BIGINT) ELSE 0 END"
 
 ORACLE_SQL = {
     "line_table_stats": f"SELECT doc_id, count(*) AS n_lines, max(length(line)) AS longest, count(*) FILTER (length(line) = 0) AS blank, count(*) FILTER (regexp_matches(line, '^[0-9 .,-]+$')) AS bare FROM ({_LINES}) GROUP BY doc_id",
-    "header_repeats": f"SELECT doc_id, norm, count(*) AS times, min(line_no) AS first_line FROM (SELECT doc_id, line_no, trim(lower(line)) AS norm FROM ({_LINES})) WHERE length(norm) >= 8 GROUP BY doc_id, norm HAVING count(*) >= 2",
-    "boilerplate_lines": f"SELECT norm, count(*) AS docs FROM (SELECT DISTINCT doc_id, trim(lower(line)) AS norm FROM ({_LINES})) WHERE length(norm) BETWEEN 6 AND 80 GROUP BY norm HAVING count(*) >= 3",
-    "distortion_scores": "SELECT doc_id, symbols, fragments, round((3 * symbols + fragments) / greatest(1.0, length(text) / 500.0), 4) AS score FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[*%&$#]')) AS symbols, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) BETWEEN 1 AND 2)) AS fragments FROM documents)",
-    "quality_metrics": "SELECT doc_id, round(len(regexp_extract_all(text, '[A-Za-z]')) / greatest(len(regexp_extract_all(text, '[A-Za-z0-9]')), 1), 6) AS script_ratio, round(1 - len(list_filter(ls, lambda x: length(trim(x)) < 3)) / greatest(len(ls), 1), 6) AS line_ratio, round(len(list_filter(ls, lambda x: length(trim(x)) < 3)) / greatest(len(ls), 1), 6) AS fragments FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)",
+    "header_repeats": f"SELECT doc_id, norm, count(*) AS times, min(line_no) AS first_line FROM (SELECT doc_id, line_no, {_NORM} AS norm FROM ({_LINES})) WHERE length(norm) >= 8 GROUP BY doc_id, norm HAVING count(*) >= 2",
+    "boilerplate_lines": f"WITH n AS (SELECT DISTINCT doc_id, {_NORM} AS norm FROM ({_LINES})) SELECT norm, count(*) AS docs FROM n WHERE length(norm) BETWEEN 6 AND 80 AND regexp_matches(norm, '\\p{{L}}') GROUP BY norm HAVING count(*) >= greatest(3, (SELECT ceil(count(DISTINCT doc_id) * 0.002::DOUBLE) FROM n))",
+    "distortion_scores": f"SELECT doc_id, symbols, repeats, fragments, round((3 * symbols + repeats + fragments) / greatest(1.0, length(text) / 500.0), 4) AS score, concat_ws(',', CASE WHEN symbols > 0 THEN 'symbols' END, CASE WHEN repeats > 0 THEN 'repeats' END, CASE WHEN fragments > 5 THEN 'fragments' END) AS issues FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[*%&$#]')) AS symbols, len(list_filter(c, lambda x, i: i >= 4 AND x = c[i - 1] AND x = c[i - 2] AND x = c[i - 3] AND (i = 4 OR x <> c[i - 4]) AND x NOT IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS repeats, len(list_filter(string_split(text, chr(10)), lambda x: length({_STRIP}) BETWEEN 1 AND 2)) AS fragments FROM (SELECT doc_id, text, string_split(text, '') AS c FROM documents))",
+    "quality_metrics": findings.QUALITY,
     "doc_type_rules": f"SELECT d.doc_id, coalesce(arg_min(r.label, (CASE WHEN contains(lower(d.source), r.pattern) THEN 0 ELSE 1 END) * 100 + r.ord), 'unclassified') AS doc_type FROM documents d LEFT JOIN {_values(TYPE_RULES)} ON contains(lower(d.source), r.pattern) OR contains(lower(d.text), r.pattern) GROUP BY d.doc_id",
     "segment_rules": f"SELECT doc_id, label, string_agg(pattern, ',' ORDER BY pattern) AS keywords FROM documents JOIN {_values(SEGMENTS)} ON contains(lower(text), pattern) GROUP BY doc_id, label",
     "long_numbers": _NUMBERS,
@@ -336,10 +341,10 @@ ORACLE_SQL = {
     "page_ranges": f"SELECT doc_id, page_to - p + 1 AS page_from, page_to FROM (SELECT doc_id, p, CAST(sum(p) OVER (ORDER BY doc_id) AS BIGINT) AS page_to FROM (SELECT doc_id, greatest(1, {_PAGES}) AS p FROM documents))",
     "doc_numbering": "SELECT doc_id, 'DOC-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS code FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)",
     "run_grouping": "SELECT conv_id, run_no, role, count(*) AS turns, min(turn) AS first_turn FROM (SELECT conv_id, turn, role, CAST(sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run_no FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM conversations)) GROUP BY conv_id, run_no, role",
-    "central_documents": "SELECT doc_id, importance FROM (SELECT doc_id, CAST((CASE WHEN contains(lower(text), 'licen') THEN 3 ELSE 0 END) + least(len(regexp_extract_all(text, '[0-9]{6,}')), 3) + (CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS importance FROM documents) WHERE importance >= 3 ORDER BY importance DESC, doc_id LIMIT 25",
-    "bm25_topk": f"WITH p AS ({_WORDS}), s AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY doc_id), t AS (SELECT count(*) AS n, avg(len) AS mean FROM s), h AS (SELECT * FROM p WHERE term IN ({', '.join(repr(q) for q in QUERY)})), df AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN df USING (term) JOIN s USING (doc_id) CROSS JOIN t GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 400",
+    "central_documents": f"SELECT doc_id, importance FROM (SELECT doc_id, CAST((CASE WHEN contains(lower(text), 'licen') THEN 3 ELSE 0 END) + (CASE WHEN len({_LONG(9)}) > 0 THEN 3 ELSE 0 END) + (CASE WHEN len({_LONG(6)}) > 0 THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[0-9]+\\.[0-9]') THEN 1 ELSE 0 END) + least(len(list_distinct(regexp_extract_all(text, '{MAIL}'))), 3) + (CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS importance FROM documents) WHERE importance >= 3 ORDER BY importance DESC, doc_id LIMIT 25",
+    "bm25_topk": f"WITH p AS ({_TERMS}), s AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY doc_id), t AS (SELECT count(*) AS n, avg(len) AS mean FROM s), h AS (SELECT * FROM p WHERE term IN ({', '.join(repr(q) for q in QUERY)})), df AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN df USING (term) JOIN s USING (doc_id) CROSS JOIN t GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 400",
     "boolean_search": "SELECT doc_id FROM documents WHERE (contains(lower(text), 'license') OR contains(lower(text), 'token')) AND NOT contains(lower(text), 'the')",
-    "word_families": f"SELECT term AS form, CAST(sum(tf) AS BIGINT) AS times, count(*) AS docs FROM ({_WORDS}) GROUP BY term HAVING count(*) >= 2",
+    "word_families": f"SELECT term AS stem, CAST(sum(tf) AS BIGINT) AS times, count(*) AS docs, term AS forms FROM ({_TERMS}) GROUP BY term HAVING count(*) >= 2",
     "url_ids": "SELECT page_id, regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS file_id, coalesce(nullif(coalesce(nullif(regexp_extract(url, '/d/([A-Za-z0-9_-]+)', 1), ''), regexp_extract(url, '[?&]id=([A-Za-z0-9_-]+)', 1)), ''), '') AS drive_id FROM pages",
     "parts_packing": "SELECT part, count(*) AS docs, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT size, CAST(floor((sum(size) OVER (ORDER BY doc_id) - size) / 200000) AS BIGINT) AS part FROM (SELECT doc_id, strlen(text) AS size FROM documents)) GROUP BY part",
     "keep_best": "SELECT decision, count(*) AS docs FROM (SELECT CASE WHEN d.n_chars % 100 >= 60 THEN 'skipped' WHEN l.q IS NULL THEN 'missing' WHEN l.q - d.n_chars % 100 > 8 THEN 'replaced' ELSE 'kept' END AS decision FROM documents d LEFT JOIN (SELECT doc_id, max(quality * 40 + doc_id % 40) AS q FROM labels GROUP BY doc_id) l USING (doc_id)) GROUP BY decision",
@@ -386,5 +391,5 @@ ORACLE_SQL |= {
 
 #: These read each text in order or page by page and have no SQL; test_repair.py holds them against fixtures.
 NO_SQL = ("header_zones", "paragraphs")
-QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)} | casework.QUERIES
-ORACLE_SQL |= casework.ORACLE_SQL
+QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)} | casework.QUERIES | findings.QUERIES
+ORACLE_SQL |= casework.ORACLE_SQL | findings.ORACLE_SQL

@@ -42,15 +42,19 @@ def ship(spark: SparkSession) -> None:
     sc._scriptorium_shipped = True
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder in spark.checkpoint.dir (one of our own only in a local session where it is unset) and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names (in one of our own only in a local session where it is unset)."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = sc._scriptorium_tables = getattr(sc, "_scriptorium_tables", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return f"{folder}/table-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -71,3 +71,19 @@ def write_register(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Every register row says that it was made by a script and needs a reader."""
     out = df.withColumns({"made_by": F.lit("script"), "needs_review": F.lit(True)})
     (out.write.mode("overwrite").option("header", True).csv(path) if fmt == "csv" else out.write.mode("overwrite").format(fmt).save(path))
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents from JSON lines; the schema is given, so that nothing is read to guess it."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_documents(docs: DataFrame, path: str, fmt: str = "parquet") -> None:
+    docs.write.mode("overwrite").format(fmt).save(path)
+
+
+def write_audit_json(files: DataFrame, path: str, aggregates: dict[str, DataFrame] | None = None, **meta: str) -> None:
+    """JSON lines of each file's audit (path/files), of each aggregate under its name, and one row that says how they were made (path/meta)."""
+    for name, df in {"files": files, **(aggregates or {})}.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+    files.sparkSession.createDataFrame([{"made_by": "script", "needs_review": "true", **meta}]).coalesce(1).write.mode("overwrite").json(f"{path}/meta")

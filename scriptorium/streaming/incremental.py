@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import strip
+from scriptorium.operators import extract, lines, reports
+
 
 def keep_best(docs: DataFrame, candidates: DataFrame, delta: float = 8.0, enough: float = 60.0) -> DataFrame:
     """docs(doc_id, quality, replaced) against candidates(doc_id, quality): adds decision.
@@ -40,21 +46,43 @@ def apply_update(docs: DataFrame, changes: DataFrame, path: str, version: int) -
     return target
 
 
-def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "id", fmt: str = "parquet"):
+def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "id", fmt: str = "parquet", prepare: Callable[[DataFrame], DataFrame] | None = None):
     """Append rows of new files whose key the target does not hold yet; within a batch the first row of a key counts.
 
+    A null key is a key like any other. `prepare` turns the new rows of a batch into the rows to be written and keeps the key.
     A file-source stream that takes what is there and ends; its checkpoint makes reruns add nothing. Returns the ended query.
     """
 
     def add(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates([key])
         try:
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(target).select(key), key, "left_anti")
-        except Exception as e:  # the first batch finds no target
-            if "PATH_NOT_FOUND" not in str(e):
+            known = spark.read.parquet(target).select(F.col(key).alias("_known"))
+            fresh = fresh.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+        except AnalysisException as e:  # the first batch finds no target
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        fresh.select(*batch.columns).write.mode("append").parquet(target)
+        fresh = fresh.select(*batch.columns)
+        (prepare(fresh) if prepare else fresh).write.mode("append").parquet(target)
 
     query = spark.readStream.schema(schema).format(fmt).load(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def prepare_documents(docs: DataFrame, rules: DataFrame, authorities: Sequence[str], patterns: dict[str, str], script: str | None = None) -> DataFrame:
+    """New docs(doc_id, title, text) as records: type, card, long numbers, dates, quality and whether there is text to read. Ids are unique."""
+    keyed = docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    quality = lines.quality_metrics(keyed, *([script] if script else [])).select("doc_id", "quality")
+    text = F.col("text")
+    facts = keyed.select(
+        "doc_id", "title", extract.long_numbers(text).alias("numbers"), extract.dates(text, extract.HIJRI).alias("hijri_dates"), extract.dates(text, extract.GREGORIAN).alias("gregorian_dates"),
+        (strip(text) != "").alias("readable"), "text",
+    )
+    typed = extract.classify_type(keyed, rules)
+    cards = reports.build_cards(keyed, authorities, patterns)
+    return facts.join(typed, "doc_id").join(cards, "doc_id").join(quality, "doc_id")
+
+
+def ingest_documents(spark: SparkSession, source: str, schema, target: str, checkpoint: str, rules: DataFrame, authorities: Sequence[str], patterns: dict[str, str], script: str | None = None, rename: Callable[[DataFrame], DataFrame] | None = None):
+    """Append new documents with what prepare_documents finds in them; `rename` brings source columns to (doc_id, title, text)."""
+    return ingest_stream(spark, source, schema, target, checkpoint, "doc_id", prepare=lambda b: prepare_documents(rename(b) if rename else b, rules, authorities, patterns, script))

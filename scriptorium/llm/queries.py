@@ -1,10 +1,12 @@
-"""The registered queries of this subpackage. SQL cannot express them whole; tests/llm holds them against brute force, a library, round trips or held-out accuracy, as far as the README says."""
+"""The registered queries of this subpackage. Those without SQL cannot be expressed in it whole; tests/llm holds them against brute force, a library, round trips or held-out accuracy, as far as the README says."""
 
 from __future__ import annotations
 
 from .bpe import op6_bpe_encoding
 from .decontaminate import op9_decontamination
 from .licenses import op1_license_scans
+from .merkle import ORACLE_SQL as MERKLE_SQL
+from .merkle import op13_merkle_manifest
 from .passages import op5_substring_dedup
 from .recurrent_lm import op10_lm_scoring
 from .simhash import op2_simhash
@@ -18,7 +20,8 @@ QUERIES = {
     for f in (
         op1_license_scans, op2_simhash, op3_media_columns, op4_url_filters, op5_substring_dedup,
         op6_bpe_encoding, op7_token_counts, op8_toxicity, op9_decontamination, op10_lm_scoring,
+        op13_merkle_manifest,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": MERKLE_SQL}

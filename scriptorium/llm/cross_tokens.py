@@ -267,7 +267,7 @@ class Batch:
             yield int(parts[start]), pack_counts([(pairs[at], total)]), records
 
 
-def _encoded(docs: DataFrame, files, groups: bool) -> DataFrame:
+def _encoded(docs: DataFrame, files, groups: bool, run_tokens: int) -> DataFrame:
     """One row for each document (row, origin, local, counts), and one for each partition of each run (origin, bucket, docs, pairs, records)."""
     new = "origin long, local int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string," + (" groups string," if groups else "") + " bucket int, docs int, pairs binary, records binary"
     schema = StructType([StructField("row", docs.schema["row"].dataType), *StructType.fromDDL(new).fields])
@@ -294,7 +294,7 @@ def _encoded(docs: DataFrame, files, groups: bool) -> DataFrame:
                 if arrow is None:
                     arrow = pa.schema([pa.field("row", b.schema.field("row").type), *list(to_arrow_schema(schema))[1:]])
                 batch.add(some.column(0), some.column(1).to_pylist())
-                if batch.tokens >= RUN_TOKENS or len(batch.raw) >= RUN_DOCS:
+                if batch.tokens >= run_tokens or len(batch.raw) >= RUN_DOCS:
                     yield from rows()
                     made, batch = made + 1, Batch(batch.pair)
         if batch.raw:
@@ -311,11 +311,11 @@ def _merged(got: pa.Table) -> pa.Table:
     return pa.table([pa.array([got.column("bucket")[0].as_py()], pa.int32()), pa.array([got.column("part")[0].as_py()], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "part", "pairs"])
 
 
-def _counted(runs: DataFrame, n_runs: int) -> DataFrame:
-    """(bucket, pairs): the counts of all runs' pairs; each pass merges FAN_IN runs or so in a task."""
+def _counted(runs: DataFrame, n_runs: int, fan_in: int) -> DataFrame:
+    """(bucket, pairs): the counts of all runs' pairs; each pass merges fan_in runs or so in a task."""
     rows = runs.select("bucket", F.col("origin").alias("part"), "pairs")
     while True:
-        groups = -(-n_runs // FAN_IN)
+        groups = max(1, -(-n_runs // fan_in))
         dealt = rows.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(groups)))
         new = cut(dealt.groupBy("bucket", "part").applyInArrow(_merged, COUNTS))
         if hasattr(rows, "_cut_path"):
@@ -383,7 +383,7 @@ class Alignment:
         return self._counts.select("pairs").mapInArrow(run, "b_id int, a_id int, count long, best boolean")
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", groups: bool = False) -> Alignment:
+def align(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", groups: bool = False, run_tokens: int = RUN_TOKENS, fan_in: int = FAN_IN) -> Alignment:
     """Link the tokens of byte-level BPE (a `tokenizers` file, over a space and the text) and of a piece model (which adds the space).
 
     Strings of special tokens in a text are plain text. Tokens that end at the same byte are linked, and such bytes cut both
@@ -398,13 +398,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", gro
         model = f.read()
     files = docs.sparkSession.sparkContext.broadcast((load_spec(a_path), model, hashlib.sha256(f"{a_path}\n{b_path}".encode()).hexdigest()))
     row = F.struct(*kept) if kept else F.struct(F.lit(None).cast("int").alias("nothing"))
-    table = cut(_encoded(docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text")), files, groups))
+    table = cut(_encoded(docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text")), files, groups, run_tokens))
     runs = table.where("bucket IS NOT NULL").select("origin", "bucket", "docs", "pairs", "records")
     n_runs = runs.select("origin").distinct().count()
-    counts = _counted(runs, n_runs)
-    copies = max(1, -(-n_runs // FAN_IN))
+    counts = _counted(runs, n_runs, fan_in)
+    copies = max(1, -(-n_runs // fan_in))
     dealt = runs.withColumn("copy", F.pmod(F.xxhash64("origin"), F.lit(copies)))
-    spread = counts.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("long").alias("copy"), "pairs")
+    spread = counts.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), "pairs")
     added = dealt.groupBy("bucket", "copy").cogroup(spread.groupBy("bucket", "copy")).applyInArrow(_streamed, "origin long, added binary")
     shown = table.where("row IS NOT NULL").drop("bucket", "docs", "pairs", "records")
     schema = StructType([f for f in shown.schema.fields if f.name not in ("origin", "local")] + StructType.fromDDL("n_best long, count_sum long").fields)

@@ -15,8 +15,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from .common import cut, discard, scratch_dir, table
 
@@ -27,7 +25,7 @@ BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SENT_SPLITS = 100_000
 #: A payload that more than one row in so many has is looked up in a list sent to all tasks (at most so many entries).
 HOT_SHARE = 1_000
-RECORD = "record_type string, record_id string, refers_to string, target_uri string, payload_digest string, header string, payload binary"
+RECORD = "file string, offset long, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, header string, payload binary"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -66,11 +64,8 @@ def with_revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes:
 
 
 def _one_line(value: Column) -> Column:
-    """A header value without line ends and other controls, which are written as in URLs."""
-    out = value
-    for c in [*range(32), 127]:
-        out = F.replace(out, F.lit(chr(c)), F.lit(f"%{c:02X}"))
-    return F.when(value.rlike(r"[\x00-\x1f\x7f]"), out).otherwise(value)
+    """A header value without line ends, which are written as in URLs."""
+    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
 def record_uri(row_id: Column, digest: Column) -> Column:
@@ -116,7 +111,7 @@ def parse_start(chunk: bytes) -> tuple[int, int] | None:
 
 
 def read_record(head: bytes, block: bytes) -> tuple:
-    """The columns of RECORD. The payload of an HTTP message is its body as it stands; of other blocks, all of it."""
+    """The columns of RECORD after the offset. The payload of an HTTP message is its body as it stands; of other blocks, all of it."""
     fields = {}
     for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -151,18 +146,17 @@ def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterat
 
 
 LINKS = "file string, split long, bytes long, links array<struct<at:long,to:long,last:long>>"
+_LINKS = pa.schema([("file", pa.string()), ("split", pa.int64()), ("bytes", pa.int64()), ("links", pa.list_(pa.struct([(c, pa.int64()) for c in ("at", "to", "last")])))])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each split its size, and for each candidate where its chain leaves the split (null if it ends inside) and the last candidate on that way, all from the split's first byte."""
-    schema = to_arrow_schema(StructType.fromDDL(LINKS))
-
     def closed(key, size: int, found: dict[int, int]) -> pa.RecordBatch:
         ways: dict[int, tuple[int | None, int]] = {}
         for at in sorted(found, reverse=True):
             to = found[at]
             ways[at] = (to, at) if to >= size else ways.get(to, (None, at))
-        return pa.RecordBatch.from_pylist([{"file": key[0], "split": key[1], "bytes": size, "links": [{"at": a, "to": t, "last": e} for a, (t, e) in sorted(ways.items())]}], schema)
+        return pa.RecordBatch.from_pylist([{"file": key[0], "split": key[1], "bytes": size, "links": [{"at": a, "to": t, "last": e} for a, (t, e) in sorted(ways.items())]}], _LINKS)
 
     key, size, found = None, 0, {}
     for own, at, marked, chunk, _ in _by_split(batches):
@@ -212,20 +206,25 @@ def _entries(links: DataFrame) -> DataFrame:
     return out
 
 
-PIECE = f"file string, offset long, place long, piece binary, {RECORD}"
+PIECE = f"{RECORD}, place long, piece binary"
+_RECORD = pa.schema([(c.split()[0], {"long": pa.int64(), "binary": pa.binary()}.get(c.split()[1], pa.string())) for c in RECORD.split(", ")])
+_PIECE = pa.schema([*_RECORD, ("place", pa.int64()), ("piece", pa.binary())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _records(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     """With `whole`, the records that end in the split where they start; else the parts of the others."""
-    schema = to_arrow_schema(StructType.fromDDL(PIECE))
-    names, out, held = schema.names, [], 0
+    out, held = [], 0
     nothing = (None,) * 7
     key = offset = None
     parts: list[bytes] = []
     first = need = want = 0
 
     def part() -> list[tuple]:
-        return [] if whole or offset is None or not parts else [(key[0], offset, first, b"".join(parts), *nothing)]
+        return [] if whole or offset is None or not parts else [(key[0], offset, *nothing, first, b"".join(parts))]
 
     for own, at, marked, chunk, row in _by_split(batches):
         if own != key:
@@ -235,9 +234,9 @@ def _records(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
             need = row["until"] - row["base"] if offset is not None else 0
         place = row["base"] + at
         data = (MAGIC if marked else b"") + chunk
-        if place == want:
+        if marked and place == want:
             out += part()
-            start = parse_start(chunk) if marked else None
+            start = parse_start(chunk)
             want = place + sum(start) + 4 if start else -1
             if not start or want > row["total"]:
                 offset, parts, need, want = None, [], 0, -1
@@ -250,25 +249,24 @@ def _records(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
                 if whole:
                     data = b"".join(parts)
                     head, block = parse_start(data[len(MAGIC) :])
-                    out.append((key[0], offset, offset, None, *read_record(data[: head - 4], data[head : head + block])))
+                    out.append((key[0], offset, *read_record(data[: head - 4], data[head : head + block]), offset, None))
                     held += len(data)
                 parts = []
                 offset = None
         if held > 1 << 23 or len(out) >= 1024:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], names=names)
+            yield _batch(out, _PIECE)
             out, held = [], 0
     out += part()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], names=names)
+        yield _batch(out, _PIECE)
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(StructType.fromDDL(f"file string, offset long, {RECORD}"))
     for batch in batches:
         for row in batch.to_pylist():
             data = b"".join(p["piece"] for p in row["pieces"])
             head, block = parse_start(data[len(MAGIC) :])
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((row["file"], row["offset"], *read_record(data[: head - 4], data[head : head + block])), schema.types, strict=True)], names=schema.names)
+            yield _batch([(row["file"], row["offset"], *read_record(data[: head - 4], data[head : head + block]))], _RECORD)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -290,14 +288,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             rows = chunks.withColumn("_row", F.monotonically_increasing_id()).join(some, ["file", "split"]).sortWithinPartitions("file", "split", "_row").drop("_row")
         return rows.mapInArrow(lambda b: _records(b, whole), PIECE)
 
-    columns = [f.name for f in StructType.fromDDL(f"file string, offset long, {RECORD}").fields]
-    out = scanned(splits, True).select(*columns)
+    out = scanned(splits, True).select(*_RECORD.names)
     # a record that a MAGIC of its payload carries over the end of its split is put together from its parts
     ends = F.col("base") + F.col("bytes")
     torn = splits.where(F.col("to").between(ends + 1, F.col("total")) | F.col("owner").isNotNull())
     if torn.limit(1).count():
         parts = scanned(torn, False).groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("pieces"))
-        out = out.union(parts.mapInArrow(_assembled, f"file string, offset long, {RECORD}").select(*columns))
+        out = out.union(parts.mapInArrow(_assembled, RECORD))
     return out
 
 

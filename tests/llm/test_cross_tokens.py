@@ -45,8 +45,12 @@ def by_hand(texts):
             continue
         end_a, end_b = ends(bytes_a), ends(bytes_b)
         common = sorted(set(end_a) & set(end_b))
-        links = [(y, x) for e in common for x, f in zip(a, end_a) if f == e for y, g in zip(b, end_b) if g == e] if len(a) < 200 else [(y, x) for y, x in zip([y for y, g in zip(b, end_b) if g in set(common)], [x for x, f in zip(a, end_a) if f in set(common)], strict=True)]
-        groups, low = [], 0
+        ends_here = lambda ids, es: [(e, i) for i, e in zip(ids, es, strict=True) if e in every]
+        every, of_b = set(common), {}
+        for e, y in ends_here(b, end_b):
+            of_b.setdefault(e, []).append(y)
+        links = [(y, x) for e, x in ends_here(a, end_a) for y in of_b[e]]
+        groups = []
         place_a, place_b = 0, 0
         for e in common:
             own = []
@@ -69,14 +73,12 @@ def by_hand(texts):
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_equals_libraries(spark, monkeypatch, small):
+def test_equals_libraries(spark, small):
     table = ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table(columns=["text"]).column("text").to_pylist()
     texts = [*EDGES, *table, *table[:5]]
-    if small:  # many runs, many passes
-        for name, n in (("RUN_TOKENS", 400), ("FAN_IN", 4), ("FRAME", 16)):
-            monkeypatch.setattr(cross_tokens, name, n)
+    size = {"run_tokens": 9_000, "fan_in": 3} if small else {}  # many runs, several passes
     df = spark.createDataFrame([(i, t, "own", 1.5) for i, t in enumerate(texts)], "doc_id long, text string, n_a string, origin double").repartition(3)
-    got = cross_tokens.align(df, *cross_tokens.default_paths(), groups=True)
+    got = cross_tokens.align(df, *cross_tokens.default_paths(), groups=True, **size)
     want, total, highest = by_hand(texts)
     columns = [*(f.split()[0] for f in cross_tokens.NEW.split(", "))]
     rows = {r.doc_id: r for r in got.documents.collect()}

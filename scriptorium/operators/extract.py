@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import ascii_digits, audit_form
+from scriptorium.functions.text import ascii_digits, audit_form, strip
 
 #: No letter, digit or underscore beside a match.
 _L, _R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-HIJRI = rf"{_L}(?:\d{{1,2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*1[34]\d{{2}}|1[34]\d{{2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*\d{{1,2}}){_R}"
-GREGORIAN = rf"{_L}(?:\d{{1,2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*(?:19|20)\d{{2}}|(?:19|20)\d{{2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*\d{{1,2}}){_R}"
+#: Fixed values: dates with the year first or last.
+HIJRI = rf"{_L}(?:1[34]\d{{2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*\d{{1,2}}|\d{{1,2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*1[34]\d{{2}}){_R}"
+GREGORIAN = rf"{_L}(?:(?:19|20)\d{{2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*\d{{1,2}}|\d{{1,2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*(?:19|20)\d{{2}}){_R}"
 #: A number before a currency or after a cue word, and words that multiply it, all in the normal form of audit_form.
 MONEY = r"([0-9][0-9.,٬]{2,})\s*(?:ريالا?|ر\.?س\.?|دولار|SAR|USD|EUR)"
 CUE = r"(?:مبلغ|قدره|وقدره|بمبلغ|قيمته|بقيمه)\s*([0-9][0-9.,٬]{2,})"
@@ -136,12 +137,50 @@ def entity_frequency(entity: DataFrame, k: int = 50) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("docs"), "value"))).where(F.col("n") <= k).drop("n")
 
 
-def capture_after(ls: DataFrame, anchor: str, reach: int = 30, most: int = 14, shortest: int = 12, longest: int = 500) -> DataFrame:
-    """Up to `most` lines after each anchor line, within reach, until a blank line once started."""
-    anchors = ls.where(F.col("line").rlike(anchor)).select("doc_id", F.col("line_no").alias("anchor_no"))
-    after = anchors.join(ls, "doc_id").where((F.col("line_no") > F.col("anchor_no")) & (F.col("line_no") < F.col("anchor_no") + reach))
-    w = Window.partitionBy("doc_id", "anchor_no").orderBy("line_no")
-    good = F.length(F.trim("line")).between(shortest, longest)
-    after = after.withColumn("good", good).withColumn("started", F.max(good.cast("int")).over(w)).withColumn("stopped", F.max(((F.trim("line") == "") & (F.col("started") == 1)).cast("int")).over(w))
-    taken = after.where("good AND stopped = 0").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    return taken.select("doc_id", "anchor_no", "line_no", "line")
+def lines_after(lines: Column, at: Column, reach: int = 30) -> Column:
+    """The lines of an array that follow place `at` (from 0), fewer than `reach` of them."""
+    return F.slice(lines, at + 2, F.lit(reach - 1))
+
+
+def capture_after(
+    docs: DataFrame, anchors: Sequence[tuple[str, str]], reach: int = 30, most: int = 14, shortest: int = 12, longest: int = 500, stop: int = 600, section: str | None = None, alike: int = 50, cap: int = 80
+) -> DataFrame:
+    """(doc_id, place, label, line_no, line): what follows anchor lines of docs(doc_id, text); anchors are (pattern, label).
+
+    After each line that matches an anchor, up to `most` stripped lines longer than `shortest` and shorter than `longest`
+    characters are taken from the next reach - 1, until a blank line once one is taken, a line of more than `stop` characters, or
+    one that starts with `section` once more than six are taken. A line is cut at 480 characters; of a document's lines that agree
+    in their first `alike` characters (white space squeezed) the first stays, and the first `cap` of those are given, in the order
+    of anchor lines, anchors and lines. Each text's lines are split once, and every anchor folds over the lines in its reach
+    inside the row; only captured lines are shuffled. Ids are unique; null texts have no lines.
+    """
+    ls = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), strip)
+    kind = "array<struct<line_no:int,line:string>>"
+
+    def step(s: Column, x: Column) -> Column:
+        size, taken = F.length(x["line"]), F.size(s["out"])
+        ends = ((size == 0) & (taken > 0)) | (size > stop) | (taken >= most)
+        if section:
+            ends = ends | (x["line"].rlike(f"^(?:{section})") & (taken > 6))
+        ends = s["ended"] | ends
+        take = ~ends & (size > shortest) & (size < longest)
+        return F.struct(ends.alias("ended"), F.when(take, F.concat(s["out"], F.array(F.struct(x["line_no"].alias("line_no"), F.substring(x["line"], 1, 480).alias("line"))))).otherwise(s["out"]).alias("out"))
+
+    def captured(place: Column) -> Column:
+        rows = F.transform(lines_after(F.col("_ls"), place, reach), lambda x, i: F.struct((place + i + 2).alias("line_no"), x.alias("line")))
+        return F.aggregate(rows, F.struct(F.lit(False).alias("ended"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
+
+    split = docs.select("doc_id", ls.alias("_ls"))
+
+    def places_of(k: int, pattern: str) -> Column:
+        at = F.filter(F.transform("_ls", lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(k).alias("anchor")))
+
+    places = F.flatten(F.array(*[places_of(k, pattern) for k, (pattern, _) in enumerate(anchors)]))
+    each = split.select("doc_id", "_ls", places.alias("_places")).where(F.size("_places") > 0)
+    taken = each.select("doc_id", F.explode(F.flatten(F.transform("_places", lambda p: F.transform(captured(p["at"]), lambda c: F.struct(p["at"].alias("at"), p["anchor"].alias("anchor"), c["line_no"].alias("line_no"), c["line"].alias("line")))))).alias("c"))
+    key = F.substring(F.regexp_replace("c.line", r"\s+", " "), 1, alike)
+    once = taken.groupBy("doc_id", key.alias("_key")).agg(F.min("c").alias("c"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("c"))
+    label = F.element_at(F.array(*[F.lit(label) for _, label in anchors]), F.col("c.anchor") + 1)
+    return once.withColumn("place", place).where(F.col("place") <= cap).select("doc_id", "place", label.alias("label"), "c.line_no", "c.line")

@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.plans.session import shared_table
+
 
 def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def running_total(df: DataFrame, order: str, size: Column, name: str, parts: int = 64) -> DataFrame:
+def first_n(df: DataFrame, part: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group along an order; ties in the order are broken at will."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+#: Rows of a range of running_total.
+ROWS_A_RANGE = 200_000
+
+
+def running_total(df: DataFrame, order: str, size: Column, name: str, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """Adds the sum of `size` up to and with each row along a unique order column, without a window over the whole table.
 
-    Rows are cut in ranges of the order column by its approximate quantiles; totals of the ranges are added up among
-    themselves (as many rows as parts), and each range has its own window.
+    The input is computed once and written. It is dealt out by ranges of the order column, as many as its rows ask for; each
+    range has its own window, and what stands before a range is one row for each range, sent to all tasks. Nulls come first.
     """
-    edges = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q or []
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + (F.col(order) > F.lit(e)).cast("int")
-    cut = df.withColumn("_size", size).withColumn("_part", bucket)
-    totals = cut.groupBy("_part").agg(F.sum("_size").alias("_sum"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    inner = F.sum("_size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(F.broadcast(before), "_part").withColumn(name, inner + F.col("_before")).drop("_size", "_part", "_before")
+    once = shared_table(df.withColumn("_size", size))
+    ranges = max(1, -(-once.count() // rows_a_range))
+    ranged = once.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id())
+    totals = ranged.groupBy("_range").agg(F.sum("_size").alias("_sum"))
+    before = totals.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.sum("_size").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_inner", inner).join(F.broadcast(before), "_range").withColumn(name, F.col("_inner") + F.col("_before")).drop("_size", "_range", "_before", "_inner")
 
 
 def number_rows(df: DataFrame, order: str, prefix: str, width: int = 3) -> DataFrame:

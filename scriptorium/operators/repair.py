@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import line_form
+from scriptorium.functions.text import line_form, strip
 from scriptorium.operators.lines import PAGE_MARK, run_groups
 
 #: Brackets and their mirror images, and runs that keep their order within right-to-left text.
@@ -101,53 +99,60 @@ def header_zones(ls: DataFrame, body: str, strong: str | None = None, letters: i
     return paged.withColumn("zone", zone.otherwise("body")).select(*ls.columns, "zone")
 
 
-def paragraphs_of(text: str | None, heading: str, least: int = 40) -> list[tuple[str, str]]:
-    """(kind, text) of a text's paragraphs.
-
-    Lines without letters or digits and lines that repeat the one before go; headings stand alone; two blank lines, or the
-    end of a sentence once more than `least` characters are gathered, close a paragraph.
-    """
-    out: list[tuple[str, str]] = []
-    held: list[str] = []
-    blanks, before, is_heading = 0, None, re.compile(heading)
-
-    def close() -> None:
-        if held:
-            out.append(("para", " ".join(held)))
-            held.clear()
-
-    for raw in (text or "").split("\n"):
-        line = raw.strip()
-        if not line:
-            blanks += 1
-            if blanks == 2:
-                close()
-            continue
-        blanks = 0
-        form = "".join(ch if ch.isalnum() else " " for ch in line).lower().split()
-        if not form or form == before:
-            continue
-        before = form
-        if is_heading.match(line):
-            close()
-            out.append(("heading", line))
-            continue
-        held.append(line)
-        if line[-1] in ".؟!?" and sum(map(len, held)) + len(held) - 1 > least:
-            close()
-    close()
-    return out
+#: Lines folded at once: a fold's result is copied with each line added to it, so long texts are folded in parts.
+FOLD_LINES = 256
 
 
 def rebuild_paragraphs(docs: DataFrame, heading: str, least: int = 40) -> DataFrame:
-    """(doc_id, para_no, kind, text); what closes a paragraph depends on its length so far, so each text is read in order."""
+    """(doc_id, para_no, kind, text) of docs(doc_id, text).
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, i, kind, t) for d, text in zip(frame["doc_id"], frame["text"], strict=True) for i, (kind, t) in enumerate(paragraphs_of(text, heading, least), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "para_no", "kind", "text"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, para_no int, kind string, text string")
+    Lines without letters or digits and lines that repeat the one before go; headings (a pattern at a line's start) stand alone;
+    two blank lines, or the end of a sentence once more than `least` characters are gathered, close a paragraph. That depends on
+    what is gathered so far, so each text's lines are folded in order, inside the row: nothing is shuffled. Null and blank texts
+    have no paragraphs; repeated ids are texts of their own.
+    """
+    form = lambda x: F.trim(F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(strip(x).alias("line"), form(x).alias("form")))
+    kept = "array<struct<para:int,heading:boolean,line:string>>"
+    zero = F.lit(0)
+
+    def step(s: Column, x: Column) -> Column:
+        line, held = x["line"], s["held"]
+        blank = line == ""
+        gone = blank | (x["form"] == "") | x["form"].eqNullSafe(s["before"])
+        head = ~gone & line.rlike(f"^(?:{heading})")
+        gathered = held + F.length(line) + F.when(held > 0, 1).otherwise(0)
+        full = ~gone & F.right(line, F.lit(1)).isin(*".؟!?") & (gathered > least)
+        two = blank & (s["blanks"] == 1)
+        own = s["para"] + F.when(head & (held > 0), 1).otherwise(0)
+        row = F.array(F.struct(own.alias("para"), head.alias("heading"), line.alias("line")))
+        return F.struct(
+            F.when(head | full | two, 0).when(gone, held).otherwise(gathered).alias("held"),
+            F.when(blank, s["blanks"] + 1).otherwise(0).alias("blanks"),
+            F.when(gone, s["before"]).otherwise(x["form"]).alias("before"),
+            F.when(head, own + 1).when(full | (two & (held > 0)), s["para"] + 1).otherwise(s["para"]).alias("para"),
+            F.when(gone, s["out"]).otherwise(F.concat(s["out"], row)).alias("out"),
+        )
+
+    def part(s: Column, i: Column) -> Column:
+        start = F.struct(s["held"].alias("held"), s["blanks"].alias("blanks"), s["before"].alias("before"), s["para"].alias("para"), F.array().cast(kept).alias("out"))
+        done = F.aggregate(F.slice("_lines", i * FOLD_LINES + 1, F.lit(FOLD_LINES)), start, step)
+        return bound(done, lambda r: F.struct(r["held"].alias("held"), r["blanks"].alias("blanks"), r["before"].alias("before"), r["para"].alias("para"), F.concat(s["parts"], F.array(r["out"])).alias("parts")))
+
+    start = F.struct(zero.alias("held"), zero.alias("blanks"), F.lit(None).cast("string").alias("before"), zero.alias("para"), F.array().cast(f"array<{kept}>").alias("parts"))
+    parts = F.sequence(zero, F.floor((F.size("_lines") - 1) / FOLD_LINES).cast("int"))
+    folded = docs.select("doc_id", lines.alias("_lines")).select("doc_id", F.flatten(F.aggregate(parts, start, part)["parts"]).alias("_out")).where(F.size("_out") > 0)
+    places = F.sequence(F.lit(1), F.size("_out"))
+    first = F.filter(places, lambda i: (i == 1) | (F.element_at("_out", i)["para"] != F.element_at("_out", F.greatest(i - 1, F.lit(1)))["para"]))
+    marked = folded.withColumn("_first", first)
+
+    def paragraph(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_first", k + 1), F.size("_out") + 1)
+        text = F.array_join(F.transform(F.slice("_out", start, end - start), lambda x: x["line"]), " ")
+        kind = F.when(F.element_at("_out", start)["heading"], "heading").otherwise("para")
+        return F.struct((k + 1).alias("para_no"), kind.alias("kind"), text.alias("text"))
+
+    return marked.select("doc_id", F.explode(F.transform("_first", paragraph)).alias("p")).select("doc_id", "p.*")
 
 
 def section_lines(ls: DataFrame, rules: Sequence[tuple[str, Sequence[str], int]], rest: str = "body") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import file_id
 from scriptorium.operators import extract, lines, package, pairs, registers, repair, reports, search
-from scriptorium.plans import casework, findings
+from scriptorium.plans import casework, findings, structure
 from scriptorium.plans.session import shared_folder
 from scriptorium.streaming import incremental
 
@@ -201,10 +201,6 @@ def header_zones(spark, d):
     return zones.groupBy("doc_id", "zone").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"))
 
 
-def paragraphs(spark, d):
-    return repair.rebuild_paragraphs(_t(spark, d, "documents"), heading=r"[A-Z0-9 ]{3,40}:?$")
-
-
 def card_fields(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text")
     cards = reports.build_cards(docs, ["license", "token", "the "], {"title:number": "([0-9]{4,})", "number": "([0-9]{6,})", "any:number": "([0-9]{5,})", "mail": "([a-z0-9._]+@[a-z0-9.]+)"})
@@ -389,7 +385,7 @@ ORACLE_SQL |= {
     "highlights": "SELECT doc_id, e - 3 AS start_pos, e AS end_pos FROM (SELECT doc_id, i, n, CAST(sum(length(piece) + 3) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i, len(p) AS n FROM (SELECT doc_id, string_split(lower(text), 'the') AS p FROM documents))) WHERE i < n",
 }
 
-#: These read each text in order or page by page and have no SQL; test_repair.py holds them against fixtures.
-NO_SQL = ("header_zones", "paragraphs")
-QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)} | casework.QUERIES | findings.QUERIES
-ORACLE_SQL |= casework.ORACLE_SQL | findings.ORACLE_SQL
+#: This reads each text page by page and has no SQL; test_repair.py holds it against fixtures.
+NO_SQL = ("header_zones",)
+QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)} | casework.QUERIES | findings.QUERIES | structure.QUERIES
+ORACLE_SQL |= casework.ORACLE_SQL | findings.ORACLE_SQL | structure.ORACLE_SQL

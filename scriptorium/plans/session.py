@@ -43,14 +43,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names (in one of our own only in a local session where it is unset)."""
+    """A new path in the folder that spark.checkpoint.dir names (in one of our own only in a local session where it is unset); what stands there goes when the application ends."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = sc._scriptorium_tables = getattr(sc, "_scriptorium_tables", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)  # with the application, not before: results read it late
+    return path
 
 
 def shared_table(df: DataFrame) -> DataFrame:

@@ -69,6 +69,23 @@ def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpo
     return query
 
 
+def dedupe_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str, time: str, delay: str, fmt: str = "parquet", files_a_batch: int | None = None):
+    """Append the first row of each key from new files, with state for `delay` behind the latest time alone.
+
+    A row whose key came before is dropped while the key's time plus delay is ahead of the watermark (the latest time so far less
+    delay); rows behind the watermark are late and dropped whatever their key. Keys further apart than delay can come again: the
+    state is bounded by the rows of that span, not by all keys. Rows without a time are left out; a null key is a key like any
+    other. Takes what is there and ends; with the same checkpoint a rerun adds nothing. Returns the ended query.
+    """
+    reader = spark.readStream.schema(schema).format(fmt)
+    reader = reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader
+    rows = reader.load(source).withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull())
+    once = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    query = once.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def prepare_documents(docs: DataFrame, rules: DataFrame, authorities: Sequence[str], patterns: dict[str, str], script: str | None = None) -> DataFrame:
     """New docs(doc_id, title, text) as records: type, card, long numbers, dates, quality and whether there is text to read. Ids are unique."""
     keyed = docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))

@@ -58,7 +58,7 @@ def test_quality_and_lines(spark):
 
 def test_capture_stops_at_blank(spark):
     text = "GROUNDS\nfirst long enough line\nsecond long enough line\n\nthird long enough line"
-    got = extract.capture_after(lines.lines(docs(spark, text)), "^GROUNDS").collect()
+    got = extract.capture_after(docs(spark, text), [("^GROUNDS", "grounds")]).collect()
     assert sorted(r.line_no for r in got) == [2, 3]
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import ascii_digits, audit_form, tokens
+from scriptorium.operators.extract import held_patterns
+from scriptorium.operators.pairs import set_join
 
 #: How an article of a law is cited, in the normal form for matching.
 ARTICLE = r"(?:الماده|ماده)\s*(?:رقم\s*)?\(?\s*(\d{1,3})\)?"
@@ -60,40 +60,27 @@ def same_title_groups(docs: DataFrame) -> DataFrame:
 def match_study_lines(lines: DataFrame, titles: DataFrame, least: float = 0.45) -> DataFrame:
     """For each of lines(line_id, line) the first of titles(title_id, title) whose words reach the Jaccard similarity; (line_id, title_id, similarity).
 
-    Words meet in an inverted list; counts of common words and the sets' sizes give the similarity.
+    Lines, and titles, with the same words are one (the titles' first id). Word sets meet by a prefix filter on both sides: rare
+    words first, and only as many of a set as a partner of the least size can leave out. Lines and titles without words match nothing.
     """
-    words = lambda df, key, col: df.select(F.col(key), F.explode(F.array_distinct(tokens(F.col(col), 1))).alias("w"))
+    words = lambda df, key, col: df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens(F.col(col), 1))).alias("items")).where(F.size("items") > 0)
     a, b = words(lines, "line_id", "line"), words(titles, "title_id", "title")
-    size = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
-    common = a.join(b, "w").groupBy("line_id", "title_id").agg(F.count("*").alias("n"))
-    both = common.join(size(a, "line_id", "na"), "line_id").join(size(b, "title_id", "nb"), "title_id")
-    close = both.withColumn("similarity", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).where(F.col("similarity") >= least)
-    return close.groupBy("line_id").agg(F.min(F.struct("title_id", "similarity")).alias("x")).select("line_id", "x.*")
+    once = lambda df: df.groupBy("items").agg(F.min("id").alias("id"))
+    close = set_join(once(a), once(b), "id", F.col("items"), least)
+    best = close.groupBy("a").agg(F.min(F.struct(F.col("b").alias("title_id"), "similarity")).alias("x"))
+    first = once(a).join(best, F.col("id") == F.col("a")).select("items", "x")
+    return a.join(first, "items").select(F.col("id").alias("line_id"), "x.*")
 
 
-def contained_passages(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, item_id): items whose whole text stands in a document, as runs of words at single blanks.
+def contained_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id): items whose whole text stands in a document, as runs of words at single blanks, in lower case.
 
-    An item meets the documents that hold its first `words` words in a row, so that no item is held against all texts; shorter
-    items are keyed by all their words with the documents' runs of that length.
+    All items are looked for in one pass over each text (see held_patterns), so nothing is joined or shuffled. Items without
+    words stand nowhere.
     """
-    form = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), " ")
-    keyed = items.select("item_id", form(F.col("text")).alias("iw")).where(F.element_at("iw", 1) != "").withColumn("k", F.least(F.size("iw"), F.lit(words)))
-    keyed = keyed.withColumn("key", F.array_join(F.slice("iw", 1, F.col("k")), " "))
-    sizes = [r.k for r in keyed.select("k").distinct().collect()]  # no more than `words`
-    body = docs.select("doc_id", form(F.col("text")).alias("dw"))
-
-    def runs_of(k: int) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.size("dw") - (k - 1))
-        runs = F.transform(starts, lambda i: F.array_join(F.slice("dw", i, k), " "))
-        return body.where(F.size("dw") >= k).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"), F.lit(k).alias("k"))
-
-    runs = [runs_of(k) for k in sizes]
-    if not runs:
-        return docs.select("doc_id").limit(0).join(items.select("item_id").limit(0))
-    met = reduce(DataFrame.union, runs).join(keyed.select("item_id", "key", "k"), ["key", "k"]).select("doc_id", "item_id").distinct()
-    whole = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    return met.join(body, "doc_id").join(keyed.select("item_id", "iw"), "item_id").where(F.contains(whole("dw"), whole("iw"))).select("doc_id", "item_id")
+    words = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), F.lit(" "))
+    wanted = items.select("item_id", words(F.col("text")).alias("pattern")).where("trim(pattern) <> ''")
+    return held_patterns(docs.select("doc_id", words(F.col("text")).alias("text")), wanted).select("doc_id", "item_id")
 
 
 def hits_with_docs(hits: DataFrame, docs: DataFrame) -> DataFrame:

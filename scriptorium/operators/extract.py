@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scriptorium.functions.text import ascii_digits, audit_form, strip
 
@@ -18,14 +21,14 @@ GREGORIAN = rf"{_L}(?:(?:19|20)\d{{2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*\d{{1,2}}|\d{
 MONEY = r"([0-9][0-9.,٬]{2,})\s*(?:ريالا?|ر\.?س\.?|دولار|SAR|USD|EUR)"
 CUE = r"(?:مبلغ|قدره|وقدره|بمبلغ|قيمته|بقيمه)\s*([0-9][0-9.,٬]{2,})"
 MAGNITUDES = {"مليون": 1_000_000, "ملايين": 1_000_000, "الف": 1_000, "الاف": 1_000, "مليار": 1_000_000_000}
-#: Lexicons up to so many rows are sent to all tasks; larger ones are left to the planner.
+#: Small tables up to so many rows are sent to all tasks; larger ones are left to the planner.
 LEXICON_ROWS = 10_000
 #: Rule lists up to so many rows become constants of one expression, so that each text is read once and nothing is joined.
 RULE_ROWS = 500
 
 
 def small(lexicon: DataFrame, most: int = LEXICON_ROWS) -> DataFrame:
-    """Broadcast hint for a lexicon whose size has been checked."""
+    """Broadcast hint for a table whose size has been checked."""
     return F.broadcast(lexicon) if lexicon.limit(most + 1).count() <= most else lexicon
 
 
@@ -77,12 +80,76 @@ def extract_amounts(docs: DataFrame, money: str = MONEY, cue: str = CUE, magnitu
     return one.withColumn("shown", F.format_number(F.col("amount_key").cast("long"), 0))
 
 
+#: Letters of the patterns that one automaton holds, and so about what is sent to all tasks at once.
+AUTOMATON_LETTERS = 4_000_000
+
+
+def _automaton(patterns: list[str]):
+    """An automaton over distinct patterns, with the places of equal ones; and the places of empty ones, which every text holds."""
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for i, p in enumerate(patterns):
+        places.setdefault(p, []).append(i)
+    empty = places.pop("", [])
+    machine = ahocorasick.Automaton()
+    for p, at in places.items():
+        machine.add_word(p, at)
+    machine.make_automaton()
+    return machine, empty
+
+
+def held_patterns(texts: DataFrame, lexicon: DataFrame, mirrored: bool = False) -> DataFrame:
+    """(doc_id, columns of the lexicon) for each row of lexicon(pattern, ...) whose pattern stands in a text of texts(doc_id, text).
+
+    For lexicons too long to be constants: each text is read once by an automaton over all patterns, in Arrow batches, whatever
+    their number; with `mirrored`, patterns written backwards count too. An automaton has AUTOMATON_LETTERS letters or so, and
+    longer lexicons are cut by a hash of the pattern into as many parts, each read by a pass of its own, so what is sent to tasks
+    is bounded. Null texts and patterns meet nothing; rows are given once for each text row. Nothing is shuffled.
+    """
+    lexicon = lexicon.where("pattern IS NOT NULL")
+    letters = lexicon.agg(F.sum(F.octet_length("pattern")).alias("n")).first().n or 0
+    parts = max(1, -(-letters * (2 if mirrored else 1) // AUTOMATON_LETTERS))
+    id_type = texts.schema["doc_id"]
+    schema = T.StructType([id_type, *lexicon.schema.fields])
+    rows = texts.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    at = lexicon.columns.index("pattern")
+    out = None
+    for k in range(parts):
+        part = lexicon if parts == 1 else lexicon.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k)
+        sent = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+
+        def run(batches, sent=sent):
+            own = sent.value
+            patterns = [r[at] for r in own]
+            machine, empty = _automaton(patterns + [p[::-1] for p in patterns] if mirrored else patterns)
+            n, arrow = len(own), None
+            for batch in batches:
+                arrow = arrow or to_arrow_schema(schema)
+                values = pa.table([pa.array(c, f.type) for c, f in zip(zip(*own) if own else [[]] * (len(arrow) - 1), list(arrow)[1:], strict=True)], names=arrow.names[1:])
+                which, held = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    found = {p % n for p in empty}
+                    if len(machine):
+                        for _, places in machine.iter(text):
+                            found.update(p % n for p in places)
+                    which += [i] * len(found)
+                    held += sorted(found)
+                for a in range(0, len(which), 10_000):
+                    got = values.take(pa.array(held[a : a + 10_000], pa.int64())).combine_chunks()
+                    ids = batch.column(0).take(pa.array(which[a : a + 10_000], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in got.columns)], names=arrow.names)
+
+        found = rows.mapInArrow(run, schema)
+        out = found if out is None else out.union(found)
+    return out
+
+
 def match_aliases(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, kind, label): a pattern stands in the text, forward or reversed. Ids are unique."""
     rows = rule_rows(lexicon.select("kind", "label", "pattern").where("pattern is not null"))
     if rows is None:
-        hit = F.contains("text", "pattern") | F.contains(F.reverse("text"), F.col("pattern"))
-        return docs.select("doc_id", "text").join(small(lexicon), hit).select("doc_id", "kind", "label").distinct()
+        return held_patterns(docs, lexicon.select("kind", "label", "pattern"), mirrored=True).select("doc_id", "kind", "label").distinct()
     ways = constants(sorted({(r.kind, r.label, p) for r in rows for p in (r.pattern, r.pattern[::-1])}, key=str), "kind", "label", "pattern")
     hits = F.filter(ways, lambda e: F.contains(F.col("text"), e["pattern"]))
     labels = F.array_distinct(F.transform(hits, lambda e: F.struct(e["kind"].alias("kind"), e["label"].alias("label"))))
@@ -93,10 +160,10 @@ def classify_type(docs: DataFrame, rules: DataFrame, generic: list[str] = (), re
     """The first rule (by ord) whose pattern is in the title, else the first whose pattern, no generic one, is in the text."""
     rows = rule_rows(rules.select("label", "pattern", "ord").where("pattern is not null"))
     if rows is None:
-        title = F.contains(F.lower("title"), "pattern")
-        body = F.contains(F.lower("text"), "pattern") & ~F.col("pattern").isin(list(generic))
-        hits = docs.select("doc_id", "title", "text").join(small(rules), title | body)
-        best = hits.groupBy("doc_id").agg(F.min_by("label", F.struct((~title).cast("int"), F.col("ord"))).alias("doc_type"))
+        wanted = rules.select("label", "pattern", "ord")
+        title = held_patterns(docs.select("doc_id", F.lower("title").alias("text")), wanted).withColumn("_place", F.lit(0))
+        body = held_patterns(docs.select("doc_id", F.lower("text").alias("text")), wanted.where(~F.col("pattern").isin(list(generic)))).withColumn("_place", F.lit(1))
+        best = title.union(body).groupBy("doc_id").agg(F.min_by("label", F.struct("_place", "ord")).alias("doc_type"))
         return docs.select("doc_id").join(best, "doc_id", "left").fillna(rest, ["doc_type"])
     order = sorted(rows, key=lambda r: r.ord)
     first = lambda c, rs: F.get(F.filter(constants([(r.label, r.pattern) for r in rs], "label", "pattern"), lambda e: F.contains(c, e["pattern"])), F.lit(0))["label"]
@@ -108,7 +175,7 @@ def classify_segments(docs: DataFrame, rules: DataFrame, most: int = 8) -> DataF
     """(doc_id, label, keywords): the keywords of each class that a text holds. Ids are unique."""
     rows = rule_rows(rules.select("label", "pattern").where("pattern is not null"))
     if rows is None:
-        hits = docs.select("doc_id", F.lower("text").alias("low")).join(small(rules), F.contains("low", "pattern"))
+        hits = held_patterns(docs.select("doc_id", F.lower("text").alias("text")), rules.select("label", "pattern"))
         return hits.groupBy("doc_id", "label").agg(F.slice(F.array_sort(F.collect_set("pattern")), 1, most).alias("keywords"))
     words: dict[str, set[str]] = {}
     for r in rows:

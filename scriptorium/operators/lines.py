@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import clamp, line_form, nfkc, strip
-from scriptorium.operators.package import highlights
+from scriptorium.operators.package import occurrence_ranges
 
 PAGE_MARK = r"\[صفحة\s*([0-9٠-٩]+)\]"
 
@@ -138,13 +138,13 @@ def run_groups(df: DataFrame, part: list[str], order: list[str], category: str)
 def kwic(docs: DataFrame, terms: str | Sequence[str], before: int = 32, after: int = 40) -> DataFrame:
     """(doc_id, pos, context, times): where docs(doc_id, text) hold a term as written or in look-alike letters, and how often.
 
-    Overlapping hits are one. Texts meet their hits by a join on unique ids.
+    Overlapping hits are one. Contexts are cut in the row that holds the text, so texts meet nothing.
     """
-    hits = highlights(docs, [terms] if isinstance(terms, str) else list(terms))
-    pos, end = F.col("start_pos"), F.col("end_pos")
+    ranges = docs.select("doc_id", "text", occurrence_ranges(F.col("text"), [terms] if isinstance(terms, str) else list(terms)).alias("_ranges"))
+    each = ranges.select("doc_id", "text", F.size("_ranges").cast("long").alias("times"), F.explode("_ranges").alias("r"))
+    pos, end = F.col("r.start_pos"), F.col("r.end_pos")
     context = F.substr("text", F.greatest(pos + 1 - before, F.lit(1)).cast("int"), (F.least(F.lit(before), pos) + end - pos + after).cast("int"))
-    times = F.count("*").over(Window.partitionBy("doc_id"))
-    return hits.withColumn("times", times).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", pos.alias("pos"), context.alias("context"), "times")
+    return each.select("doc_id", pos.alias("pos"), context.alias("context"), "times")
 
 
 def page_estimate(text: Column, per_page: int = 1800) -> Column:

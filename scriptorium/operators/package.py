@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import ALEF, ARABIC_DIGITS, MARKS, PERSIAN_DIGITS, date_to_hijri, gregorian_key, hijri_key, hijri_to_date
+from scriptorium.functions.text import ALEF, ARABIC_DIGITS, MARKS, PERSIAN_DIGITS, bound, date_to_hijri, gregorian_key, hijri_key, hijri_to_date
 from scriptorium.operators.extract import GREGORIAN, HIJRI, dates
 from scriptorium.operators.registers import running_total
 
 #: Letters that stand for each other in search, by the form that search uses.
 _ALIKE = {"ا": ALEF, "ي": "ىئ", "ه": "ة", "و": "ؤ"} | {str(i): a + p for i, (a, p) in enumerate(zip(ARABIC_DIGITS, PERSIAN_DIGITS, strict=True))}
+_NO_MARKS = dict.fromkeys(map(ord, MARKS))
 _FORM = {c: form for form, others in _ALIKE.items() for c in others}
 
 
@@ -95,22 +96,55 @@ def _loose(term: str) -> str:
     return "(?iu)" + "".join(out)
 
 
+#: Occurrences folded at once: a fold's result is copied with each range added to it.
+FOLD_HITS = 256
+
+
+def occurrence_ranges(text: Column, terms: Sequence[str]) -> Column:
+    """An array of (start_pos, end_pos): where a text holds one of the terms, overlapping ranges merged; see highlights.
+
+    Two passes of one alternation over the text, whatever the number of terms: at each place the longest term that begins there.
+    """
+    # of alternatives the first counts: one with more letters covers those that begin like it
+    parts = list(dict.fromkeys(p for t in sorted(terms, key=lambda t: -len(t.translate(_NO_MARKS))) if (p := _loose(t).removeprefix("(?iu)"))))
+    kind = "array<struct<start_pos:long,end_pos:long>>"
+    if not parts:
+        return F.array().cast(kind)
+    some = f"(?iu)(?=({'|'.join(parts)}))"
+    own = F.translate(text, "\x01", "\x02")  # U+0001 marks the places below
+    pieces = F.split(F.regexp_replace(own, some, "\x01"), "\x01", -1)
+    sizes = F.transform(F.regexp_extract_all(own, F.lit(some), F.lit(1)), F.length)
+    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), sizes, lambda p, n: F.struct(F.length(p).cast("long").alias("step"), n.cast("long").alias("size")))
+    zero = F.lit(0).cast("long")
+    none = F.array().cast(kind)
+
+    def add(s: Column, x: Column) -> Column:
+        at = s["at"] + x["step"]
+        opens = at >= s["end"]
+        last = F.array(F.struct(s["start"].alias("start_pos"), s["end"].alias("end_pos")))
+        return F.struct(
+            at.alias("at"), F.when(opens, at).otherwise(s["start"]).alias("start"), F.when(opens, at + x["size"]).otherwise(F.greatest(s["end"], at + x["size"])).alias("end"),
+            F.when(opens & (s["end"] > 0), F.concat(s["out"], last)).otherwise(s["out"]).alias("out"),
+        )
+
+    def part(all_steps: Column):
+        def run(s: Column, i: Column) -> Column:
+            start = F.struct(s["at"].alias("at"), s["start"].alias("start"), s["end"].alias("end"), none.alias("out"))
+            done = F.aggregate(F.slice(all_steps, i * FOLD_HITS + 1, F.lit(FOLD_HITS)), start, add)
+            return bound(done, lambda r: F.struct(r["at"].alias("at"), r["start"].alias("start"), r["end"].alias("end"), F.concat(s["parts"], F.array(r["out"])).alias("parts")))
+
+        return run
+
+    start = F.struct(zero.alias("at"), zero.alias("start"), zero.alias("end"), F.array().cast(f"array<{kind}>").alias("parts"))
+    end = lambda s: F.concat(F.flatten(s["parts"]), F.when(s["end"] > 0, F.array(F.struct(s["start"].alias("start_pos"), s["end"].alias("end_pos")))).otherwise(none))
+    folded = lambda x: bound(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / FOLD_HITS).cast("int")), start, part(x)), end)
+    return F.when(F.coalesce(own.rlike(some), F.lit(False)), bound(steps, folded)).otherwise(none)
+
+
 def highlights(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(doc_id, start_pos, end_pos): where docs(doc_id, text) hold one of the terms, on the text as written; overlapping ranges are one.
 
     Positions count characters from 0, ends are exclusive. Letters match their look-alikes, marks between letters don't hinder.
+    Terms that overlap each other or themselves count all; null texts hold none. Each text is read once, inside the row.
     """
-    found = None
-    for i, term in enumerate(terms):
-        pattern = F.lit(_loose(term))
-        part = docs.where(F.regexp_like("text", pattern)).select(
-            "doc_id", F.lit(i).alias("term"), F.posexplode(F.arrays_zip(F.split("text", _loose(term), -1).alias("before"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("hit"))).alias("k", "p")
-        )
-        found = part if found is None else found.union(part)
-    along = Window.partitionBy("doc_id", "term").orderBy("k")
-    ends = found.select("doc_id", "term", "k", F.length("p.hit").alias("size"), F.sum(F.length("p.before") + F.coalesce(F.length("p.hit"), F.lit(0))).over(along).alias("end_pos")).where("size is not null")
-    ranges = ends.select("doc_id", (F.col("end_pos") - F.col("size")).alias("start_pos"), "end_pos").distinct()
-    by = Window.partitionBy("doc_id").orderBy("start_pos", "end_pos")
-    opens = F.coalesce(F.col("start_pos") >= F.max("end_pos").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    runs = ranges.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("run")
+    return docs.select("doc_id", F.explode(occurrence_ranges(F.col("text"), terms)).alias("r")).select("doc_id", "r.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators.repair import bound
+from scriptorium.functions.text import bound
 from scriptorium.plans.session import shared_table
 
 
@@ -44,6 +44,88 @@ def set_join(left: DataFrame, right: DataFrame, id_col: str, items: Column, thre
     return whole.select("a", "b", (same / (F.size("x") + F.size("y") - same)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
+def groups_of(links: DataFrame) -> DataFrame:
+    """(id, group): the smallest id that links(a, b) lead to from each id that has a link to another; links go both ways and may repeat.
+
+    Every round takes the smallest label among neighbours and then the label's own label, so rounds grow with the logarithm of a
+    chain's length in most graphs; each is written and the one before read once.
+    """
+    both = shared_table(links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct())
+    labels = shared_table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("group")))
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), "group"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("near"))
+        low = labels.join(near, "id").select("id", F.least("group", "near").alias("low"), "group")
+        jump = low.join(labels.select(F.col("id").alias("low"), F.col("group").alias("then")), "low", "left")
+        least = F.least("low", F.coalesce("then", "low"))
+        new = shared_table(jump.select("id", least.alias("group"), (least != F.col("group")).alias("moved")))
+        labels = new.select("id", "group")
+        if not new.where("moved").limit(1).count():
+            return labels
+
+
+def set_groups(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, group) of sets(id, items: array) that a chain of pairs with Jaccard at or above the threshold joins to another; exact, without all pairs of a group.
+
+    Prefix and positional filter as in set_join. First each set meets only the smallest id of each of its prefix items, and what
+    agrees is grouped; then sets meet all others of their prefix items that are not in their group yet, and what agrees joins the
+    groups. Of sets that are all alike, no more than one pair for each member and prefix item is looked at.
+    """
+    sets = shared_table(sets.select("id", F.array_distinct("items").alias("items")).where(F.size("items") > 0))
+    df = sets.select(F.explode("items").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ranked = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("t")).join(df, "t")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
+    short = shared_table(ranked.withColumn("i", place).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("df > 1").select("id", "n", "i", "t"))
+
+    def agreeing(met: DataFrame) -> DataFrame:
+        """Of met(a, n_a, i_a, b, n_b, i_b) the pairs that reach the threshold."""
+        need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+        rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+        pairs = met.where(1 + rest >= need).select("a", "b").distinct()
+        whole = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        same = F.size(F.array_intersect("x", "y"))
+        return whole.where(same / (F.size("x") + F.size("y") - same) >= threshold - 1e-9).select("a", "b")
+
+    side = lambda name: [F.col(c).alias(f"{c}_{name}" if c != "id" else name) for c in ("id", "n", "i")]
+    hubs = short.groupBy("t").agg(F.min(F.struct("id", "n", "i")).alias("h")).select("t", F.col("h.id").alias("a"), F.col("h.n").alias("n_a"), F.col("h.i").alias("i_a"))
+    first = shared_table(agreeing(short.select("t", *side("b")).join(hubs, "t").where("a <> b")))
+    known = groups_of(first)
+    named = short.join(known, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    one, two = named.select("t", *side("a"), F.col("group").alias("g_a")), named.select("t", *side("b"), F.col("group").alias("g_b"))
+    second = agreeing(one.join(two, "t").where("a < b AND g_a <> g_b"))
+    return groups_of(first.union(second))
+
+
+def _shingled(docs: DataFrame, k: int) -> DataFrame:
+    """(id, text, items): the k-word shingles of each different trimmed text, by its smallest doc_id."""
+    one = docs.groupBy(F.trim("text").alias("text")).agg(F.min("doc_id").alias("id"))
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    gram = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+    none = F.array().cast("array<bigint>")
+    return one.select("id", bound(words, lambda w: F.when(F.size(w) >= k, F.array_distinct(gram(w))).otherwise(none)).alias("items")).where(F.size("items") > 0)
+
+
+def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
+    """(doc_id, group_id): documents that a chain of texts with k-word shingles at or above the threshold, or copies, joins to others, with the smallest id of their group.
+
+    One row for each document of docs(doc_id, text) in a group of several, however many pairs they make. Null texts are in none;
+    texts of fewer than k words are grouped with their copies alone.
+    """
+    near = set_groups(_shingled(docs, k), threshold)
+    keyed = docs.select("doc_id", F.sha2(F.trim("text"), 256).alias("h")).where("h IS NOT NULL")
+    firsts = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    named = firsts.join(near, F.col("first") == F.col("id"), "left").where("n > 1 OR group IS NOT NULL").select("h", F.coalesce("group", "first").alias("group_id"))
+    return keyed.join(named, "h").select("doc_id", "group_id")
+
+
+def similar_title_groups(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(doc_id, group_id): docs(doc_id, title) whose titles a chain of word sets at or above the threshold joins to another's; equal titles (in lower case) are one, and join each other."""
+    title = F.lower("title")
+    one = docs.where("title IS NOT NULL").groupBy(title.alias("t")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    near = set_groups(one.select("id", F.filter(F.split("t", r"\s+"), lambda w: w != "").alias("items")), threshold).withColumnRenamed("id", "_id")
+    named = one.join(near, F.col("id") == F.col("_id"), "left").where("n > 1 OR group IS NOT NULL").select("t", F.coalesce("group", "id").alias("group_id"))
+    return docs.join(named, title == F.col("t")).select("doc_id", "group_id")
+
+
 def similar_titles(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Pairs of different titles by word sets; equal titles are grouped first, so pairs are among distinct titles (least id of each)."""
     one = docs.groupBy(F.lower("title").alias("title")).agg(F.min("doc_id").alias("doc_id"))
@@ -51,12 +133,8 @@ def similar_titles(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
-    """Pairs of distinct texts by k-word shingles; copies are represented by their smallest id (exact_duplicates has the members)."""
-    one = docs.groupBy(F.trim("text").alias("text")).agg(F.min("doc_id").alias("doc_id"))
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    gram = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
-    none = F.array().cast("array<bigint>")
-    sets = shared_table(one.select("doc_id", bound(words, lambda w: F.when(F.size(w) >= k, F.array_distinct(gram(w))).otherwise(none)).alias("g")).where(F.size("g") > 0))
+    """Pairs of distinct texts by k-word shingles; copies are represented by their smallest id (exact_duplicates has the members). near_duplicate_groups gives groups without all their pairs."""
+    sets = shared_table(_shingled(docs, k).select(F.col("id").alias("doc_id"), F.col("items").alias("g")))
     return set_join(sets, sets, "doc_id", F.col("g"), threshold, itself=True)
 
 

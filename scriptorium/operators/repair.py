@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import line_form, strip
+from scriptorium.functions.text import bound, line_form, strip
 from scriptorium.operators.lines import PAGE_MARK, run_groups
 
 #: Brackets and their mirror images, and runs that keep their order within right-to-left text.
@@ -17,11 +17,6 @@ _RUN = r"[0-9A-Za-z٠-٩]+(?:[./:,-][0-9A-Za-z٠-٩]+)*"
 MOST_TERMS = 2_000
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value computed once for each row, however often `use` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def reversed_line(c: Column) -> Column:
     """The line read backwards: brackets are mirrored, numbers and Latin runs keep their order."""
     pieces = F.reverse(F.regexp_extract_all(F.translate(c, BRACKETS, MIRRORED), F.lit(rf"(?s){_RUN}|."), F.lit(0)))

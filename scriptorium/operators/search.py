@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,80 @@ def search_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
 
 
+#: Buckets of terms: a query reads those of its terms alone.
+TERM_BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def extend_index(docs: DataFrame, path: str, batch: int, stem: bool = True) -> None:
+    """Add new docs(doc_id, text) to a search index in a folder.
+
+    postings/batch=/bucket=: (term, doc_id, tf, length) in the order of terms, with the document's length, so that a query needs
+    no table of documents; terms/batch=/bucket=: (term, df) of the batch; totals/batch=: documents with terms and their terms.
+    Nothing that stands there is read but the ids of other batches: documents that these hold are left out. Writing a batch again
+    replaces it. Of repeated ids in a batch the texts count as one document; null texts have no terms.
+    """
+    spark = docs.sparkSession
+    fresh = docs.select("doc_id", "text")
+    try:
+        known = spark.read.parquet(f"{path}/ids").where(F.col("batch") != batch).select(F.col("doc_id").alias("_id")).distinct()
+        fresh = fresh.join(known, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    tf = shared_table(postings(fresh, stem))
+    sizes = tf.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    rows = tf.join(sizes, "doc_id")
+    own = {"batch": F.lit(batch), "bucket": _bucket(F.col("term"))}
+
+    def put(df: DataFrame, name: str, *by: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
+
+    put(rows.withColumns(own).repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id"), "postings", "batch", "bucket")
+    put(tf.groupBy("term").agg(F.count("*").alias("df")).withColumns(own).repartition("bucket").sortWithinPartitions("bucket", "term"), "terms", "batch", "bucket")
+    put(sizes.agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).withColumn("batch", F.lit(batch)), "totals", "batch")
+    put(fresh.select("doc_id").distinct().withColumn("batch", F.lit(batch)), "ids", "batch")
+
+
+def term_stats(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
+    """(term, df) over all batches of an index, of some terms or all."""
+    stats = spark.read.parquet(f"{path}/terms")
+    if terms is not None:
+        stats = _of_terms(stats, terms)
+    return stats.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _of_terms(table: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows of some terms; their buckets are constants, so other folders are not listed for reading."""
+    spark = table.sparkSession
+    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t")).alias("b")).distinct().collect()]
+    return table.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+
+def search_index(spark: SparkSession, path: str, query: list[str], stem: bool = True, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(doc_id, score): BM25 of the documents of an index that hold any query term, from the postings of these terms alone."""
+    terms = list(dict.fromkeys(query))
+    if stem and terms:
+        terms = list(dict.fromkeys(spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, t string").orderBy("i").select(light_stem(F.col("t")).alias("t")).toPandas()["t"]))
+    total = spark.read.parquet(f"{path}/totals").agg(F.sum("docs").alias("n"), F.sum("length").alias("length")).first()
+    df = {r.term: r.df for r in term_stats(spark, path, terms).collect()} if terms else {}
+    mean = (total.length or 0) / (total.n or 1) or 1.0
+    idf = F.lit(0.0)
+    for t, n in df.items():
+        idf = F.when(F.col("term") == t, math.log(1 + (total.n - n + 0.5) / (n + 0.5))).otherwise(idf)
+    hits = _of_terms(spark.read.parquet(f"{path}/postings"), list(df)) if df else spark.read.parquet(f"{path}/postings").limit(0)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean))))
+    return hits.groupBy("doc_id").agg(F.sum(part).alias("score"))
+
+
 def _scored(docs: DataFrame, terms: list[str], prefixes: bool, stem: bool, whole: str, width: int, k1: float, b: float) -> tuple[DataFrame, int]:
-    """docs(doc_id, text) as (doc_id, tf, score, snippet, whole), and how many hold all terms; each text is read once, then one row of totals."""
+    """docs(doc_id, text) as (doc_id, tf, score), with width > 0 also (snippet, whole), and how many hold all terms; each text is read once, then one row of totals."""
     t = tokens(F.coalesce("text", F.lit("")))
-    t = F.transform(t, light_stem) if stem else t
+    # stems take off Arabic letters alone, so most texts in other scripts are spared them
+    t = F.when(F.col("text").rlike(r"[\u0600-\u06FF]"), F.transform(t, light_stem)).otherwise(t) if stem else t
     wanted = [light_stem(F.lit(q)) if stem else F.lit(q) for q in terms]
     hit = lambda x, q: F.startswith(x, q) if prefixes else x == q
 
@@ -53,11 +124,12 @@ def _scored(docs: DataFrame, terms: list[str], prefixes: bool, stem: bool, whole
             out = out | hit(x, q)
         return out
 
-    base = docs.select("doc_id", t.alias("t"), F.contains(search_form(F.coalesce("text", F.lit(""))), F.lit(whole)).alias("whole"))
+    shown = [F.contains(search_form(F.coalesce("text", F.lit(""))), F.lit(whole)).alias("whole")] if width else []
+    base = docs.select("doc_id", t.alias("t"), *shown)
     held = lambda q: F.size(F.filter("t", lambda x: hit(x, q)))
     tf = F.array(*[held(q) for q in wanted]).cast("array<int>")
     start = F.greatest(F.array_position(F.transform("t", some), F.lit(True)).cast("int") - width // 2, F.lit(1))
-    table = shared_table(base.select("doc_id", F.size("t").alias("length"), tf.alias("tf"), F.array_join(F.slice("t", start, width), " ").alias("snippet"), "whole"))
+    table = shared_table(base.select("doc_id", F.size("t").alias("length"), tf.alias("tf"), *([F.array_join(F.slice("t", start, width), " ").alias("snippet"), "whole"] if width else [])))
     every, rows = F.forall("tf", lambda n: n > 0) & (F.size("tf") > 0), F.col("length") > 0
     sums = table.agg(F.count_if(rows).alias("n"), F.avg(F.when(rows, F.col("length"))).alias("mean"), F.count_if(every).alias("all"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
@@ -69,7 +141,7 @@ def _scored(docs: DataFrame, terms: list[str], prefixes: bool, stem: bool, whole
 
 def bm25_texts(docs: DataFrame, query: list[str], stem: bool = True, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of docs(doc_id, text) with any query term, straight from the texts: nothing is shuffled but one row of totals."""
-    table, _ = _scored(docs, list(dict.fromkeys(query)), False, stem, "", 1, k1, b)
+    table, _ = _scored(docs, list(dict.fromkeys(query)), False, stem, "", 0, k1, b)
     return table.where(F.exists("tf", lambda n: n > 0)).select("doc_id", "score")
 
 

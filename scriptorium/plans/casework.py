@@ -53,9 +53,8 @@ def same_titles(spark, d):
 
 def study_lines_to_titles(spark, d):
     part = _t(spark, d, "part")
-    return c.match_study_lines(
-        part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("line_id"), F.concat_ws(" ", "p_brand", "p_type").alias("line")), part.select(F.col("p_partkey").alias("title_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
-    ).select("line_id", "title_id", F.round("similarity", 6).alias("similarity"))
+    lines_, titles = part.select(F.col("p_partkey").alias("line_id"), F.concat_ws(" ", "p_name", "p_type").alias("line")), part.select(F.col("p_partkey").alias("title_id"), F.concat_ws(" ", "p_type", "p_brand", "p_name").alias("title"))
+    return c.match_study_lines(lines_, titles).select("line_id", "title_id", F.round("similarity", 6).alias("similarity"))
 
 
 def contained_passages(spark, d):
@@ -137,7 +136,7 @@ ORACLE_SQL = {
     "cited_articles": "SELECT DISTINCT doc_id, CAST(n AS INT) AS article FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '\\s+', ' ', 'g'), '(?:section|version|level|no)\\s*(\\d{1,3})', 1)) AS n FROM documents)",
     "known_numbers": "SELECT doc_id, number FROM documents JOIN (VALUES " + ", ".join(f"('{n}')" for n in NUMBERS) + ") v(number) ON contains(text, number)",
     "same_titles": "SELECT lower(p_name || ' ' || p_brand) AS norm_title, count(*) AS docs, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(*) > 1",
-    "study_lines_to_titles": f"WITH a AS (SELECT p_partkey AS id, {_WORDS.format('p_brand || chr(32) || p_type')} AS w FROM part WHERE p_partkey % 100 = 0), b AS (SELECT p_partkey AS id, {_WORDS.format('p_name || chr(32) || p_type')} AS w FROM part), m AS (SELECT a.id AS line_id, b.id AS title_id, len(list_intersect(a.w, b.w)) AS n, len(a.w) AS na, len(b.w) AS nb FROM a, b) SELECT line_id, min(title_id) AS title_id, round(arg_min(n / (na + nb - n), title_id), 6) AS similarity FROM m WHERE n / (na + nb - n) >= 0.45 GROUP BY line_id",
+    "study_lines_to_titles": f"WITH a AS (SELECT p_partkey AS id, {_WORDS.format('p_name || chr(32) || p_type')} AS w FROM part), b AS (SELECT p_partkey AS id, {_WORDS.format('p_type || chr(32) || p_brand || chr(32) || p_name')} AS w FROM part), m AS (SELECT a.id AS line_id, b.id AS title_id, len(list_intersect(a.w, b.w)) AS n, len(a.w) AS na, len(b.w) AS nb FROM a, b) SELECT line_id, min(title_id) AS title_id, round(arg_min(n / (na + nb - n), title_id), 6) AS similarity FROM m WHERE n / (na + nb - n) >= 0.45 GROUP BY line_id",
     "contained_passages": f"SELECT doc_id, item_id FROM (SELECT doc_id, {_FLAT.format('text')} AS t FROM documents) JOIN (SELECT item_id, {_FLAT.format('text')} AS i FROM benchmark) ON trim(i) <> '' AND contains(t, i)",
     "hits_with_documents": f"SELECT doc_id, hits, lang, source FROM (SELECT doc_id, count(*) AS hits FROM ({_TERM}) WHERE term IN ('the', 'and', 'der') GROUP BY doc_id) JOIN documents USING (doc_id)",
     "tally": "SELECT o_orderstatus AS status, count(*) AS docs FROM orders GROUP BY 1",

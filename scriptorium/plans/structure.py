@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import extract, repair
+from scriptorium.operators import extract, lines, package, pairs, repair, search
 from scriptorium.plans.session import shared_folder
-from scriptorium.streaming import incremental
+from scriptorium.streaming import incremental, versions
 
 HEADING = r"[A-Z0-9 ]{3,40}:?$"
+QUERY = ["the", "and", "for", "with"]
 ANCHORS = [("licen", "licence"), ("token", "secret"), ("https?://", "link"), ("[0-9]{6}", "number")]
 
 
@@ -39,6 +42,69 @@ def captured_lines(spark, d):
     return extract.capture_after(_t(spark, d, "documents"), ANCHORS, section="[0-9]+[.)]")
 
 
+def large_lexicon(spark, d):
+    """Aliases from a lexicon of thousands of rows: names and numbers of orders, customers and parts."""
+    rows = [
+        ("order", _t(spark, d, "orders"), "o_orderpriority", "o_orderkey"), ("customer", _t(spark, d, "customer"), "c_mktsegment", "c_custkey"), ("customer", _t(spark, d, "customer"), "c_mktsegment", "c_name"),
+        ("part", _t(spark, d, "part"), "p_brand", "p_partkey"), ("part", _t(spark, d, "part"), "p_brand", "p_name"),
+    ]
+    lexicon = reduce(DataFrame.union, [df.select(F.lit(kind).alias("kind"), F.col(label).alias("label"), F.col(key).cast("string").alias("pattern")) for kind, df, label, key in rows])
+    return extract.match_aliases(_t(spark, d, "documents"), lexicon)
+
+
+def near_dup_groups(spark, d):
+    return pairs.near_duplicate_groups(_t(spark, d, "documents"), 0.8)
+
+
+def title_groups(spark, d):
+    """Titles of word triples, among which one word of three may differ."""
+    parts = _t(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string")).alias("title"))
+    return pairs.similar_title_groups(parts, 0.6)
+
+
+OVERLAPS = ["the", "hese", "es an"]
+
+
+def occurrences(spark, d):
+    return package.highlights(_t(spark, d, "documents"), OVERLAPS)
+
+
+def term_contexts(spark, d):
+    docs = _t(spark, d, "documents")
+    return lines.kwic(docs, OVERLAPS, 5, 8)
+
+
+def versioned_texts(spark, d):
+    """Texts of better candidates as a second version, by a run that is made twice; both versions read."""
+    docs, path = _t(spark, d, "documents"), shared_folder(spark)
+    first = docs.select("doc_id", "text", (F.col("n_chars") % 100).cast("double").alias("quality"), F.lit(False).alias("replaced"), F.lit(None).cast("string").alias("old_text"))
+    better = docs.select("doc_id", F.concat(F.lit("read again: "), "text").alias("text"), (F.col("n_chars") % 83).cast("double").alias("quality"))
+    versions.write_version(first, path, "first")
+    for _ in range(2):
+        latest = versions.update_version(spark, path, lambda rows: versions.with_best_texts(rows, better).drop("decision"), "better")
+    md5 = lambda c: F.md5(F.col(c).cast("binary"))
+    one = versions.read_version(spark, path, 1).select("doc_id", md5("text").alias("before"))
+    two = versions.read_version(spark, path).select("doc_id", md5("text").alias("after"), md5("old_text").alias("kept"), "quality", "replaced")
+    return one.join(two, "doc_id").withColumn("version", F.lit(latest))
+
+
+def maintained_index(spark, d):
+    """BM25 from an index to which documents were added in two batches, the second one twice; equal to one from scratch."""
+    docs, path = _t(spark, d, "documents"), shared_folder(spark)
+    even = F.col("lang").isin("en", "de")
+    search.extend_index(docs.where(even), path, 1)
+    for _ in range(2):
+        search.extend_index(docs, path, 2)
+    return search.search_index(spark, path, QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def index_terms(spark, d):
+    docs, path = _t(spark, d, "documents"), shared_folder(spark)
+    for k, part in enumerate((F.col("lang") == "en", F.coalesce(F.col("lang") != "en", F.lit(True)))):
+        search.extend_index(docs.where(part), path, k, stem=False)
+    return search.term_stats(spark, path)
+
+
 _STRIP = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _STATE = "{{'line': {}, 'form': {}, 'held': 0, 'blanks': 0, 'before': NULL::VARCHAR, 'para': 0, 'out': []::STRUCT(para INT, heading BOOLEAN, line VARCHAR)[]}}"
 _FORM = f"trim(regexp_replace(lower({_STRIP}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -74,5 +140,29 @@ ORACLE_SQL = {
         c AS (SELECT doc_id, spot, k, label, n, substr(line, 1, 480) AS line, row_number() OVER (PARTITION BY doc_id, substr(regexp_replace(substr(line, 1, 480), '\\s+', ' ', 'g'), 1, 50) ORDER BY spot, k, n) AS r FROM s WHERE good AND ended = 0)
         SELECT doc_id, CAST(place AS INT) AS place, label, CAST(n AS INT) AS line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot, k, n) AS place FROM c WHERE r = 1) WHERE place <= 80""",
 }
+_REACH = "r AS (SELECT id, id AS g FROM l UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(g) AS g FROM r GROUP BY id)"
+_PAIRS = "s AS (SELECT id, count(*) AS n FROM w GROUP BY id), m AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM w x JOIN w y ON x.w = y.w AND x.id <> y.id GROUP BY x.id, y.id), e AS (SELECT a, b FROM m JOIN s p ON p.id = a JOIN s q ON q.id = b WHERE k / (p.n + q.n - k) >= {}), l AS (SELECT DISTINCT a AS id FROM e)"
+ORACLE_SQL |= {
+    "large_lexicon": "WITH x AS (SELECT 'order' AS kind, o_orderpriority AS label, o_orderkey::VARCHAR AS pattern FROM orders UNION SELECT 'customer', c_mktsegment, c_custkey::VARCHAR FROM customer UNION SELECT 'customer', c_mktsegment, c_name FROM customer UNION SELECT 'part', p_brand, p_partkey::VARCHAR FROM part UNION SELECT 'part', p_brand, p_name FROM part), d AS (SELECT doc_id, text || chr(0) || reverse(text) AS t FROM documents) SELECT DISTINCT doc_id, kind, label FROM d JOIN x ON contains(t, pattern)",
+    "near_dup_groups": f"""WITH RECURSIVE t AS (SELECT min(doc_id) AS id, count(*) AS n, trim(text) AS raw FROM documents GROUP BY trim(text)), v AS (SELECT id, list_filter(regexp_split_to_array(lower(raw), '\\s+'), lambda x: x <> '') AS v FROM t),
+        w AS (SELECT DISTINCT id, unnest([array_to_string(v[i:i + 4], ' ') FOR i IN range(1, len(v) - 3)]) AS w FROM v WHERE len(v) >= 5), {_PAIRS.format(0.8)}, {_REACH}
+        SELECT doc_id, coalesce(g, id) AS group_id FROM documents JOIN t ON trim(text) = raw LEFT JOIN c USING (id) WHERE n > 1 OR g IS NOT NULL""",
+    "title_groups": f"""WITH RECURSIVE p AS (SELECT p_partkey AS doc_id, lower(concat_ws(' ', p_name, p_brand, p_size)) AS title FROM part), t AS (SELECT min(doc_id) AS id, count(*) AS n, title FROM p GROUP BY title),
+        w AS (SELECT DISTINCT id, unnest(list_filter(string_split(title, ' '), lambda x: x <> '')) AS w FROM t), {_PAIRS.format(0.6)}, {_REACH}
+        SELECT doc_id, coalesce(g, id) AS group_id FROM p JOIN t USING (title) LEFT JOIN c USING (id) WHERE n > 1 OR g IS NOT NULL""",
+}
+_TF = "SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents) WHERE length(w) >= 2 GROUP BY ALL"
+_HITS = f"""x AS (SELECT doc_id, w, n, string_split(lower(text), w) AS p FROM documents, (VALUES {", ".join(f"('{t}', {len(t)})" for t in OVERLAPS)}) v(w, n)),
+    y AS (SELECT doc_id, w, n, len(p) AS k, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM x),
+    z AS (SELECT doc_id, n, i, k, CAST(sum(length(piece) + n) OVER (PARTITION BY doc_id, w ORDER BY i) AS BIGINT) AS e FROM y), h AS (SELECT doc_id, e - n AS s, e FROM z WHERE i < k),
+    o AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM h),
+    q AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM o), m AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM q GROUP BY doc_id, run)"""
+ORACLE_SQL |= {
+    "occurrences": f"WITH {_HITS} SELECT doc_id, s AS start_pos, e AS end_pos FROM m",
+    "term_contexts": f"WITH {_HITS} SELECT doc_id, s AS pos, substr(text, greatest(s + 1 - 5, 1), least(5, s) + e - s + 8) AS context, count(*) OVER (PARTITION BY doc_id) AS times FROM m JOIN documents USING (doc_id)",
+    "versioned_texts": "SELECT doc_id, md5(text) AS before, md5(CASE WHEN r THEN 'read again: ' || text ELSE text END) AS after, CASE WHEN r THEN md5(text) END AS kept, CASE WHEN r THEN n ELSE o END AS quality, r AS replaced, 2 AS version FROM (SELECT *, o < 60 AND n - o > 8 AS r FROM (SELECT doc_id, text, (n_chars % 100)::DOUBLE AS o, (n_chars % 83)::DOUBLE AS n FROM documents))",
+    "maintained_index": f"WITH p AS ({_TF}), s AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY doc_id), t AS (SELECT count(*) AS n, avg(len) AS mean FROM s), h AS (SELECT * FROM p WHERE term IN ({', '.join(repr(q) for q in QUERY)})), df AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN df USING (term) JOIN s USING (doc_id), t GROUP BY doc_id",
+    "index_terms": f"SELECT term, count(*) AS df FROM ({_TF}) GROUP BY term",
+}
 NO_SQL = ()
 QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)}

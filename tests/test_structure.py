@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import extract, registers, repair
-from scriptorium.streaming import incremental
+from scriptorium.operators import extract, lines, package, pairs, registers, repair, search
+from scriptorium.streaming import incremental, versions
 
 
 def paragraphs_of(text, heading, least=40):
@@ -136,3 +136,134 @@ def test_dedupe_over_watermark(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
     run()
     assert rows() == [1, 2, 3, 6, 8, 10]
+
+
+def brute_groups(sets, threshold):
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold - 1e-9]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return {i: label[i] for i in {x for e in links for x in e}}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_set_groups_by_hand(spark, threshold):
+    rng = random.Random(7)
+    sets = {i: frozenset(rng.sample(range(25), rng.randrange(1, 9))) for i in range(150)}
+    sets |= {1000 + i: frozenset(range(30 + i, 42 + i)) for i in range(12)}  # a chain whose ends are far apart
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()] + [(5000, [])], "id long, items array<long>")
+    assert {r.id: r.group for r in pairs.set_groups(df, threshold).collect()} == brute_groups(sets, threshold)
+
+
+def test_cluster_has_one_row_for_each_text(spark):
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join([*base[:40], f"own{i}", *base[41:]]) for i in range(600)] + ["copy " * 9] * 5 + [None, "", "short one"]
+    got = pairs.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.group_id) for r in got) == [(i, 0) for i in range(600)] + [(i, 600) for i in range(600, 605)]
+    titles = spark.createDataFrame([(1, "a b c d"), (2, "A b c e"), (3, "x y"), (4, "x Y"), (5, None), (6, "alone")], "doc_id long, title string")
+    assert sorted(map(tuple, pairs.similar_title_groups(titles, 0.6).collect())) == [(1, 1), (2, 1), (3, 3), (4, 3)]
+
+
+@pytest.mark.parametrize("letters", [30, 10**6])
+def test_long_lexicons_by_hand(spark, monkeypatch, letters):
+    monkeypatch.setattr(extract, "AUTOMATON_LETTERS", letters)
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abم") for _ in range(n))
+    texts = [(i, word(rng.randrange(30))) for i in range(40)] + [(None, "ab"), (99, None)]
+    rules = [("k", f"l{i % 7}", word(rng.randrange(5)), i) for i in range(60)] + [("k", "none", None, 99), ("k", "twice", "ab", 5), ("k", "twice", "ab", 5)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    lexicon = spark.createDataFrame(rules, "kind string, label string, pattern string, ord int")
+    got = sorted(map(repr, map(tuple, extract.held_patterns(df, lexicon).collect())))
+    assert got == sorted(repr((d, *r)) for d, t in texts for r in rules if t is not None and r[2] is not None and r[2] in t)
+    monkeypatch.setattr(extract, "RULE_ROWS", 3)
+    found = {tuple(r) for r in extract.match_aliases(df, lexicon).collect()}
+    assert found == {(d, r[0], r[1]) for d, t in texts for r in rules if t is not None and r[2] is not None and (r[2] in t or r[2] in t[::-1])}
+    plan = extract.match_aliases(df, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+    titled = df.where("doc_id is not null").withColumn("title", F.reverse("text"))
+    best = {r.doc_id: r.doc_type for r in extract.classify_type(titled, lexicon, generic=["b"]).collect()}
+    for d, t in texts:
+        if d is not None:
+            hits = [(place, o, label) for place, body in ((0, t and t[::-1]), (1, t)) for _, label, p, o in rules if body is not None and p is not None and p in body and not (place and p == "b")]
+            assert best[d] in ({label for *k, label in hits if k == list(min(hits)[:2])} or {"unclassified"})
+    assert extract.held_patterns(df, lexicon.limit(0)).count() == 0
+
+
+def test_versions(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = [(1, "old", 50.0, False, None), (2, "old", 70.0, False, None), (3, "old", 50.0, True, "first"), (4, None, 10.0, None, None), (5, "old", 50.0, False, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality double, replaced boolean, old_text string")
+    new = spark.createDataFrame([(1, "new", 59.0), (1, "b", 60.0), (1, "a", 60.0), (2, "new", 99.0), (3, "new", 99.0), (4, "new", 30.0), (5, None, 99.0), (5, "new", 57.0)], "doc_id long, text string, quality double")
+    with pytest.raises(ValueError):
+        versions.read_version(spark, path)
+    assert versions.write_version(docs, path, "load") == 1
+    change = lambda d: versions.with_best_texts(d, new).drop("decision")
+    assert [versions.update_version(spark, path, change, "better") for _ in range(2)] == [2, 2]
+    got = {r.doc_id: (r.text, r.quality, bool(r.replaced), r.old_text) for r in versions.read_version(spark, path).collect()}
+    assert got == {1: ("a", 60.0, True, "old"), 2: ("old", 70.0, False, None), 3: ("old", 50.0, True, "first"), 4: ("new", 30.0, True, None), 5: ("old", 50.0, False, None)}
+    assert sorted(map(repr, versions.read_version(spark, path, 1).collect())) == sorted(map(repr, docs.collect()))
+    with pytest.raises(versions.VersionConflict):
+        versions.write_version(docs, path, "late", parent=1)
+    calls = []
+
+    def slow(d):
+        if not calls:
+            versions.write_version(d.limit(1), path, "quick")
+        calls.append(d.count())
+        return d
+
+    assert versions.update_version(spark, path, slow, "slow") == 4 and calls == [5, 1]
+    assert {(r.version, r.parent, r.run) for r in versions.versions(spark, path).collect()} == {(1, None, "load"), (2, 1, "better"), (3, 2, "quick"), (4, 3, "slow")}
+
+
+def test_index_in_batches_equals_one_from_scratch(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["الكتاب", "كتاب", "red", "blue", "green", "x"]) for _ in range(rng.randrange(12))) for _ in range(40)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = lambda rows: sorted((r.doc_id, round(r.score, 9)) for r in rows.collect())
+    search.extend_index(df.where("doc_id < 15"), f"{tmp_path}/a", 1)
+    search.extend_index(df.where("doc_id < 30"), f"{tmp_path}/a", 2)
+    search.extend_index(df, f"{tmp_path}/a", 3)
+    search.extend_index(df, f"{tmp_path}/a", 3)
+    search.extend_index(df, f"{tmp_path}/b", 1)
+    for query in (["كتاب", "red"], ["blue"], ["absent"], []):
+        want = key(search.bm25(search.postings(df, stem=True), [w for w in query]))
+        assert key(search.search_index(spark, f"{tmp_path}/a", query)) == key(search.search_index(spark, f"{tmp_path}/b", query)) == want
+    stats = {r.term: r.df for r in search.term_stats(spark, f"{tmp_path}/a", ["red", "blue"]).collect()}
+    assert stats == {w: sum(w in (t or "").split() for t in texts) for w in ("red", "blue")}
+    plan = search.search_index(spark, f"{tmp_path}/a", ["red"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "").replace("(bucket", "[bucket") or "bucket#" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_occurrences_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(package, "FOLD_HITS", 3)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "b", "aba", "A", " ", "كت", "ُ", "\x01", "🙂"]) for _ in range(rng.randrange(60))) for _ in range(40)] + [None, "", "ab" * 50]
+    terms = ["ab", "aba", "ba b", "كتك", "bb"]
+    plain = lambda t: [(i, c.lower()) for i, c in enumerate(t) if c != "ُ"]
+    want = {}
+    for d, t in enumerate(texts):
+        letters, spans = plain(t or ""), []
+        for term in terms:
+            for k in range(len(letters) - len(term) + 1):
+                if "".join(c for _, c in letters[k : k + len(term)]) == term:
+                    at, end = letters[k][0], letters[k + len(term) - 1][0] + 1
+                    while end < len(t) and t[end] == "ُ":
+                        end += 1
+                    spans.append((at, end))
+        merged = []
+        for s, e in sorted(spans):
+            if merged and s < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        want |= {d: [tuple(m) for m in merged]} if merged else {}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in package.highlights(df, terms).orderBy("doc_id", "start_pos").collect():
+        got.setdefault(r.doc_id, []).append((r.start_pos, r.end_pos))
+    assert got == want
+    assert package.highlights(df, []).count() == 0
+    plan = lines.kwic(df, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

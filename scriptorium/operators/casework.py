@@ -171,3 +171,8 @@ def compare_variants(qualities: DataFrame, first: str, second: str, delta: float
 def card_json(*columns: str) -> Column:
     """A card as JSON text; nulls are left out."""
     return F.to_json(F.struct(*columns))
+
+
+def card_of_json(text: Column, schema: str) -> Column:
+    """The struct (a DDL schema) of a card's JSON text: fields that are missing or of another type are null, and so is what is no JSON object at all."""
+    return F.when(F.get_json_object(text, "$").rlike(r"^\s*\{"), F.from_json(text, schema, {"mode": "PERMISSIVE"}))

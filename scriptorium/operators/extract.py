@@ -17,7 +17,7 @@ _L, _R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 #: Fixed values: dates with the year first or last.
 HIJRI = rf"{_L}(?:1[34]\d{{2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*\d{{1,2}}|\d{{1,2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*1[34]\d{{2}}){_R}"
 GREGORIAN = rf"{_L}(?:(?:19|20)\d{{2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*\d{{1,2}}|\d{{1,2}}\s*[/-]\s*\d{{1,2}}\s*[/-]\s*(?:19|20)\d{{2}}){_R}"
-#: A number before a currency or after a cue word, and words that multiply it, all in the normal form of audit_form.
+#: Fixed values but for the currencies دولار, SAR, USD and EUR, which are added: a number before a currency or after a cue word, and words that multiply it, all in the normal form of audit_form.
 MONEY = r"([0-9][0-9.,٬]{2,})\s*(?:ريالا?|ر\.?س\.?|دولار|SAR|USD|EUR)"
 CUE = r"(?:مبلغ|قدره|وقدره|بمبلغ|قيمته|بقيمه)\s*([0-9][0-9.,٬]{2,})"
 MAGNITUDES = {"مليون": 1_000_000, "ملايين": 1_000_000, "الف": 1_000, "الاف": 1_000, "مليار": 1_000_000_000}

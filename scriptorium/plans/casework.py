@@ -71,7 +71,7 @@ def tally(spark, d):
 
 
 def section_places(spark, d):
-    docs = _docs(spark, d).select("doc_id", F.col("lang").alias("section"), F.col("source").alias("path"), F.substring("text", 1, 10).alias("title"))
+    docs = _docs(spark, d).select("doc_id", F.col("lang").alias("section"), F.col("source").alias("path"), F.col("text").alias("title"))
     return c.section_order(docs).select("doc_id", "section", "place")
 
 
@@ -81,7 +81,7 @@ def largest_amounts(spark, d):
 
 def documents_by_date(spark, d):
     docs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("date"))
-    return c.sort_docs(docs, "date").limit(100)
+    return c.sort_docs(docs, "date")
 
 
 def most_distorted(spark, d):
@@ -105,7 +105,7 @@ def document_list(spark, d):
 
 def denser_texts(spark, d):
     docs = _docs(spark, d).select("doc_id", "text", F.col("n_chars").cast("double").alias("density"))
-    other = _docs(spark, d).where("doc_id % 2 = 0").select("doc_id", F.substring("text", 1, 200).alias("text"), (F.col("n_chars") * (1 + (F.col("doc_id") % 5) / 100)).alias("density"))
+    other = _docs(spark, d).select("doc_id", F.concat(F.lit("again: "), "text").alias("text"), (F.col("n_chars") * (1 + (F.col("doc_id") % 5) / 100)).alias("density"))
     return c.keep_denser(docs, other).select("doc_id", "adopted", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -140,16 +140,16 @@ ORACLE_SQL = {
     "contained_passages": f"SELECT doc_id, item_id FROM (SELECT doc_id, {_FLAT.format('text')} AS t FROM documents) JOIN (SELECT item_id, {_FLAT.format('text')} AS i FROM benchmark) ON trim(i) <> '' AND contains(t, i)",
     "hits_with_documents": f"SELECT doc_id, hits, lang, source FROM (SELECT doc_id, count(*) AS hits FROM ({_TERM}) WHERE term IN ('the', 'and', 'der') GROUP BY doc_id) JOIN documents USING (doc_id)",
     "tally": "SELECT o_orderstatus AS status, count(*) AS docs FROM orders GROUP BY 1",
-    "section_places": "SELECT doc_id, lang AS section, CAST(row_number() OVER (PARTITION BY lang ORDER BY source, substr(text, 1, 10), doc_id) AS INT) AS place FROM documents",
+    "section_places": "SELECT doc_id, lang AS section, CAST(row_number() OVER (PARTITION BY lang ORDER BY source, text, doc_id) AS INT) AS place FROM documents",
     "largest_amounts": "SELECT CAST(floor(o_totalprice) AS BIGINT) AS value, count(DISTINCT o_custkey) AS docs FROM orders WHERE floor(o_totalprice) >= 10000 GROUP BY 1 ORDER BY 1 DESC LIMIT 20",
-    "documents_by_date": "SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS date FROM orders ORDER BY 2, 1 LIMIT 100",
+    "documents_by_date": "SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS date FROM orders ORDER BY 2, 1",
     "all_known_ids": "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents UNION SELECT CAST(item_id AS VARCHAR) FROM benchmark UNION SELECT CAST(doc_id AS VARCHAR) FROM labels",
     "merged_lexicon": "SELECT 'type' AS kind, arg_min(label, (n, label)) AS label, pattern FROM (SELECT 0 AS n, p_brand AS label, p_type AS pattern FROM part UNION ALL SELECT 1, 'other', p_name FROM part) GROUP BY pattern",
     "document_list": "SELECT * EXCLUDE (text) FROM documents",
-    "denser_texts": "SELECT doc_id, a AS adopted, md5(CASE WHEN a THEN substr(text, 1, 200) ELSE text END) AS digest FROM (SELECT doc_id, text, doc_id % 2 = 0 AND n_chars * (1 + (doc_id % 5)::DOUBLE / 100) >= n_chars * 1.02::DOUBLE AND length(trim(substr(text, 1, 200))) > 50 AS a FROM documents)",
+    "denser_texts": "SELECT doc_id, a AS adopted, md5(CASE WHEN a THEN 'again: ' || text ELSE text END) AS digest FROM (SELECT doc_id, text, n_chars * (1 + (doc_id % 5)::DOUBLE / 100) >= n_chars * 1.02::DOUBLE AND length(trim('again: ' || text)) > 50 AS a FROM documents)",
     "replaced_texts": "SELECT doc_id, n > o + 8 AS changed, CASE WHEN n > o + 8 THEN n ELSE o END AS quality, CASE WHEN n > o + 8 THEN length(text) END AS old_chars FROM (SELECT doc_id, text, CAST(n_chars % 100 AS DOUBLE) AS o, CAST(n_chars % 83 AS DOUBLE) AS n FROM documents)",
     "variant_comparison": "SELECT doc_id, a, b, b - a AS difference, CASE WHEN b - a > 2 THEN 'b' WHEN a - b > 2 THEN 'a' END AS winner FROM (SELECT doc_id, n_chars % 100 AS a, n_chars % 97 AS b FROM documents)",
     "json_cards": """SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}' AS card FROM documents""",
+    "most_distorted": "SELECT doc_id, symbols, repeats, fragments, round((3 * symbols + repeats + fragments) / greatest(1.0, length(text) / 500.0), 4) AS score FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[�■□¤]')) AS symbols, len(list_filter(c, lambda x, i: i >= 4 AND x = c[i - 1] AND x = c[i - 2] AND x = c[i - 3] AND (i = 4 OR x <> c[i - 4]) AND x NOT IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS repeats, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) BETWEEN 1 AND 2)) AS fragments FROM (SELECT doc_id, text, string_split(text, '') AS c FROM documents)) ORDER BY score DESC, doc_id LIMIT 40",
 }
-#: A repeated sign needs a back-reference, which the SQL has not; test_casework.py holds the operator against a fixture.
-QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, "most_distorted")}
+QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -69,7 +69,7 @@ def keyword_contexts(spark, d):
 
 def master_rows(spark, d):
     docs = _docs(spark, d).select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("title"), F.col("lang").alias("doc_type"), F.col("source").alias("parent_path"), F.lit("1999-01-02T03:04").alias("modifiedTime"), F.lit("txt").alias("fileExtension"),
+        F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("lang").alias("doc_type"), F.col("source").alias("parent_path"), F.lit("1999-01-02T03:04").alias("modifiedTime"), F.lit("txt").alias("fileExtension"),
         F.octet_length("text").alias("fileSize"), (F.col("n_chars") >= 100).alias("readable"), F.lit("ok").alias("availability"), F.lit("").alias("viewUrl"), "text", (F.col("doc_id") % 2 == 0).alias("repaired"),
     )
     return reports.master_table(docs, f"({MONTH})").drop("title")
@@ -126,7 +126,7 @@ ORACLE_SQL = {
     "cited_sources": f"SELECT 'mail' AS kind, value, count(DISTINCT source) AS sources, array_to_string(list_sort(list(DISTINCT source))[1:5], ',') AS samples FROM (SELECT source, unnest(regexp_extract_all(text, '{MAIL}')) AS value FROM documents) GROUP BY value",
     "cleaning_report": f"SELECT count(*) AS docs, CAST(sum(pb) AS BIGINT) AS paragraphs_before, CAST(sum(pa) AS BIGINT) AS paragraphs_after, CAST(sum(wb) AS BIGINT) AS words_before, CAST(sum(wa) AS BIGINT) AS words_after, CAST(sum(mx) AS BIGINT) AS mixed_lines, CAST(sum(tb) AS BIGINT) AS table_lines, count(*) FILTER (abs(wa - wb) * 100 > greatest(wb, 1) * 8 OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS review_docs, CAST(0 AS BIGINT) AS reversed_docs, round(100 * (sum(wa) - sum(wb)) / sum(wb), 4) AS change FROM (SELECT doc_id, len({_KEPT.format('text')}) AS pb, len({_KEPT.format(_CUT)}) AS pa, {_N.format('text')} AS wb, {_N.format(_CUT)} AS wa, len(list_filter({_KEPT.format('text')}, lambda x: regexp_matches(x, '[a-z][0-9]|[0-9][a-z]'))) AS mx, len(list_filter({_KEPT.format('text')}, lambda x: regexp_matches(x, '\\||\\t|( {{3,}}\\S+){{2}}'))) AS tb FROM documents)",
     "keyword_contexts": "SELECT doc_id, s AS pos, substr(text, greatest(s - 31, 1), least(32, s) + n + 40) AS context, count(*) OVER (PARTITION BY doc_id) AS times FROM (SELECT doc_id, text, n, e - n AS s FROM (" + " UNION ALL ".join(f"SELECT doc_id, text, {len(t)} AS n, i, k, CAST(sum(length(piece) + {len(t)}) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM (SELECT doc_id, text, unnest(p) AS piece, generate_subscripts(p, 1) AS i, len(p) AS k FROM (SELECT doc_id, text, string_split(lower(text), '{t}') AS p FROM documents))" for t in ("license", "token")) + ") WHERE i < k)",
-    "master_rows": f"SELECT doc_id AS id, lang AS doc_type, source AS parent_path, coalesce(nullif(regexp_extract(substr(text, 1, 400), '({MONTH})', 1), ''), '1999-01-02') AS date, 'txt' AS fileExtension, strlen(text) AS fileSize, n_chars >= 100 AS readable, 'ok' AS availability, '' AS viewUrl, CASE WHEN doc_id % 2 = 0 THEN 'repaired' WHEN length(text) > 0 THEN 'logical' ELSE 'none' END AS text_source, length(text) AS n_chars, '' AS summary FROM documents",
+    "master_rows": f"SELECT doc_id AS id, lang AS doc_type, source AS parent_path, coalesce(nullif(regexp_extract(text, '({MONTH})', 1), ''), '1999-01-02') AS date, 'txt' AS fileExtension, strlen(text) AS fileSize, n_chars >= 100 AS readable, 'ok' AS availability, '' AS viewUrl, CASE WHEN doc_id % 2 = 0 THEN 'repaired' WHEN length(text) > 0 THEN 'logical' ELSE 'none' END AS text_source, length(text) AS n_chars, '' AS summary FROM documents",
     "ranked_prefixes": f"WITH c AS (SELECT doc_id, w, len(w) AS n, len(list_filter(w, lambda x: starts_with(x, 'th'))) AS a, len(list_filter(w, lambda x: starts_with(x, 'an'))) AS b FROM (SELECT doc_id, {_W} AS w FROM documents)), s AS (SELECT count(*) FILTER (n > 0) AS docs, avg(n) FILTER (n > 0) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c) SELECT doc_id, round({_BM('a', 'da')} + {_BM('b', 'db')}, 6) AS score, array_to_string(w[p:p + 13], ' ') AS snippet FROM (SELECT *, greatest(list_position(list_transform(w, lambda x: starts_with(x, 'th') OR starts_with(x, 'an')), true) - 7, 1) AS p FROM c WHERE a > 0 AND b > 0), s ORDER BY score DESC, doc_id LIMIT 400",
     "written_index": f"WITH c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'der')) AS a, len(list_filter(w, lambda x: x = 'les')) AS b FROM (SELECT doc_id, {_W} AS w FROM documents)), s AS (SELECT count(*) FILTER (n > 0) AS docs, avg(n) FILTER (n > 0) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c) SELECT doc_id, round({_BM('a', 'da')} + {_BM('b', 'db')}, 6) AS score FROM c, s WHERE a + b > 0 ORDER BY score DESC, doc_id LIMIT 400",
     "ingested_documents": f"SELECT doc_id, CASE {' '.join(f'WHEN contains(lower({c}), {p!r}) THEN {n!r}' for c in ('source', 'text') for n, p, _ in RULES)} ELSE 'unclassified' END AS doc_type, CASE WHEN contains(head, 'license') THEN 'license' WHEN contains(head, 'token') THEN 'token' WHEN contains(text, 'license') THEN 'license' WHEN contains(text, 'token') THEN 'token' ELSE '' END AS authority, regexp_extract(head, '([0-9]{{6,}})', 1) AS number, array_to_string({_LONG(6)}, ',') AS numbers, {_STRIP.replace('(x', '(text')} <> '' AS readable, quality FROM (SELECT *, left(array_to_string(string_split(text, chr(10))[1:18], chr(10)), 1000) AS head FROM documents) JOIN ({QUALITY.replace('[OTHER]', '[A-Za-z]')}) USING (doc_id)",

@@ -116,14 +116,16 @@ def doc_numbering(spark, d):
 
 
 def run_grouping(spark, d):
-    turns = lines.run_groups(_t(spark, d, "conversations"), ["conv_id"], ["turn"], "role")
-    return turns.groupBy("conv_id", "run_no", "role").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"))
+    """Runs of turns of like length."""
+    sized = _t(spark, d, "conversations").withColumn("size", F.when(F.length("text") >= 100, "long").otherwise("short"))
+    turns = lines.run_groups(sized, ["conv_id"], ["turn"], "size")
+    return turns.groupBy("conv_id", "run_no", "size").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"))
 
 
 def central_documents(spark, d):
     text = F.col("text")
-    docs = _t(spark, d, "documents").select(
-        "doc_id", F.when(F.contains(F.lower(text), F.lit("licen")), "notice").otherwise("text").alias("doc_type"), F.size(extract.long_numbers(text, 9)).alias("n_deeds"), F.size(extract.long_numbers(text)).alias("n_cases"),
+    docs = _t(spark, d, "documents").withColumn("_numbers", extract.long_numbers(text)).select(
+        "doc_id", F.when(F.contains(F.lower(text), F.lit("licen")), "notice").otherwise("text").alias("doc_type"), F.size(F.filter("_numbers", lambda n: F.length(n) >= 9)).alias("n_deeds"), F.size("_numbers").alias("n_cases"),
         F.regexp_count(text, F.lit(r"[0-9]+\.[0-9]")).alias("n_amounts"), F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(MAIL), F.lit(0)))).alias("n_parties"), (F.col("n_chars") >= 1000).alias("readable"),
     )
     scored = extract.importance(docs, ["notice"]).select("doc_id", F.col("importance").cast("long").alias("importance"))
@@ -144,7 +146,7 @@ def word_families(spark, d):
 
 
 def url_ids(spark, d):
-    pages = _t(spark, d, "pages").select("page_id", F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1).alias("file_id"), F.coalesce(file_id(F.col("url")), F.lit("")).alias("drive_id"))
+    pages = _t(spark, d, "pages").select("page_id", F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1).alias("file_id"), F.coalesce(file_id(F.replace("url", F.lit("/en/"), F.lit("/d/"))), F.lit("")).alias("drive_id"))
     return pages
 
 
@@ -208,7 +210,7 @@ def card_fields(spark, d):
 
 
 def financial_figures(spark, d):
-    return reports.financial_figures(lines.lines(_t(spark, d, "documents")), UNITS, MONEY, most=1_000_000).select("doc_id", "line_no", "digits", "unit")
+    return reports.financial_figures(lines.lines(_t(spark, d, "documents")), UNITS, MONEY).select("doc_id", "line_no", "digits", "unit")
 
 
 def study_sections(spark, d):
@@ -217,7 +219,7 @@ def study_sections(spark, d):
 
 
 def study_records(spark, d):
-    links = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("file_id"), F.substring("text", 1, 20).alias("row_desc"), F.lit("link").alias("anchor"))
+    links = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("file_id"), F.col("text").alias("row_desc"), F.lit("link").alias("anchor"))
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "source", "text")
     meta = docs.select("file_id", F.when(F.col("file_id").cast("long") % 2 == 0, F.col("source")).alias("title"))
     return reports.study_index(links, meta, docs, ["link", "web"]).select("file_id", "title", "text_status")
@@ -266,7 +268,7 @@ def weak_documents(spark, d):
 
 
 def mean_confidence(spark, d):
-    return reports.mean_confidence(_t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_id") % 7 > 0, 0.5).alias("confidence")))
+    return reports.mean_confidence(_t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_id") % 7 > 0, (F.col("event_id") % 8) / 8).alias("confidence")))
 
 
 def prefix_search(spark, d):
@@ -336,12 +338,12 @@ ORACLE_SQL = {
     "study_reconcile": "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 'both' WHEN a.id IS NOT NULL THEN 'study' ELSE 'archive' END AS found FROM (SELECT DISTINCT item_id AS id FROM benchmark) a FULL JOIN (SELECT DISTINCT doc_id AS id FROM labels) b ON a.id = b.id",
     "page_ranges": f"SELECT doc_id, page_to - p + 1 AS page_from, page_to FROM (SELECT doc_id, p, CAST(sum(p) OVER (ORDER BY doc_id) AS BIGINT) AS page_to FROM (SELECT doc_id, greatest(1, {_PAGES}) AS p FROM documents))",
     "doc_numbering": "SELECT doc_id, 'DOC-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS code FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)",
-    "run_grouping": "SELECT conv_id, run_no, role, count(*) AS turns, min(turn) AS first_turn FROM (SELECT conv_id, turn, role, CAST(sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run_no FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM conversations)) GROUP BY conv_id, run_no, role",
+    "run_grouping": "SELECT conv_id, run_no, size, count(*) AS turns, min(turn) AS first_turn FROM (SELECT conv_id, turn, size, CAST(sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run_no FROM (SELECT *, CASE WHEN lag(size) OVER (PARTITION BY conv_id ORDER BY turn) = size THEN 0 ELSE 1 END AS c FROM (SELECT *, CASE WHEN length(text) >= 100 THEN 'long' ELSE 'short' END AS size FROM conversations))) GROUP BY conv_id, run_no, size",
     "central_documents": f"SELECT doc_id, importance FROM (SELECT doc_id, CAST((CASE WHEN contains(lower(text), 'licen') THEN 3 ELSE 0 END) + (CASE WHEN len({_LONG(9)}) > 0 THEN 3 ELSE 0 END) + (CASE WHEN len({_LONG(6)}) > 0 THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[0-9]+\\.[0-9]') THEN 1 ELSE 0 END) + least(len(list_distinct(regexp_extract_all(text, '{MAIL}'))), 3) + (CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS importance FROM documents) WHERE importance >= 3 ORDER BY importance DESC, doc_id LIMIT 25",
     "bm25_topk": f"WITH p AS ({_TERMS}), s AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY doc_id), t AS (SELECT count(*) AS n, avg(len) AS mean FROM s), h AS (SELECT * FROM p WHERE term IN ({', '.join(repr(q) for q in QUERY)})), df AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN df USING (term) JOIN s USING (doc_id) CROSS JOIN t GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 400",
     "boolean_search": "SELECT doc_id FROM documents WHERE (contains(lower(text), 'license') OR contains(lower(text), 'token')) AND NOT contains(lower(text), 'the')",
     "word_families": f"SELECT term AS stem, CAST(sum(tf) AS BIGINT) AS times, count(*) AS docs, term AS forms FROM ({_TERMS}) GROUP BY term HAVING count(*) >= 2",
-    "url_ids": "SELECT page_id, regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS file_id, coalesce(nullif(coalesce(nullif(regexp_extract(url, '/d/([A-Za-z0-9_-]+)', 1), ''), regexp_extract(url, '[?&]id=([A-Za-z0-9_-]+)', 1)), ''), '') AS drive_id FROM pages",
+    "url_ids": "SELECT page_id, regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS file_id, coalesce(nullif(coalesce(nullif(regexp_extract(replace(url, '/en/', '/d/'), '/d/([A-Za-z0-9_-]+)', 1), ''), regexp_extract(url, '[?&]id=([A-Za-z0-9_-]+)', 1)), ''), '') AS drive_id FROM pages",
     "parts_packing": "SELECT part, count(*) AS docs, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT size, CAST(floor((sum(size) OVER (ORDER BY doc_id) - size) / 200000) AS BIGINT) AS part FROM (SELECT doc_id, strlen(text) AS size FROM documents)) GROUP BY part",
     "keep_best": "SELECT decision, count(*) AS docs FROM (SELECT CASE WHEN d.n_chars % 100 >= 60 THEN 'skipped' WHEN l.q IS NULL THEN 'missing' WHEN l.q - d.n_chars % 100 > 8 THEN 'replaced' ELSE 'kept' END AS decision FROM documents d LEFT JOIN (SELECT doc_id, max(quality * 40 + doc_id % 40) AS q FROM labels GROUP BY doc_id) l USING (doc_id)) GROUP BY decision",
     "ingest_batches": "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type",
@@ -361,9 +363,9 @@ ORACLE_SQL |= {
     "section_runs": f"WITH c AS (SELECT doc_id, line_no, {_SECTION} AS section FROM ({_LINES}) WHERE trim(line) <> ''), r AS (SELECT *, CAST(sum(x) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS run_no FROM (SELECT *, CASE WHEN lag(section) OVER (PARTITION BY doc_id ORDER BY line_no) = section THEN 0 ELSE 1 END AS x FROM c)) SELECT doc_id, run_no, section, min(line_no) AS first_line, count(*) AS n_lines FROM r GROUP BY doc_id, run_no, section",
     "cleaning_drift": f"SELECT *, abs(change) > 8 AS alert FROM (SELECT *, round(100 * (words_after - words_before) / greatest(words_before, 1), 2) AS change FROM (SELECT doc_id, {_N.format('text')} AS words_before, {_N.format(chr(114) + 'egexp_replace(text, ' + chr(39) + chr(92) + 'b[0-9]+' + chr(92) + 'b' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS words_after FROM documents))",
     "card_fields": "SELECT doc_id, coalesce(CASE WHEN contains(head, 'license') THEN 'license' WHEN contains(head, 'token') THEN 'token' WHEN contains(head, 'the ') THEN 'the ' WHEN contains(text, 'license') THEN 'license' WHEN contains(text, 'token') THEN 'token' WHEN contains(text, 'the ') THEN 'the ' END, '') AS authority, coalesce(nullif(regexp_extract(source, '([0-9]{4,})', 1), ''), nullif(regexp_extract(head, '([0-9]{6,})', 1), ''), regexp_extract(text, '([0-9]{5,})', 1)) AS number, regexp_extract(head, '([a-z0-9._]+@[a-z0-9.]+)', 1) AS mail FROM (SELECT *, left(array_to_string(string_split(text, chr(10))[1:18], chr(10)), 1000) AS head FROM documents)",
-    "financial_figures": f"SELECT doc_id, min(line_no) AS line_no, digits, unit FROM (SELECT doc_id, line_no, line, regexp_replace(regexp_extract(m, '^[0-9.,]+'), '[^0-9]', '', 'g') AS digits, regexp_extract(m, '({UNITS})$') AS unit FROM (SELECT doc_id, line_no, line, unnest(regexp_extract_all(line, '[0-9][0-9.,]{{0,16}}[ ]*(?:{UNITS})?')) AS m FROM ({_LINES}))) WHERE unit <> '' OR (length(digits) BETWEEN 6 AND 13 AND regexp_matches(line, '{MONEY}')) GROUP BY doc_id, digits, unit",
+    "financial_figures": f"SELECT doc_id, line_no, digits, unit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, digits, unit) AS i FROM (SELECT doc_id, min(line_no) AS line_no, digits, unit FROM (SELECT doc_id, line_no, line, regexp_replace(regexp_extract(m, '^[0-9.,]+'), '[^0-9]', '', 'g') AS digits, regexp_extract(m, '({UNITS})$') AS unit FROM (SELECT doc_id, line_no, line, unnest(regexp_extract_all(line, '[0-9][0-9.,]{{0,16}}[ ]*(?:{UNITS})?')) AS m FROM ({_LINES}))) WHERE unit <> '' OR (length(digits) BETWEEN 6 AND 13 AND regexp_matches(line, '{MONEY}')) GROUP BY doc_id, digits, unit)) WHERE i <= 50",
     "study_sections": "WITH e AS (SELECT conv_id AS doc_id, turn AS pos, CASE WHEN role <> 'user' THEN length(text) END AS file_id, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations) SELECT file_id, doc_id, pos, md5(section) AS section FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY doc_id, pos) AS n FROM e WHERE file_id IS NOT NULL) WHERE n = 1",
-    "study_records": "SELECT b.id AS file_id, coalesce(CASE WHEN lower(trim(d.title)) NOT IN ('link', 'web') AND trim(d.title) <> '' THEN trim(d.title) END, CASE WHEN lower(trim(b.row)) NOT IN ('link', 'web') AND trim(b.row) <> '' THEN trim(b.row) END, b.id) AS title, CASE WHEN d.id IS NULL OR d.n IS NULL THEN 'not_retrieved' WHEN d.n = 0 THEN 'empty' ELSE 'ok' END AS text_status FROM (SELECT CAST(item_id AS VARCHAR) AS id, left(text, 20) AS row FROM benchmark) b LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN source END AS title, length(trim(text)) AS n FROM documents) d ON b.id = d.id",
+    "study_records": "SELECT b.id AS file_id, coalesce(CASE WHEN lower(trim(d.title)) NOT IN ('link', 'web') AND trim(d.title) <> '' THEN trim(d.title) END, CASE WHEN lower(trim(b.row)) NOT IN ('link', 'web') AND trim(b.row) <> '' THEN trim(b.row) END, b.id) AS title, CASE WHEN d.id IS NULL OR d.n IS NULL THEN 'not_retrieved' WHEN d.n = 0 THEN 'empty' ELSE 'ok' END AS text_status FROM (SELECT CAST(item_id AS VARCHAR) AS id, text AS row FROM benchmark) b LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN source END AS title, length(trim(text)) AS n FROM documents) d ON b.id = d.id",
     "deed_register": f"SELECT number, coalesce(in_titles, 0) AS in_titles, coalesce(in_texts, 0) AS in_texts, first_doc, CASE WHEN in_titles > 0 THEN 'document' WHEN in_texts > 0 THEN 'mentioned' ELSE 'missing' END AS status FROM (VALUES {_LIST([(n,) for n in NUMBERS])}) v(number) LEFT JOIN (SELECT number, count(*) FILTER (contains(source, number)) AS in_titles, count(*) FILTER (contains(text, number)) AS in_texts, min(doc_id) AS first_doc FROM documents JOIN (VALUES {_LIST([(n,) for n in NUMBERS])}) w(number) ON contains(source, number) OR contains(text, number) GROUP BY number) USING (number)",
     "tag_spans": "SELECT doc_id, kind, value, count(*) AS times FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in SPANS.items()) + ") GROUP BY ALL",
     "central_values": f"WITH e AS (SELECT * FROM ({_NUMBERS}) WHERE length(value) >= 6) SELECT value, count(*) AS times, count(DISTINCT doc_id) AS docs, array_to_string(list_sort(list(DISTINCT source))[1:6], ',') AS samples FROM e JOIN documents USING (doc_id) GROUP BY value",
@@ -371,7 +373,7 @@ ORACLE_SQL |= {
     "concept_report": f"SELECT category, concept, CAST(sum(n) AS BIGINT) AS times, count(*) AS docs FROM (SELECT category, concept, doc_id, count(*) AS n FROM ({_FORMS}) JOIN (VALUES {_LIST(CONCEPTS)}) c(form, concept, category) USING (form) GROUP BY ALL) GROUP BY category, concept",
     "review_reasons": "SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 100 THEN 'short' END, CASE WHEN quality = 0 THEN 'poor' END, CASE WHEN contains(text, '@') THEN 'mail' END) AS reasons FROM documents LEFT JOIN labels USING (doc_id)) WHERE reasons <> ''",
     "weak_documents": "SELECT doc_id, CAST(n_chars % 100 AS DOUBLE) AS quality FROM documents WHERE n_chars % 100 < 60 ORDER BY quality, doc_id LIMIT 50",
-    "mean_confidence": "SELECT user_id AS doc_id, round(avg(CASE WHEN event_id % 7 > 0 THEN 0.5::DOUBLE END), 3) AS confidence, count(*) FILTER (event_id % 7 > 0) AS words FROM events GROUP BY user_id",
+    "mean_confidence": "SELECT user_id AS doc_id, round(avg(CASE WHEN event_id % 7 > 0 THEN (event_id % 8)::DOUBLE / 8 END), 3) AS confidence, count(*) FILTER (event_id % 7 > 0) AS words FROM events GROUP BY user_id",
     "prefix_search": f"SELECT doc_id, CAST(sum(tf) AS BIGINT) AS hits FROM (SELECT doc_id, q, tf FROM ({_WORDS}) JOIN (VALUES ('th'), ('an')) v(q) ON starts_with(term, q)) GROUP BY doc_id HAVING count(DISTINCT q) = 2 ORDER BY hits DESC, doc_id LIMIT 400",
 }
 ORACLE_SQL["category_report"] = f"WITH t AS ({ORACLE_SQL['doc_type_rules']}), c AS (SELECT coalesce(k.category, 'other') AS category, count(*) AS docs FROM t LEFT JOIN (VALUES {_LIST(CATEGORIES)}) k(doc_type, category) USING (doc_type) GROUP BY 1) SELECT o.category, o.ord, coalesce(docs, 0) AS docs FROM (VALUES ('legal', 0), ('texts', 1), ('empty', 2), ('other', 3)) o(category, ord) LEFT JOIN c USING (category)"

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import extract, lines, package, pairs, repair, search
+from scriptorium.functions import text
+from scriptorium.operators import casework, extract, lines, package, pairs, repair, search
 from scriptorium.plans.session import shared_folder
 from scriptorium.streaming import incremental, versions
 
@@ -105,6 +106,18 @@ def index_terms(spark, d):
     return search.term_stats(spark, path)
 
 
+def line_predicates(spark, d):
+    """Phrases and scraps among the lines of each document, by Latin letters."""
+    ls = lines.lines(_t(spark, d, "documents"))
+    return ls.groupBy("doc_id").agg(F.count_if(text.plausible_phrase(F.col("line"), "a-z")).alias("phrases"), F.count_if(text.garbled_line(F.col("line"), "a-z")).alias("scraps"))
+
+
+def json_fields(spark, d):
+    """Cards as JSON and back, with one field that is missing."""
+    card = casework.card_of_json(casework.card_json("doc_id", "lang", "source", "n_chars"), "doc_id long, lang string, source string, n_chars int, gone string")
+    return _t(spark, d, "documents").select(card.alias("c")).select("c.*")
+
+
 _STRIP = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _STATE = "{{'line': {}, 'form': {}, 'held': 0, 'blanks': 0, 'before': NULL::VARCHAR, 'para': 0, 'out': []::STRUCT(para INT, heading BOOLEAN, line VARCHAR)[]}}"
 _FORM = f"trim(regexp_replace(lower({_STRIP}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -164,5 +177,11 @@ ORACLE_SQL |= {
     "maintained_index": f"WITH p AS ({_TF}), s AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY doc_id), t AS (SELECT count(*) AS n, avg(len) AS mean FROM s), h AS (SELECT * FROM p WHERE term IN ({', '.join(repr(q) for q in QUERY)})), df AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN df USING (term) JOIN s USING (doc_id), t GROUP BY doc_id",
     "index_terms": f"SELECT term, count(*) AS df FROM ({_TF}) GROUP BY term",
 }
+_COUNT = lambda c: f"len(regexp_extract_all({c}, '[a-z]'))"
+ORACLE_SQL |= {
+    "line_predicates": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT doc_id, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: {_COUNT("w")} >= 2)) >= 2 AND {_COUNT("line")} >= 0.55 * length(replace(line, ' ', '')) AS phrase,
+        regexp_extract_all(line, '[a-z]+') AS runs FROM l) SELECT doc_id, count(*) FILTER (phrase) AS phrases, count(*) FILTER (len(runs) = 0 OR length(array_to_string(runs, '')) <= 4 OR len(list_filter(runs, lambda r: length(r) <= 2)) >= 0.6 * len(runs)) AS scraps FROM p GROUP BY doc_id""",
+    "json_fields": "SELECT doc_id, lang, source, n_chars::INT AS n_chars, NULL::VARCHAR AS gone FROM documents",
+}
 NO_SQL = ()
 QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)}

@@ -32,15 +32,27 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0. Creative Commons Attribution ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights. CC0 1.0 Universal Public Domain Dedication."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: Lines that may belong to a notice hold one of these; a notice runs on for so many lines at most.
+#: Lines that may belong to a notice hold one of these; a notice is tried both whole (up to a blank line) and cut to so many lines.
 CUE = r"(?i)licen[cs]e|copyright|copyleft|spdx|permission|redistribut|public domain|free software|creative commons|\bcc[ -]by|warrant"
 NOTICE_LINES = 12
 LEAST_COSINE = 0.6
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
 _cue = regex.compile(CUE).search
+_licence_file = regex.compile(LICENCE_FILE).search
 _terms = regex.compile(r"[\p{L}\p{N}]+(?:\.\p{N}+)*").findall
 
 
@@ -50,20 +62,25 @@ def terms_of(text: str) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
-def notices(text: str | None) -> list[str]:
-    """Candidate notices: each line with a cue alone, and each with the lines that follow it up to a blank line."""
-    if not text or not _cue(text):
+def notices(text: str | None, whole: bool = False) -> list[str]:
+    """Candidate notices: each line with a cue alone, and each with the lines that follow it up to a blank line, whole and cut to NOTICE_LINES; with `whole`, the text too and its paragraphs two at a time."""
+    if not text or not (whole or _cue(text)):
         return []
     lines, out, covered = text.split("\n"), [], -1
+    if whole and text.strip():
+        parts = [p for p in regex.split(r"\n[ \t\r]*\n", text) if p.strip()]
+        out += [text, *(f"{a}\n{b}" for a, b in zip(parts, parts[1:]))]
     for i, line in enumerate(lines):
         if _cue(line):
             out.append(line)
             if i > covered:
                 end = i + 1
-                while end < len(lines) and end < i + NOTICE_LINES and lines[end].strip():
+                while end < len(lines) and lines[end].strip():
                     end += 1
                 if end > i + 1:
                     out.append("\n".join(lines[i:end]))
+                if end > i + NOTICE_LINES:
+                    out.append("\n".join(lines[i : i + NOTICE_LINES]))
                 covered = end - 1
     return out
 
@@ -111,11 +128,14 @@ def license_scan(files: DataFrame, licence_file: Column | None = None, templates
     """
     sc = files.sparkSession.sparkContext
     new = ["own_licence", "own_score", "licence", "licence_from"]
-    kept = files.drop(*new)
+    columns = [c for c in files.columns if c not in new]
+    # rows travel as structs, so that their columns' names meet none of the ones used here; a column may be given by `licence_file`
+    declares = F.col("path").rlike(LICENCE_FILE) if licence_file is None else licence_file
+    kept = files.drop(*new).select(F.struct(*columns).alias("row"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"), F.coalesce(declares, F.lit(False)).alias("is_licence"))
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, n) for p, t in zip(frame["path"], frame["text"], strict=True) for n in notices(t)]
+            rows = [(p, n) for p, t in zip(frame["path"], frame["text"], strict=True) for n in notices(t, p is not None and bool(_licence_file(p)))]
             yield pd.DataFrame(rows, columns=["path", "notice"])
 
     found = cut(kept.select("path", "text").mapInPandas(extract, "path string, notice string"))
@@ -143,9 +163,9 @@ def license_scan(files: DataFrame, licence_file: Column | None = None, templates
     order = F.struct(-F.round("own_score", 9), "own_licence")
     own = cut(scored.groupBy("path").agg(F.min_by(F.struct("own_licence", "own_score"), order).alias("o")).where("path is not null").select("path", "o.own_licence", "o.own_score"))
 
-    is_licence = F.col("path").rlike(LICENCE_FILE) if licence_file is None else licence_file
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    declared = own.where(is_licence).withColumn("dir", folder).groupBy("dir").agg(F.min_by("own_licence", F.struct(-F.round("own_score", 9), "path", "own_licence")).alias("dir_licence"))
+    named = kept.where("is_licence AND path IS NOT NULL").select("path").distinct()
+    declared = own.join(named, "path", "left_semi").withColumn("dir", folder).groupBy("dir").agg(F.min_by("own_licence", F.struct(-F.round("own_score", 9), "path", "own_licence")).alias("dir_licence"))
     # every directory meets its ancestors once, not once for each of its files
     dirs = kept.where("path is not null").select(folder.alias("dir")).distinct()
     parts = F.split("dir", "/")
@@ -155,18 +175,20 @@ def license_scan(files: DataFrame, licence_file: Column | None = None, templates
     )
     out = kept.withColumn("dir", folder).join(own, "path", "left").join(nearest, "dir", "left")
     return out.select(
-        *[kept[c] for c in kept.columns if c != "path"],
-        out["path"],
+        *[F.col("row").getField(c).alias(c) for c in columns],
         "own_licence",
         "own_score",
         F.coalesce("own_licence", "dir_licence").alias("licence"),
-        F.when(F.col("own_licence").isNotNull(), out["path"]).otherwise(F.col("from_dir")).alias("licence_from"),
+        F.when(F.col("own_licence").isNotNull(), F.col("path")).otherwise(F.col("from_dir")).alias("licence_from"),
     )
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree: source, language, a folder for each fifty ids, the id."""
-    return docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 50).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    """Documents as files of a tree at three depths: source, language, a folder for each thousand and each fifty ids, the id; every tenth one stands in the language's folder, the next in the thousand's."""
+    name, place = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.pmod(F.col("doc_id"), F.lit(10))
+    thousand, fifty = (F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 50))
+    below = F.when(place == 0, F.array(name)).when(place == 1, F.array(thousand, name)).otherwise(F.array(thousand, fifty, name))
+    return docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), below))
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: (verdict, host, path): fits the host and its subdomains if the url's path starts with the rule's.
 RULES = (
@@ -24,6 +24,8 @@ RULES = (
 )
 #: Bound: labelled urls, or so, that the trees are trained on; trees and their depth.
 FIT_ROWS, TREES, DEPTH = 20_000, 12, 4
+#: Suffixes whose rates are sent to all tasks; more of them are joined by shuffle.
+SUFFIXES = 50_000
 FEATURES = ["url_length", "host_length", "host_labels", "path_depth", "digit_ratio", "entropy", "parameters", "hyphens", "longest_label", "suffix_rate"]
 
 
@@ -78,30 +80,34 @@ def judge_urls(urls: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS, trees: in
     through, columns named like the new ones are replaced; an empty table gives an empty table.
     """
     new = ["host", "path", "rule", "verdict", "block_score"]
-    kept = urls.drop(*new)
+    columns = [c for c in urls.columns if c not in new]
     host, path = split_url(F.col("url"))
     rule, verdict = rule_columns(rules)
-    marked = kept.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "_by_rule": verdict})
+    # rows travel as structs, so that their columns' names meet none of the features'
+    marked = urls.select(F.struct(*columns).alias("row"), F.col("url").alias("url"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "_by_rule": verdict})
     known = marked.where("rule is not null").select("url", "host", "path", (F.col("_by_rule") == "block").cast("double").alias("label")).dropDuplicates(["url"])
-    n = known.count()
+    # statistics of suffixes are of all labelled urls; the trees are trained on a bounded sample of them
+    suffix = F.element_at(F.split("host", r"\."), -1)
+    by_suffix = cut(known.groupBy(suffix.alias("suffix")).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate"), F.count("*").alias("urls"), F.sum("label").alias("blocked")))
+    few = by_suffix.count() <= SUFFIXES
+    rates = by_suffix.select("suffix", "suffix_rate")
+    rated = lambda df: df.join(F.broadcast(rates) if few else rates, "suffix", "left").fillna(0.5, ["suffix_rate"])
+    totals = by_suffix.agg(F.sum("urls").alias("n"), F.sum("blocked").alias("blocked")).first()
+    n, blocked = totals.n or 0, totals.blocked or 0
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1e6 * fit_rows / n))
-    sample = lexical(known).coalesce(8).persist(StorageLevel.MEMORY_AND_DISK)
-    by_suffix = sample.groupBy("suffix").agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate"))  # no more rows than fit_rows
-    rated = lambda df: df.join(F.broadcast(by_suffix), "suffix", "left").fillna(0.5, ["suffix_rate"])
-    kinds = [r.label for r in sample.select("label").distinct().collect()]
     final = F.coalesce("_by_rule", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
-    if len(kinds) < 2:
-        out = marked.withColumn("block_score", F.lit(1.0 if kinds == [1.0] else 0.0))
+    train = rated(lexical(known)).coalesce(8).persist(StorageLevel.MEMORY_AND_DISK)
+    if not 0 < blocked < n or train.select("label").distinct().count() < 2:
+        out = marked.withColumn("block_score", F.lit(1.0 if n and blocked * 2 > n else 0.0))
     else:
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-        train = assemble.transform(rated(sample)).select("_features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-        model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=1, predictionCol="_prediction").fit(train)
+        model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=1, predictionCol="_prediction").fit(assemble.transform(train).select("_features", "label"))
         model.setRawPredictionCol("_raw").setProbabilityCol("_probability")
-        train.unpersist()
         scored = model.transform(assemble.transform(rated(lexical(marked))))
         out = scored.withColumn("block_score", vector_to_array("_probability")[1])
-    return out.withColumn("verdict", final).select(*kept.columns, *new)
+    train.unpersist()
+    return out.withColumn("verdict", final).select(*[F.col("row").getField(c).alias(c) for c in columns], *new)
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, decontaminate, passages, recurrent_lm, simhash, token_counts, toxicity, webp
+from scriptorium.llm import bpe, decontaminate, licenses, passages, recurrent_lm, simhash, token_counts, toxicity, url_filter, webp
 
 P = pytest.importorskip("public_tokenizers")
 BIG = 2**53 + 1
@@ -71,3 +71,33 @@ def test_pre_token_patterns_agree():
         assert bpe._find(text) == find(text)
     for text in ("x²y", "a\x1cb", "ⅷ", "中文"):
         assert bpe._unlike(text)
+
+
+def test_licences_and_urls_keep_all_columns(spark):
+    names = ["dir", "dir_licence", "row", "up", "o", "notice", "is_licence", "licence", "entropy", "suffix", "suffix_rate", "url_length", "hyphens", "label", "_by_rule", "host"]
+    rows = [(None, "a/LICENSE", "Released under the MIT License.", "http://a.net/es/x"), (BIG, "a/b/c/d.txt", None, None), (BIG, "a/b/c/d.txt", "", "no url"), (3, None, "plain", "http://b.org/q?x=1"), (3, None, "plain", "http://b.com/q")]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, path string, text string, url string, " + ", ".join(f"{n} string" for n in names))
+    scanned = licenses.license_scan(df)
+    assert sorted((repr(r.doc_id), r.dir, r.dir_licence, r.row, r.licence, r.licence_from) for r in scanned.collect()) == sorted(
+        [("None", *names[:3], "MIT", "a/LICENSE"), *[(repr(BIG), *names[:3], "MIT", "a")] * 2, *[("3", *names[:3], None, None)] * 2]
+    )
+    judged = url_filter.judge_urls(df, trees=2)
+    got = judged.collect()
+    assert len(got) == 5 and all([r[n] for n in names if n not in ("host", "path")] == [n for n in names if n not in ("host", "path")] for r in got)
+    assert {(r.url, r.host, r.rule) for r in got} == {("http://a.net/es/x", "a.net", "net/es/"), (None, "", None), ("no url", "", None), ("http://b.org/q?x=1", "b.org", None), ("http://b.com/q", "b.com", "com/")}
+    for f, d in ((licenses.license_scan, df), (url_filter.judge_urls, df)):
+        assert f(d.limit(0)).count() == 0
+
+
+def test_whole_licence_files(spark):
+    bsd = "Copyright (c) 2020, X\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    third = "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    files = {
+        "a/LICENSE": ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "Apache-2.0"),
+        "g/COPYING": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies\n", "GPL-3.0"),
+        "l/COPYING.LESSER": ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n", "LGPL-3.0"), "f/LICENSE": ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n", "AGPL-3.0"),
+        "b2/LICENSE": (bsd, "BSD-2-Clause"), "b3/LICENSE": (bsd + third, "BSD-3-Clause"),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in files.items()] + [("b2/deep/er/x.c", "int x;"), ("b2/deep/y.c", None)], "path string, text string")
+    got = {r.path: (r.licence, r.licence_from) for r in licenses.license_scan(df).collect()}
+    assert got == {p: (name, p) for p, (_, name) in files.items()} | {"b2/deep/er/x.c": ("BSD-2-Clause", "b2"), "b2/deep/y.c": ("BSD-2-Clause", "b2")}

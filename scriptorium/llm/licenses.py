@@ -184,8 +184,8 @@ def license_scan(files: DataFrame, licence_file: Column | None = None, templates
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree at three depths: source, language, a folder for each thousand and each fifty ids, the id; every tenth one stands in the language's folder, the next in the thousand's."""
-    name, place = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.pmod(F.col("doc_id"), F.lit(10))
+    """Documents as files of a tree at three depths: source, language, a folder for each thousand and each fifty ids, the id; of ten runs of twenty ids the first stand in the language's folder, the second in the thousand's."""
+    name, place = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.pmod(F.floor(F.col("doc_id") / 20), F.lit(10))
     thousand, fifty = (F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 50))
     below = F.when(place == 0, F.array(name)).when(place == 1, F.array(thousand, name)).otherwise(F.array(thousand, fifty, name))
     return docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), below))

@@ -13,7 +13,6 @@ from scriptorium.operators.registers import running_total
 
 #: Letters that stand for each other in search, by the form that search uses.
 _ALIKE = {"ا": ALEF, "ي": "ىئ", "ه": "ة", "و": "ؤ"} | {str(i): a + p for i, (a, p) in enumerate(zip(ARABIC_DIGITS, PERSIAN_DIGITS, strict=True))}
-_NO_MARKS = dict.fromkeys(map(ord, MARKS))
 _FORM = {c: form for form, others in _ALIKE.items() for c in others}
 
 
@@ -104,17 +103,24 @@ def occurrence_ranges(text: Column, terms: Sequence[str]) -> Column:
     """An array of (start_pos, end_pos): where a text holds one of the terms, overlapping ranges merged; see highlights.
 
     Two passes of one alternation over the text, whatever the number of terms: at each place the longest term that begins there.
+    Terms that can overlap themselves are looked for one by one, each behind its last occurrence.
     """
-    # of alternatives the first counts: one with more letters covers those that begin like it
-    parts = list(dict.fromkeys(p for t in sorted(terms, key=lambda t: -len(t.translate(_NO_MARKS))) if (p := _loose(t).removeprefix("(?iu)"))))
     kind = "array<struct<start_pos:long,end_pos:long>>"
-    if not parts:
+    form = lambda t: "".join(_FORM.get(c, c) for c in t if c not in MARKS).casefold()
+    # of alternatives the first counts: one with more letters covers those that begin like it
+    known = {form(t): _loose(t).removeprefix("(?iu)") for t in sorted(terms, key=lambda t: -len(form(t))) if form(t)}
+    alone = [f for f in known if any(f[k:] == f[: len(f) - k] for k in range(1, len(f)))]
+    plain = [p for f, p in known.items() if f not in alone]
+    patterns = ([f"(?iu)(?=({'|'.join(plain)}))"] if plain else []) + [f"(?iu)({known[f]})" for f in alone]
+    if not patterns:
         return F.array().cast(kind)
-    some = f"(?iu)(?=({'|'.join(parts)}))"
     own = F.translate(text, "\x01", "\x02")  # U+0001 marks the places below
-    pieces = F.split(F.regexp_replace(own, some, "\x01"), "\x01", -1)
-    sizes = F.transform(F.regexp_extract_all(own, F.lit(some), F.lit(1)), F.length)
-    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), sizes, lambda p, n: F.struct(F.length(p).cast("long").alias("step"), n.cast("long").alias("size")))
+
+    def steps_of(pattern: str) -> Column:
+        pieces = F.split(F.regexp_replace(own, pattern, "\x01" if "(?=" in pattern else "\x01$1"), "\x01", -1)
+        sizes = F.transform(F.regexp_extract_all(own, F.lit(pattern), F.lit(1)), F.length)
+        return F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), sizes, lambda p, n: F.struct(F.length(p).cast("long").alias("step"), n.cast("long").alias("size")))
+
     zero = F.lit(0).cast("long")
     none = F.array().cast(kind)
 
@@ -138,13 +144,18 @@ def occurrence_ranges(text: Column, terms: Sequence[str]) -> Column:
     start = F.struct(zero.alias("at"), zero.alias("start"), zero.alias("end"), F.array().cast(f"array<{kind}>").alias("parts"))
     end = lambda s: F.concat(F.flatten(s["parts"]), F.when(s["end"] > 0, F.array(F.struct(s["start"].alias("start_pos"), s["end"].alias("end_pos")))).otherwise(none))
     folded = lambda x: bound(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / FOLD_HITS).cast("int")), start, part(x)), end)
-    return F.when(F.coalesce(own.rlike(some), F.lit(False)), bound(steps, folded)).otherwise(none)
+    found = [F.when(F.coalesce(own.rlike(p), F.lit(False)), bound(steps_of(p), folded)).otherwise(none) for p in patterns]
+    if len(found) == 1:
+        return found[0]
+    again = lambda rs: F.transform(rs, lambda r, i: F.struct((r["start_pos"] - F.when(i == 0, zero).otherwise(F.get(rs, F.greatest(i - 1, F.lit(0)))["start_pos"])).alias("step"), (r["end_pos"] - r["start_pos"]).alias("size")))
+    return bound(bound(F.array_sort(F.concat(*found)), again), lambda x: F.when(F.size(x) > 0, folded(x)).otherwise(none))
 
 
 def highlights(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(doc_id, start_pos, end_pos): where docs(doc_id, text) hold one of the terms, on the text as written; overlapping ranges are one.
 
     Positions count characters from 0, ends are exclusive. Letters match their look-alikes, marks between letters don't hinder.
-    Terms that overlap each other or themselves count all; null texts hold none. Each text is read once, inside the row.
+    Terms that overlap each other count all; a term's next occurrence is looked for behind its last one. Null texts hold none.
+    All is done inside the row that holds the text.
     """
     return docs.select("doc_id", F.explode(occurrence_ranges(F.col("text"), terms)).alias("r")).select("doc_id", "r.*")

@@ -76,7 +76,7 @@ def test_reconcile_and_sets(spark):
 
 def test_running_total_is_exact(spark):
     df = spark.range(1, 501).withColumn("size", F.col("id") % 7)
-    got = registers.running_total(df, "id", F.col("size"), "total", parts=8).orderBy("id").collect()
+    got = registers.running_total(df, "id", F.col("size"), "total", rows_a_range=63).orderBy("id").collect()
     total = 0
     for r in got:
         total += r["size"]

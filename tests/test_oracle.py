@@ -8,7 +8,7 @@ import pytest
 from scriptorium.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "part orders events documents pages benchmark labels conversations".split()
+TABLES = "customer part orders events documents pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")

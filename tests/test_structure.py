@@ -246,8 +246,10 @@ def test_occurrences_by_hand(spark, monkeypatch):
     for d, t in enumerate(texts):
         letters, spans = plain(t or ""), []
         for term in terms:
+            free = 0
             for k in range(len(letters) - len(term) + 1):
-                if "".join(c for _, c in letters[k : k + len(term)]) == term:
+                if k >= free and "".join(c for _, c in letters[k : k + len(term)]) == term:
+                    free = k + len(term)
                     at, end = letters[k][0], letters[k + len(term) - 1][0] + 1
                     while end < len(t) and t[end] == "ُ":
                         end += 1

@@ -118,6 +118,21 @@ def json_fields(spark, d):
     return _t(spark, d, "documents").select(card.alias("c")).select("c.*")
 
 
+ARABIC = "٠١٢٣٤٥٦٧٨٩"
+
+
+def arabic_timeline(spark, d):
+    """Orders' dates as Hijri dates in Arabic digits, 578 years back, in both orders of day and year; with real dates."""
+    date = F.col("o_orderdate").cast("date")
+    parts = [F.year(date) - 578, F.month(date), F.least(F.day(date), F.lit(29))]
+    shown = F.when(F.col("o_orderkey") % 2 == 0, F.concat_ws("/", *parts)).otherwise(F.concat_ws("-", *parts[::-1]))
+    docs = _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("doc_type"), F.col("o_custkey").cast("string").alias("path"),
+        F.concat(F.lit("بتاريخ "), F.translate(shown, "0123456789", ARABIC), F.lit(" هـ")).alias("text"),
+    )
+    return package.unified_timeline(docs).select("calendar", "value", "date_key", "title", "doc_type", "path", F.col("date").cast("string").alias("date"), "other_key")
+
+
 _STRIP = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _STATE = "{{'line': {}, 'form': {}, 'held': 0, 'blanks': 0, 'before': NULL::VARCHAR, 'para': 0, 'out': []::STRUCT(para INT, heading BOOLEAN, line VARCHAR)[]}}"
 _FORM = f"trim(regexp_replace(lower({_STRIP}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -183,5 +198,9 @@ ORACLE_SQL |= {
         regexp_extract_all(line, '[a-z]+') AS runs FROM l) SELECT doc_id, count(*) FILTER (phrase) AS phrases, count(*) FILTER (len(runs) = 0 OR length(array_to_string(runs, '')) <= 4 OR len(list_filter(runs, lambda r: length(r) <= 2)) >= 0.6 * len(runs)) AS scraps FROM p GROUP BY doc_id""",
     "json_fields": "SELECT doc_id, lang, source, n_chars::INT AS n_chars, NULL::VARCHAR AS gone FROM documents",
 }
+_HIJRI = f"""SELECT value, title, min({{'id': doc_id, 'type': doc_type, 'path': path}}) AS f, any_value(y * 10000 + m * 100 + d) AS date_key, any_value(DATE '1970-01-01' + CAST(d + ceil(29.5 * (m - 1)) + 354 * (y - 1) + floor((3 + 11 * y) / 30.0) + 1948439 - 2440588 AS INT)) AS date
+    FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN y || '/' || m || '/' || d ELSE d || '-' || m || '-' || y END AS value
+    FROM (SELECT o_orderkey AS doc_id, o_orderpriority AS title, o_orderstatus AS doc_type, o_custkey::VARCHAR AS path, year(o_orderdate) - 578 AS y, month(o_orderdate) AS m, least(day(o_orderdate), 29) AS d FROM orders)) GROUP BY value, title"""
+ORACLE_SQL["arabic_timeline"] = f"SELECT 'hijri' AS calendar, value, CAST(date_key AS INT) AS date_key, title, f.type AS doc_type, f.path AS path, date::DATE::VARCHAR AS date, CAST(strftime(date, '%Y%m%d') AS INT) AS other_key FROM ({_HIJRI})"
 NO_SQL = ()
 QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *NO_SQL)}

@@ -24,12 +24,13 @@ ROWS_A_RANGE = 200_000
 def running_total(df: DataFrame, order: str, size: Column, name: str, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """Adds the sum of `size` up to and with each row along a unique order column, without a window over the whole table.
 
-    The input is computed once and written. It is dealt out by ranges of the order column, as many as its rows ask for; each
-    range has its own window, and what stands before a range is one row for each range, sent to all tasks. Nulls come first.
+    The input is computed once and written. It is dealt out by ranges of the order column, as many as its rows ask for, and where
+    they are several, written with them: ranges are cut by a sample, and a second reading would cut them elsewhere. Each range has
+    its own window, and what stands before a range is one row for each range, sent to all tasks. Nulls come first.
     """
     once = shared_table(df.withColumn("_size", size))
     ranges = max(1, -(-once.count() // rows_a_range))
-    ranged = once.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id())
+    ranged = once.withColumn("_range", F.lit(0)) if ranges == 1 else shared_table(once.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy("_range").agg(F.sum("_size").alias("_sum"))
     before = totals.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.sum("_size").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -1,8 +1,10 @@
 """Results that went wrong on larger inputs only."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
+from scriptorium.operators import registers
 
 
 def test_shares_are_exact(spark):
@@ -15,3 +17,15 @@ def test_shares_are_exact(spark):
         line = " ".join(["ab"] * short + ["abcde"] * (runs - short))
         fewer = " ".join(["ab"] * (short - 1) + ["abcde"] * (runs - short + 1))
         assert tuple(spark.range(1).select(text.garbled_line(F.lit(line), "a-z"), text.garbled_line(F.lit(fewer), "a-z")).first()) == (True, False)
+
+
+@pytest.mark.parametrize("pages", ["n_pages", "size"])
+def test_ranges_are_cut_once(spark, pages):
+    """More rows than the sample by which ranges are cut: totals and windows must see the same ranges."""
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("doc_id"), (F.col("id") % 5 + 1).alias("n_pages"), (F.col("id") % 3).alias("size"), F.repeat(F.lit("x"), 20).alias("text"))
+    got = {r.doc_id: r.total for r in registers.running_total(df, "doc_id", F.col(pages), "total", 5_000).collect()}
+    total, want = 0, {}
+    for r in df.orderBy("doc_id").collect():
+        total += r[pages]
+        want[r.doc_id] = total
+    assert got == want

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from scriptorium.functions.text import ascii_digits, audit_form, strip
+from scriptorium.plans.session import shared_table
 
 #: No letter, digit or underscore beside a match.
 _L, _R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -145,11 +146,62 @@ def held_patterns(texts: DataFrame, lexicon: DataFrame, mirrored: bool = False)
     return out
 
 
+#: Letters of the short patterns by which longer ones are dropped, in turn; the second pass is made only where the rest fills more than one automaton.
+SHORT_LETTERS = (50_000, AUTOMATON_LETTERS)
+
+
+def needed_patterns(lexicon: DataFrame, names: Sequence[str] = ("kind", "label")) -> DataFrame:
+    """lexicon(pattern, names...) without the rows whose pattern holds a shorter one of the same names, forward or backwards: a text that has the longer one has the shorter one too.
+
+    For use where only the names of what a text holds are asked for, and both ways of writing count. The shortest patterns, as
+    many as SHORT_LETTERS allow, make an automaton that reads the patterns themselves; nothing is shuffled.
+    """
+    rows = lexicon.select(*names, F.col("pattern").cast("string").alias("pattern")).where("pattern IS NOT NULL")
+    for most in SHORT_LETTERS:
+        sizes = rows.groupBy(F.length("pattern").alias("n")).agg(F.sum(F.octet_length("pattern")).alias("letters")).orderBy("n").collect()
+        if most > SHORT_LETTERS[0] and 2 * sum(r.letters for r in sizes) <= AUTOMATON_LETTERS:
+            break
+        longest, letters = -1, 0
+        for r in sizes:
+            letters += 2 * r.letters
+            if letters > most:
+                break
+            longest = r.n
+        if longest < 0:
+            continue
+        held: dict[str, set] = {}
+        for r in rows.where(F.length("pattern") <= longest).collect():
+            for p in (r.pattern, r.pattern[::-1]):
+                held.setdefault(p, set()).add(tuple(r)[:-1])
+        sent = rows.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches, sent=sent):
+            import ahocorasick
+
+            every, machine = sent.value.get("", set()), ahocorasick.Automaton()
+            for p, owners in sent.value.items():
+                if p:
+                    machine.add_word(p, (len(p), owners))
+            machine.make_automaton()
+            for batch in batches:
+                keep = []
+                for *own, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own, n = tuple(own), len(pattern)
+                    hit = n > 0 and own in every
+                    if not hit and len(machine):
+                        hit = any(size < n and own in owners for _, (size, owners) in machine.iter(pattern))
+                    keep.append(not hit)
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        rows = shared_table(rows.mapInArrow(run, rows.schema).distinct())
+    return rows
+
+
 def match_aliases(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, kind, label): a pattern stands in the text, forward or reversed. Ids are unique."""
     rows = rule_rows(lexicon.select("kind", "label", "pattern").where("pattern is not null"))
     if rows is None:
-        return held_patterns(docs, lexicon.select("kind", "label", "pattern"), mirrored=True).select("doc_id", "kind", "label").distinct()
+        return held_patterns(docs, needed_patterns(lexicon), mirrored=True).select("doc_id", "kind", "label").distinct()
     ways = constants(sorted({(r.kind, r.label, p) for r in rows for p in (r.pattern, r.pattern[::-1])}, key=str), "kind", "label", "pattern")
     hits = F.filter(ways, lambda e: F.contains(F.col("text"), e["pattern"]))
     labels = F.array_distinct(F.transform(hits, lambda e: F.struct(e["kind"].alias("kind"), e["label"].alias("label"))))

@@ -1,10 +1,12 @@
 """Results that went wrong on larger inputs only."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
-from scriptorium.operators import registers
+from scriptorium.operators import extract, registers
 
 
 def test_shares_are_exact(spark):
@@ -29,3 +31,18 @@ def test_ranges_are_cut_once(spark, pages):
         total += r[pages]
         want[r.doc_id] = total
     assert got == want
+
+
+def test_long_lexicon_is_read_in_one_pass(spark, monkeypatch):
+    """Patterns that hold a shorter one of their label say nothing more: what is left fits one automaton, and finds the same."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcd") for _ in range(n))
+    rows = [(rnd.choice("xy"), rnd.choice(["l", "m", None]), word(rnd.randint(2, 9))) for _ in range(1500)] + [("z", "long", "q" + word(12)), ("z", "long", "q"), ("x", "none", None), ("x", "e", ""), ("x", "e", "dd")]
+    texts = [(i, word(rnd.randint(0, 8)) + rnd.choice(["", "q"]) + word(3)) for i in range(200)] + [(900, None), (901, "")]
+    monkeypatch.setattr(extract, "AUTOMATON_LETTERS", 2000)
+    lexicon, docs = spark.createDataFrame(rows, "kind string, label string, pattern string"), spark.createDataFrame(texts, "doc_id long, text string")
+    want = {(i, k, l) for i, t in texts for k, l, p in rows if t is not None and p is not None and (p in t or p[::-1] in t)}
+    found = extract.match_aliases(docs, lexicon)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

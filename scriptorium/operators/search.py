@@ -8,14 +8,32 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import light_stem, search_form, tokens
+from scriptorium.functions.text import ARABIC, light_stem, search_form, tokens
 from scriptorium.plans.session import shared_table
 
 
+def _words(docs: DataFrame, words: Column) -> DataFrame:
+    """(doc_id, words), a row for each id: the words of rows with one id are put together, so that the rest is done inside the row."""
+    rows = docs.select("doc_id", words.alias("words"))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        rows = rows.groupBy("doc_id").agg(F.flatten(F.collect_list("words")).alias("words"))
+    return rows.where(F.size("words") > 0)
+
+
+def _counted(docs: DataFrame, stem: bool, least: int = 2) -> DataFrame:
+    """(doc_id, length, terms: array of (term, tf)) of docs with any term; of sorted terms, each run of equal ones is one, so nothing is shuffled."""
+    t = tokens(F.col("text"), least)
+    t = F.when(F.col("text").rlike(ARABIC), F.transform(t, light_stem)).otherwise(t) if stem else t
+    rows = _words(docs, t).select("doc_id", F.sort_array("words").alias("w"))
+    first = lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1))))
+    rows = rows.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("w")), first))
+    run = lambda i, k: F.struct(F.element_at("w", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("w") + 1) - i).cast("long").alias("tf"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("length"), F.transform("at", run).alias("terms"))
+
+
 def postings(docs: DataFrame, stem: bool = False, least: int = 2) -> DataFrame:
     """(term, doc_id, tf)"""
-    t = docs.select("doc_id", F.explode(tokens(F.col("text"), least)).alias("term"))
-    return (t.withColumn("term", light_stem(F.col("term"))) if stem else t).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return _counted(docs, stem, least).select(F.explode("terms").alias("t"), "doc_id").select("t.term", "doc_id", "t.tf")
 
 
 def bm25(index: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
@@ -65,9 +83,9 @@ def extend_index(docs: DataFrame, path: str, batch: int, stem: bool = True) -> N
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    tf = shared_table(postings(fresh, stem))
-    sizes = tf.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    rows = tf.join(sizes, "doc_id")
+    counted = shared_table(_counted(fresh, stem))
+    rows = counted.where("doc_id IS NOT NULL").select(F.explode("terms").alias("t"), "doc_id", "length").select("doc_id", "t.term", "t.tf", "length")
+    tf, sizes = counted.select(F.explode("terms.term").alias("term")), counted.select("length")
     own = {"batch": F.lit(batch), "bucket": _bucket(F.col("term"))}
 
     def put(df: DataFrame, name: str, *by: str) -> None:
@@ -186,12 +204,11 @@ def prefix_search(index: DataFrame, query: list[str], k: int = 400) -> DataFrame
 
 def word_families(docs: DataFrame, k: int = 3) -> DataFrame:
     """Occurrences and documents for each stem, with sample forms."""
-    t = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("form")).groupBy("doc_id", "form").agg(F.count("*").alias("n"))
-    forms = t.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
-    stem = light_stem(F.col("form"))
-    by_doc = t.groupBy(stem.alias("stem"), "doc_id").agg(F.sum("n").alias("n")).groupBy("stem").agg(F.sum("n").alias("times"), F.count("*").alias("docs"))
-    samples = forms.groupBy(stem.alias("stem")).agg(F.slice(F.array_sort(F.collect_set("form")), 1, k).alias("forms"))
-    return by_doc.join(samples, "stem")
+    both = F.sort_array(F.transform("words", lambda t: F.struct(light_stem(t).alias("stem"), t.alias("form"))))
+    rows = _words(docs, tokens(F.col("text"))).select(both.alias("w"))
+    marked = F.transform("w", lambda p, i: F.struct(p.alias("p"), ((i == 0) | (p["stem"] != F.get("w", F.greatest(i - 1, F.lit(0)))["stem"])).cast("long").alias("first")))
+    forms = rows.select(F.explode(marked).alias("x")).groupBy("x.p.stem", "x.p.form").agg(F.count("*").alias("n"), F.sum("x.first").alias("docs"))
+    return forms.groupBy("stem").agg(F.sum("n").alias("times"), F.sum("docs").alias("docs"), F.slice(F.array_sort(F.collect_list("form")), 1, k).alias("forms"))
 
 
 def expand_terms(query: DataFrame, morph: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
-from scriptorium.operators import extract, registers
+from scriptorium.operators import extract, registers, search
 
 
 def test_shares_are_exact(spark):
@@ -46,3 +46,16 @@ def test_long_lexicon_is_read_in_one_pass(spark, monkeypatch):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    """No shuffle of terms by document; rows of one id count as one document, and stems are as before."""
+    rows = [(1, "والكتاب الكتاب كتاب the The a"), (2, "كتابات the"), (2, "the بيت"), (3, None), (4, ""), (5, "و وا لل للبيت الها ها ab\u0967")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = docs.where("doc_id <> 2")
+    for plan in (search.word_families(once), search.postings(once, stem=True)):
+        assert "doc_id" not in "".join(x for x in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    tf = {(r.term, r.doc_id): r.tf for r in search.postings(docs, stem=True).collect()}
+    assert tf == {("كتاب", 1): 3, ("the", 1): 2, ("كتاب", 2): 1, ("the", 2): 2, ("بيت", 2): 1, ("وا", 5): 1, ("لل", 5): 1, ("بيت", 5): 1, ("ها", 5): 2, ("ab\u0967", 5): 1}
+    got = {r.stem: (r.times, r.docs, r.forms) for r in search.word_families(docs).collect()}
+    assert got["كتاب"] == (4, 2, ["الكتاب", "كتاب", "كتابات"]) and got["the"] == (4, 2, ["the"]) and got["بيت"] == (2, 2, ["بيت", "للبيت"])

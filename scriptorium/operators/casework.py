@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import ascii_digits, audit_form, tokens
 from scriptorium.operators.extract import held_patterns
 from scriptorium.operators.pairs import set_join
+from scriptorium.plans.session import shared_table
 
 #: How an article of a law is cited, in the normal form for matching.
 ARTICLE = r"(?:الماده|ماده)\s*(?:رقم\s*)?\(?\s*(\d{1,3})\)?"
@@ -99,9 +101,22 @@ def ingest_tally(log: DataFrame) -> DataFrame:
     return log.groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("docs"))
 
 
-def section_order(docs: DataFrame) -> DataFrame:
-    """Adds place: the order of documents by path and title within their section, from 1."""
-    return docs.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy(F.col("path").asc_nulls_first(), F.col("title").asc_nulls_first(), "doc_id")))
+def section_order(docs: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds place: the order of documents by path and title within their section, from 1; with `keep`, to these columns alone.
+
+    All documents are sorted once, in ranges, and written with their number in that order. A section's rows follow one another in
+    each range, so a place is the distance from the first of them, plus the section's rows in ranges before: no task holds more of
+    a section than its range.
+    """
+    order = [F.col("section").asc_nulls_first(), F.col("path").asc_nulls_first(), F.col("title").asc_nulls_first(), "doc_id"]
+    columns = list(docs.columns if keep is None else keep)
+    rows = docs.orderBy(*order).select(*columns, F.col("section").alias("_section"), F.monotonically_increasing_id().alias("_at"))
+    rows = shared_table(rows.withColumn("_range", F.shiftright("_at", 33)))
+    parts = rows.groupBy("_section", "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_section").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(F.col("_section").alias("_s"), F.col("_range").alias("_r"), (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    placed = rows.join(starts, (F.col("_range") == F.col("_r")) & F.col("_section").eqNullSafe(F.col("_s")))
+    return placed.select(*columns, (F.col("_at") + F.col("_shift")).cast("int").alias("place"))
 
 
 def top_amounts(amounts: DataFrame, k: int = 20, least_digits: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
-from scriptorium.operators import extract, registers, search
+from scriptorium.operators import casework, extract, registers, search
 
 
 def test_shares_are_exact(spark):
@@ -59,3 +59,16 @@ def test_terms_are_counted_inside_the_row(spark):
     assert tf == {("كتاب", 1): 3, ("the", 1): 2, ("كتاب", 2): 1, ("the", 2): 2, ("بيت", 2): 1, ("وا", 5): 1, ("لل", 5): 1, ("بيت", 5): 1, ("ها", 5): 2, ("ab\u0967", 5): 1}
     got = {r.stem: (r.times, r.docs, r.forms) for r in search.word_families(docs).collect()}
     assert got["كتاب"] == (4, 2, ["الكتاب", "كتاب", "كتابات"]) and got["the"] == (4, 2, ["the"]) and got["بيت"] == (2, 2, ["بيت", "للبيت"])
+
+
+def test_places_without_a_window_over_a_section(spark):
+    """Places in sections of several ranges, with null sections, paths and titles; the only window runs over ranges."""
+    rows = [(i, [None, "a", "b"][i * i % 3], [None, "p", "q"][i * 7 % 3], None if i % 5 == 0 else str(i * 7919 % 400)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, section string, path string, title string").repartition(7)
+    got = casework.section_order(docs)
+    assert got.columns == [*docs.columns, "place"] and got._jdf.queryExecution().optimizedPlan().toString().count("row_number") == 0
+    want, last = {}, {}
+    for i, s, *_ in sorted(rows, key=lambda r: [(x is not None, x or "") for x in r[1:]] + [r[0]]):
+        want[i] = last[s] = last.get(s, 0) + 1
+    assert {r.doc_id: r.place for r in got.collect()} == want
+    assert casework.section_order(docs, ["doc_id"]).columns == ["doc_id", "place"]

@@ -1,12 +1,13 @@
 """Results that went wrong on larger inputs only."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
-from scriptorium.operators import casework, extract, registers, search
+from scriptorium.operators import casework, extract, registers, repair, search
 
 
 def test_shares_are_exact(spark):
@@ -72,3 +73,21 @@ def test_places_without_a_window_over_a_section(spark):
         want[i] = last[s] = last.get(s, 0) + 1
     assert {r.doc_id: r.place for r in got.collect()} == want
     assert casework.section_order(docs, ["doc_id"]).columns == ["doc_id", "place"]
+
+
+def test_lines_are_turned_only_for_terms_that_can_tell(spark):
+    """Latin terms stand alike in a line and its reversal: with such terms alone no line is turned; with others the result is as before."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["ab", "-", " ", "(", "x", ".", "12", "سلام", "مالس", "é", "a\u0085"]) for _ in range(rnd.randint(1, 14))) for _ in range(300)]
+    ls = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id long, line_no int, line string")
+    latin = repair.readability_qc(ls, ["ab", "x12"], script="A-Za-z")
+    assert "translate" not in latin._jdf.queryExecution().optimizedPlan().toString() and latin.where("reversed_lines > 0").count() == 0
+    both = ["ab", "سلام", "é"]
+    back = repair.reversed_line(F.col("line"))
+    want = {r.doc_id: r.r for r in ls.where("trim(line) <> ''").select("doc_id", (repair.term_hits(back, both) > repair.term_hits(F.col("line"), both)).cast("long").alias("r")).collect()}
+    got = repair.readability_qc(ls, both, script="A-Za-z").collect()
+    assert {r.doc_id: r.reversed_lines for r in got} == want and sum(want.values()) > 0
+    for r in got:
+        ts = [t for t in re.split(r"[ \t\n\x0b\f\r]+", texts[r.doc_id]) if re.search("[A-Za-z]", t)]
+        g = sum(t in both or len(t) >= 3 and len(re.findall("[A-Za-z]", t)) > 0.7 * len(t) for t in ts)
+        assert r.words == len(ts) and r.word_ratio == (round(g / len(ts), 4) if ts else 0)

@@ -54,13 +54,23 @@ def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpo
     """
 
     def add(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
+        keys = batch.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+        new, held = keys, True
         try:
             known = spark.read.parquet(target).select(F.col(key).alias("_known"))
-            fresh = fresh.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+            new = keys.join(known, F.col("_key").eqNullSafe(F.col("_known")), "left_anti")
         except AnalysisException as e:  # the first batch finds no target
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
+            held = False
+        # keys alone are shuffled to see what is new: whole rows only where some of a batch are known or repeated
+        total = keys.agg(F.count("*").alias("keys"), F.max("n").alias("most")).first()
+        unseen = new.count() if held else total["keys"]
+        if held and not unseen:
+            return
+        fresh = batch.dropDuplicates([key]) if (total.most or 0) > 1 else batch
+        if unseen < total["keys"]:
+            fresh = fresh.join(new, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
         fresh = fresh.select(*batch.columns)
         (prepare(fresh) if prepare else fresh).write.mode("append").parquet(target)
 
@@ -86,18 +96,27 @@ def dedupe_stream(spark: SparkSession, source: str, schema, target: str, checkpo
     return query
 
 
+def _beside(docs: DataFrame, f: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """docs with a column of f(docs), where f reads each row alone: the whole row goes in place of its id, so that nothing is joined."""
+    return f(docs.withColumn("doc_id", F.struct(*docs.columns))).select("doc_id.*", name)
+
+
 def prepare_documents(docs: DataFrame, rules: DataFrame, authorities: Sequence[str], patterns: dict[str, str], script: str | None = None) -> DataFrame:
-    """New docs(doc_id, title, text) as records: type, card, long numbers, dates, quality and whether there is text to read. Ids are unique."""
-    keyed = docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    quality = lines.quality_metrics(keyed, *([script] if script else [])).select("doc_id", "quality")
+    """New docs(doc_id, title, text) as records: type, card, long numbers, dates, quality and whether there is text to read. Ids are unique.
+
+    All of it is found in the row that holds the text; only a list of rules that is too long for that is joined, by id.
+    """
+    rows = docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    short = extract.rule_rows(rules.select("label", "pattern", "ord").where("pattern is not null")) is not None
+    typed = lambda d: extract.classify_type(d, rules)
+    rows = _beside(rows, typed, "doc_type") if short else rows.join(typed(rows), "doc_id")
+    rows = _beside(rows, lambda d: reports.build_cards(d, authorities, patterns), "card")
+    rows = _beside(rows, lambda d: lines.quality_metrics(d, *([script] if script else [])), "quality")
     text = F.col("text")
-    facts = keyed.select(
+    return rows.select(
         "doc_id", "title", extract.long_numbers(text).alias("numbers"), extract.dates(text, extract.HIJRI).alias("hijri_dates"), extract.dates(text, extract.GREGORIAN).alias("gregorian_dates"),
-        (strip(text) != "").alias("readable"), "text",
+        (strip(text) != "").alias("readable"), "text", "doc_type", "card", "quality",
     )
-    typed = extract.classify_type(keyed, rules)
-    cards = reports.build_cards(keyed, authorities, patterns)
-    return facts.join(typed, "doc_id").join(cards, "doc_id").join(quality, "doc_id")
 
 
 def ingest_documents(spark: SparkSession, source: str, schema, target: str, checkpoint: str, rules: DataFrame, authorities: Sequence[str], patterns: dict[str, str], script: str | None = None, rename: Callable[[DataFrame], DataFrame] | None = None):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text
 from scriptorium.operators import casework, extract, registers, repair, search
+from scriptorium.streaming import incremental
 
 
 def test_shares_are_exact(spark):
@@ -91,3 +92,20 @@ def test_lines_are_turned_only_for_terms_that_can_tell(spark):
         ts = [t for t in re.split(r"[ \t\n\x0b\f\r]+", texts[r.doc_id]) if re.search("[A-Za-z]", t)]
         g = sum(t in both or len(t) >= 3 and len(re.findall("[A-Za-z]", t)) > 0.7 * len(t) for t in ts)
         assert r.words == len(ts) and r.word_ratio == (round(g / len(ts), 4) if ts else 0)
+
+
+def test_texts_are_not_shuffled_when_ingested(spark, tmp_path):
+    """Records are made in the row that holds the text; files whose keys are known in part or repeat add each new key once."""
+    rules = spark.createDataFrame([("x", "alpha", 1), ("y", "beta", 2)], "label string, pattern string, ord int")
+    docs = spark.createDataFrame([(1, None, "alpha 1234567 issued"), (2, "beta", None), (None, "t", "x")], "doc_id long, title string, text string")
+    done = incremental.prepare_documents(docs, rules, ["issued"], {"number": "([0-9]{6,})"}, "A-Za-z")
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (r.title, r.doc_type, r.card, r.numbers, r.readable) for r in done.collect()}
+    assert got == {1: ("", "x", {"authority": "issued", "number": "1234567"}, ["1234567"], True), 2: ("beta", "y", {}, [], False), None: ("t", "unclassified", {}, [], True)}
+    assert done.columns == ["doc_id", "title", "numbers", "hijri_dates", "gregorian_dates", "readable", "text", "doc_type", "card", "quality"]
+    src, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    for k, ids in enumerate(([1, 1, None, None, 2], [2, 3, None], [1, 2, 3])):
+        rows = spark.createDataFrame([(i, "t") for i in ids], "id long, text string")
+        rows.coalesce(1).write.mode("append").parquet(src)
+        incremental.ingest_stream(spark, src, rows.schema, target, f"{tmp_path}/ck{k % 2}")
+    assert sorted((r.id or 0) for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3]

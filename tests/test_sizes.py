@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
-from scriptorium.operators import casework, extract, registers, repair, search
+from scriptorium.operators import casework, extract, lines, registers, repair, search
 from scriptorium.streaming import incremental
 
 
@@ -94,6 +94,20 @@ def test_lines_are_turned_only_for_terms_that_can_tell(spark):
         assert r.words == len(ts) and r.word_ratio == (round(g / len(ts), 4) if ts else 0)
 
 
+def test_contexts_are_cut_from_blocks(spark):
+    """Contexts at the edges of blocks and beyond them, in letters of two code units too; no text is copied for its hits."""
+    texts = ["", "ab", "𝒳" * 254 + "abab" + "é" * 251 + "ab" + "z" * 600 + "ab", "ab" * 700, "x" * 255 + "ab", None, "no\nne"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lines.kwic(docs, "ab", 5, 8)
+    explode = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in x]
+    assert len(explode) == 1 and "text" not in explode[0].split("explode")[0]
+    rows = got.collect()
+    assert {r.doc_id: r.times for r in rows} == {1: 1, 2: 4, 3: 700, 4: 1}
+    for r in rows:
+        start = max(r.pos - 5, 0)
+        assert r.context == texts[r.doc_id][start : r.pos + 2 + 8]
+
+
 def test_texts_are_not_shuffled_when_ingested(spark, tmp_path):
     """Records are made in the row that holds the text; files whose keys are known in part or repeat add each new key once."""
     rules = spark.createDataFrame([("x", "alpha", 1), ("y", "beta", 2)], "label string, pattern string, ord int")

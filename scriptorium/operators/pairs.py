@@ -63,35 +63,68 @@ def groups_of(links: DataFrame) -> DataFrame:
             return labels
 
 
-def set_groups(sets: DataFrame, threshold: float) -> DataFrame:
+#: Holders from which a hashed item is put behind all others, and how many such items at most. They decide the order alone.
+OFTEN, MOST_OFTEN = 64, 1_000
+
+
+def _prefixes(sets: DataFrame, threshold: float, hashed: bool) -> DataFrame:
+    """(id, n, i, t): the items t of each set's prefix that other prefixes have too, their place i and the set's size n.
+
+    The prefix filter holds for any order of items that all sets share; rare ones first makes few candidates. Words are put in
+    order of their frequency. Of `hashed` items most are rare, so these are put in order inside the row, by their value, and only
+    the prefixes leave it; what many of the prefixes hold goes behind all others.
+    """
+    size = lambda n: n - F.ceil(n * threshold - 1e-9) + 1
+    if not hashed:
+        df = sets.select(F.explode("items").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+        ranked = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("t")).join(df, "t")
+        place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
+        return ranked.withColumn("i", place).where(F.col("i") <= size(F.col("n"))).where("df > 1").select("id", "n", "i", "t")
+
+    def short(often: list[int]) -> DataFrame:
+        items, n = F.array_sort("items"), F.size("items")
+        if often:
+            known = F.array(*map(F.lit, often)).cast("array<bigint>")
+            items = F.when(F.arrays_overlap("items", known), bound(items, lambda x: F.concat(F.array_except(x, known), F.array_intersect(x, known)))).otherwise(items)
+        return sets.select("id", n.alias("n"), F.posexplode(F.slice(items, F.lit(1), size(n).cast("int"))).alias("i", "t")).select("id", "n", (F.col("i") + 1).alias("i"), "t")
+
+    counts = short([]).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= OFTEN)
+    often = [r.t for r in counts.orderBy(F.desc("df"), "t").limit(MOST_OFTEN).collect()]
+    return short(often).withColumn("df", F.count("*").over(Window.partitionBy("t"))).where("df > 1").drop("df")
+
+
+def _agreeing(sets: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): of met(a, n_a, i_a, b, n_b, i_b) the pairs of sets(id, items) that reach the threshold. Sets that are in no pair are not sent around."""
+    need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    pairs = shared_table(met.where(1 + rest >= need).select("a", "b").distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = sets.join(F.broadcast(ids) if pairs.count() <= 1_000_000 else ids, "id", "left_semi")
+    whole = pairs.join(some.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    return whole.select("a", "b", (same / (F.size("x") + F.size("y") - same)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+
+
+def _side(name: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{name}" if c != "id" else name) for c in ("id", "n", "i")]
+
+
+def set_groups(sets: DataFrame, threshold: float, hashed: bool = False) -> DataFrame:
     """(id, group) of sets(id, items: array) that a chain of pairs with Jaccard at or above the threshold joins to another; exact, without all pairs of a group.
 
-    Prefix and positional filter as in set_join. First each set meets only the smallest id of each of its prefix items, and what
-    agrees is grouped; then sets meet all others of their prefix items that are not in their group yet, and what agrees joins the
-    groups. Of sets that are all alike, no more than one pair for each member and prefix item is looked at.
+    Prefix and positional filter as in set_join; `hashed` items are hash values (see _prefixes). First each set meets only the
+    smallest id of each of its prefix items, and what agrees is grouped; then sets meet all others of their prefix items that are
+    not in their group yet, and what agrees joins the groups. Of sets that are all alike, no more than one pair for each member
+    and prefix item is looked at.
     """
     sets = shared_table(sets.select("id", F.array_distinct("items").alias("items")).where(F.size("items") > 0))
-    df = sets.select(F.explode("items").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ranked = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("t")).join(df, "t")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    short = shared_table(ranked.withColumn("i", place).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("df > 1").select("id", "n", "i", "t"))
-
-    def agreeing(met: DataFrame) -> DataFrame:
-        """Of met(a, n_a, i_a, b, n_b, i_b) the pairs that reach the threshold."""
-        need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-        rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-        pairs = met.where(1 + rest >= need).select("a", "b").distinct()
-        whole = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        return whole.where(same / (F.size("x") + F.size("y") - same) >= threshold - 1e-9).select("a", "b")
-
-    side = lambda name: [F.col(c).alias(f"{c}_{name}" if c != "id" else name) for c in ("id", "n", "i")]
+    short = shared_table(_prefixes(sets, threshold, hashed))
     hubs = short.groupBy("t").agg(F.min(F.struct("id", "n", "i")).alias("h")).select("t", F.col("h.id").alias("a"), F.col("h.n").alias("n_a"), F.col("h.i").alias("i_a"))
-    first = shared_table(agreeing(short.select("t", *side("b")).join(hubs, "t").where("a <> b")))
+    first = shared_table(_agreeing(sets, short.select("t", *_side("b")).join(hubs, "t").where("a <> b"), threshold).select("a", "b"))
     known = groups_of(first)
     named = short.join(known, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    one, two = named.select("t", *side("a"), F.col("group").alias("g_a")), named.select("t", *side("b"), F.col("group").alias("g_b"))
-    second = agreeing(one.join(two, "t").where("a < b AND g_a <> g_b"))
+    one, two = named.select("t", *_side("a"), F.col("group").alias("g_a")), named.select("t", *_side("b"), F.col("group").alias("g_b"))
+    second = _agreeing(sets, one.join(two, "t").where("a < b AND g_a <> g_b"), threshold).select("a", "b")
     return groups_of(first.union(second))
 
 
@@ -110,7 +143,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -
     One row for each document of docs(doc_id, text) in a group of several, however many pairs they make. Null texts are in none;
     texts of fewer than k words are grouped with their copies alone.
     """
-    near = set_groups(_shingled(docs, k), threshold)
+    near = set_groups(_shingled(docs, k), threshold, hashed=True)
     keyed = docs.select("doc_id", F.sha2(F.trim("text"), 256).alias("h")).where("h IS NOT NULL")
     firsts = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     named = firsts.join(near, F.col("first") == F.col("id"), "left").where("n > 1 OR group IS NOT NULL").select("h", F.coalesce("group", "first").alias("group_id"))
@@ -134,8 +167,9 @@ def similar_titles(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """Pairs of distinct texts by k-word shingles; copies are represented by their smallest id (exact_duplicates has the members). near_duplicate_groups gives groups without all their pairs."""
-    sets = shared_table(_shingled(docs, k).select(F.col("id").alias("doc_id"), F.col("items").alias("g")))
-    return set_join(sets, sets, "doc_id", F.col("g"), threshold, itself=True)
+    sets = shared_table(_shingled(docs, k))
+    short = shared_table(_prefixes(sets, threshold, hashed=True))
+    return _agreeing(sets, short.select("t", *_side("a")).join(short.select("t", *_side("b")), "t").where("a < b"), threshold)
 
 
 def reconcile(study: DataFrame, archive: DataFrame, key: str) -> DataFrame:

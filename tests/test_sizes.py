@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
-from scriptorium.operators import casework, extract, lines, registers, repair, search
+from scriptorium.operators import casework, extract, lines, pairs, registers, repair, search
 from scriptorium.streaming import incremental
 
 
@@ -123,3 +123,33 @@ def test_texts_are_not_shuffled_when_ingested(spark, tmp_path):
         rows.coalesce(1).write.mode("append").parquet(src)
         incremental.ingest_stream(spark, src, rows.schema, target, f"{tmp_path}/ck{k % 2}")
     assert sorted((r.id or 0) for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3]
+
+
+def test_near_duplicates_by_hashed_prefixes(spark, monkeypatch):
+    """Shingles leave the row in prefixes alone, whatever is put behind the others; pairs and groups are those of all pairs."""
+    rnd = random.Random(8)
+    base = [[rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(rnd.randint(6, 60))] for _ in range(12)]
+    texts = []
+    for words in base * 6:
+        words = list(words)
+        if rnd.random() < 0.8:
+            words[rnd.randrange(len(words))] = rnd.choice(["x", "y"])
+        texts.append(" ".join(["one common line in all of them"] * rnd.randint(0, 1) + words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t, i in first.items()}
+    want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) - 1e-9}
+    group = {i: first[t] for i, t in enumerate(texts)}
+    for _ in texts:
+        for a, b in want:
+            low = min(group[a], group[b])
+            group[a] = group[b] = low
+    group = {i: group[first[t]] for i, t in enumerate(texts)}
+    many = {g for g in group.values() if sum(x == g for x in group.values()) > 1}
+    for often, most in ((64, 1000), (2, 5), (2, 1000)):
+        monkeypatch.setattr(pairs, "OFTEN", often)
+        monkeypatch.setattr(pairs, "MOST_OFTEN", most)
+        assert {(r.a, r.b) for r in pairs.near_duplicates(docs, 0.8).collect()} == want and want
+        assert {r.doc_id: r.group_id for r in pairs.near_duplicate_groups(docs, 0.8).collect()} == {i: g for i, g in group.items() if g in many}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +130,35 @@ def set_groups(sets: DataFrame, threshold: float, hashed: bool = False) -> DataF
     return groups_of(first.union(second))
 
 
+#: Items of the largest set that is keyed by its subsets.
+SMALL = 8
+
+
+def _subsets(threshold: float) -> list[tuple[int, int, int, list[int]]]:
+    """(n, low, high, places): for sets of n items, and the sizes low <= high of a pair that one of them is in, the places of each subset that two such sets must share."""
+    out = []
+    for n in range(1, SMALL + 1):
+        for m in range(1, SMALL + 1):
+            need = next((k for k in range(1, min(n, m) + 1) if k / (n + m - k) >= threshold - 1e-9), None)
+            if need:
+                out += [(n, min(n, m), max(n, m), list(c)) for c in combinations(range(1, n + 1), need)]
+    return out
+
+
+def small_set_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links whose chains join the same sets(id, items: sorted array of different items) of SMALL items at most as all pairs with Jaccard at or above the threshold do.
+
+    Sets of n and m items reach the threshold if and only if they share a subset of a size that follows from n and m. Each set
+    is keyed by such subsets and linked to the first under each key, so nothing is compared and rows grow with the sets alone.
+    Keys of two sizes join sets only where both sizes are there.
+    """
+    plan = sets.sparkSession.createDataFrame(_subsets(threshold), "n int, low int, high int, places array<int>")
+    keyed = sets.withColumn("n", F.size("items")).join(F.broadcast(plan), "n").select("id", "n", "low", "high", F.transform("places", lambda i: F.element_at("items", i)).alias("key"))
+    heads = keyed.groupBy("low", "high", "key").agg(F.min("id").alias("b"), F.max("id").alias("last"), F.min("n").alias("least"), F.max("n").alias("most"))
+    heads = heads.where("b < last AND least = low AND most = high").select("low", "high", "key", "b")
+    return keyed.join(heads, ["low", "high", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def _shingled(docs: DataFrame, k: int) -> DataFrame:
     """(id, text, items): the k-word shingles of each different trimmed text, by its smallest doc_id."""
     one = docs.groupBy(F.trim("text").alias("text")).agg(F.min("doc_id").alias("id"))
@@ -151,10 +182,17 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -
 
 
 def similar_title_groups(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(doc_id, group_id): docs(doc_id, title) whose titles a chain of word sets at or above the threshold joins to another's; equal titles (in lower case) are one, and join each other."""
+    """(doc_id, group_id): docs(doc_id, title) whose titles a chain of word sets at or above the threshold joins to another's; equal titles (in lower case) are one, and join each other.
+
+    Titles of up to SMALL different words are linked by subsets of their words, and only what longer ones may reach is compared.
+    """
     title = F.lower("title")
     one = docs.where("title IS NOT NULL").groupBy(title.alias("t")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    near = set_groups(one.select("id", F.filter(F.split("t", r"\s+"), lambda w: w != "").alias("items")), threshold).withColumnRenamed("id", "_id")
+    sets = shared_table(one.select("id", F.array_sort(F.array_distinct(F.filter(F.split("t", r"\s+"), lambda w: w != ""))).alias("items")).where(F.size("items") > 0))
+    links = small_set_links(sets.where(F.size("items") <= SMALL), threshold)
+    if not sets.where(F.size("items") > SMALL).isEmpty():
+        links = links.union(set_groups(sets.where(F.size("items") > F.lit(SMALL * threshold - 1e-9)), threshold).select("id", "group"))
+    near = groups_of(links).withColumnRenamed("id", "_id")
     named = one.join(near, F.col("id") == F.col("_id"), "left").where("n > 1 OR group IS NOT NULL").select("t", F.coalesce("group", "id").alias("group_id"))
     return docs.join(named, title == F.col("t")).select("doc_id", "group_id")
 

@@ -165,6 +165,25 @@ def test_cluster_has_one_row_for_each_text(spark):
     assert sorted(map(tuple, pairs.similar_title_groups(titles, 0.6).collect())) == [(1, 1), (2, 1), (3, 3), (4, 3)]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.75])
+def test_title_groups_by_hand(spark, threshold):
+    rng = random.Random(11)
+    words = [rng.sample(range(18), rng.randrange(1, 13)) for _ in range(200)]  # shorter and longer than SMALL
+    df = spark.createDataFrame([(i, " ".join(f"W{w}" for w in ws)) for i, ws in enumerate(words)] + [(900, " "), (901, None)], "doc_id long, title string")
+    by_title = {}
+    for i, ws in enumerate(words):
+        by_title.setdefault(" ".join(map(str, ws)), []).append(i)
+    want = brute_groups({ids[0]: frozenset(words[ids[0]]) for ids in by_title.values()}, threshold)
+    want = {i: want.get(ids[0], ids[0]) for ids in by_title.values() for i in ids if len(ids) > 1 or ids[0] in want}
+    assert {r.doc_id: r.group_id for r in pairs.similar_title_groups(df, threshold).collect()} == want
+
+
+def test_short_titles_are_not_compared_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "_agreeing", None)
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 10, F.lit("-"), F.floor(F.col("id") / 10) % 20 + 100, F.floor(F.col("id") / 200) + 1000).alias("title"))
+    assert {r.group_id for r in pairs.similar_title_groups(df, 0.6).collect()} == {0}
+
+
 @pytest.mark.parametrize("letters", [30, 10**6])
 def test_long_lexicons_by_hand(spark, monkeypatch, letters):
     monkeypatch.setattr(extract, "AUTOMATON_LETTERS", letters)

@@ -159,6 +159,24 @@ def reference(length, code):
     return [(0, 256 + a[0], a[1], a[2]), (4, b[0], b[1], b[2])]
 
 
+def test_webp_encoder_refers_back():
+    rng = random.Random(5)
+    own = "".join(chr(rng.randrange(97, 123)) for _ in range(4000))
+    once, twice = len(webp.store_text(own)[0]), len(webp.store_text(own * 2)[0])
+    assert twice < 1.1 * once
+    runs = ["", "abcd", "abcd" * 5000, "x" * 70_000, own[:401] * 30]
+    mixed = ["".join(rng.choice(["abcdefgh", "0123", own[:40], own[7:30]]) for _ in range(n)) for n in (3, 50, 700)]
+    for text in runs + mixed:
+        raw = text.encode()
+        media, back, n = webp.store_text(text)
+        assert n == len(raw) and back == raw + bytes(max(64, -(-n // 64) * 64) - n)
+    px = np.frombuffer((own[:400] * 3).encode(), "<u4")
+    found = webp.repeats(px)
+    assert found and all((px[a : a + n] == px[a - d : a - d + n]).all() for a, n, d in found)
+    with pytest.raises(ValueError):
+        webp.decode(media[: len(media) // 2])
+
+
 def test_webp_references_and_cache():
     rng = random.Random(1)
     start = [rng.getrandbits(32) for _ in range(24)]

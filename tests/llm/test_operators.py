@@ -418,6 +418,30 @@ def test_lm_beats_unigrams_on_held_out_documents(spark):
     assert r.net > r.base + 0.05 * r.n
 
 
+def test_lm_gains_a_quarter_of_a_digit_on_held_out_documents_however_they_are_split(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, other = ({r.doc_id: r for r in recurrent_lm.lm_scores(d, d.where(common.remainder() != 1)).collect()} for d in (docs, docs.repartition(6)))
+    assert all(math.isclose(r.score, other[k].score, rel_tol=1e-5) for k, r in one.items())
+    held = [r for k, r in one.items() if zlib.crc32(str(k).encode()) % 5 == 1]
+    assert sum(r.score - r.base_score for r in held) > 0.25 * sum(r.n_tokens for r in held)
+
+
+def test_lm_shards_take_each_document_once(spark, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "SHARD", 100)
+    rows = [(i, None if i == 7 else f"a b c{i % 3} " * (i % 9)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(t for _, text in rows for t in recurrent_lm.tokens_of(text))
+    head = [(r.h, r.c) for r in recurrent_lm.count_words(docs).collect()]
+    assert sorted(c for _, c in head) == sorted(counts.values())
+    words = recurrent_lm.Vocabulary(head, sum(counts.values()), len(counts), 4)
+    assert words.counts.sum() == words.total
+    got = recurrent_lm.training_shards(docs, words, 2).collect()
+    assert len(got) > 2 and len({(r.turn, r.shard) for r in got}) == len(got) and {r.turn for r in got} == {0, 1}
+    ids = [np.frombuffer(d, np.int16) for r in got for d in r.docs]
+    assert len(ids) == len(rows) and all(d[-1] == 0 and (d[:-1] > 0).all() for d in ids)
+    assert Counter(np.concatenate(ids).tolist()) == {i: int(c) for i, c in enumerate(words.counts) if c}
+
+
 def test_gru_gradient_against_differences():
     net = recurrent_lm.Gru(10, hidden=4, size=4, seed=1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}

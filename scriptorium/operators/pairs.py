@@ -65,68 +65,106 @@ def groups_of(links: DataFrame) -> DataFrame:
             return labels
 
 
-#: Holders from which a hashed item is put behind all others, and how many such items at most. They decide the order alone.
-OFTEN, MOST_OFTEN = 64, 1_000
+#: Holders from which a hashed item is put behind all others, how many such items at most, items tracked to find them, and 64-bit words of the bitmap that marks them. They decide the order alone.
+OFTEN, MOST_OFTEN, TRACKED, MARKS = 64, 10_000, 200_000, 8_192
+#: 64-bit words of the bitmaps by which sets are told apart before they are compared.
+BITMAP = 16
+#: Ids up to which they are sent to all tasks rather than the sets to the ids.
+FEW = 1_000_000
 
 
-def _prefixes(sets: DataFrame, threshold: float, hashed: bool) -> DataFrame:
+def _prefix_size(n: Column, threshold: float) -> Column:
+    return n - F.ceil(n * threshold - 1e-9) + 1
+
+
+def _prefixes(sets: DataFrame, items: Column, threshold: float, hashed: bool) -> DataFrame:
     """(id, n, i, t): the items t of each set's prefix that other prefixes have too, their place i and the set's size n.
 
     The prefix filter holds for any order of items that all sets share; rare ones first makes few candidates. Words are put in
     order of their frequency. Of `hashed` items most are rare, so these are put in order inside the row, by their value, and only
-    the prefixes leave it; what many of the prefixes hold goes behind all others.
+    the prefixes leave it, once; what many of the prefixes hold, as a sketch of all of them tells, goes behind all others.
     """
-    size = lambda n: n - F.ceil(n * threshold - 1e-9) + 1
     if not hashed:
-        df = sets.select(F.explode("items").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-        ranked = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("t")).join(df, "t")
+        df = sets.select(F.explode(items).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+        ranked = sets.select("id", F.size(items).alias("n"), F.explode(items).alias("t")).join(df, "t")
         place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-        return ranked.withColumn("i", place).where(F.col("i") <= size(F.col("n"))).where("df > 1").select("id", "n", "i", "t")
+        return ranked.withColumn("i", place).where(F.col("i") <= _prefix_size(F.col("n"), threshold)).where("df > 1").select("id", "n", "i", "t")
 
     def short(often: list[int]) -> DataFrame:
-        items, n = F.array_sort("items"), F.size("items")
+        ordered = F.sort_array(items)
         if often:
-            known = F.array(*map(F.lit, often)).cast("array<bigint>")
-            items = F.when(F.arrays_overlap("items", known), bound(items, lambda x: F.concat(F.array_except(x, known), F.array_intersect(x, known)))).otherwise(items)
-        return sets.select("id", n.alias("n"), F.posexplode(F.slice(items, F.lit(1), size(n).cast("int"))).alias("i", "t")).select("id", "n", (F.col("i") + 1).alias("i"), "t")
-
-    counts = short([]).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= OFTEN)
-    often = [r.t for r in counts.orderBy(F.desc("df"), "t").limit(MOST_OFTEN).collect()]
+            marks = [0] * MARKS
+            for t in often:
+                marks[(t >> 6) % MARKS] |= 1 << (t & 63)
+            words = F.from_json(F.lit(str([m - (1 << 64) if m >> 63 else m for m in marks])), "array<bigint>")
+            marked = lambda t: F.getbit(F.get(words, F.shiftright(t, 6).bitwiseAND(F.lit(MARKS - 1)).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+            # an item that shares its mark with a frequent one goes behind too, in all sets alike
+            ordered = bound(ordered, lambda x: F.concat(F.filter(x, lambda t: ~marked(t)), F.filter(x, marked)))
+        heads = bound(ordered, lambda x: F.struct(F.size(x).alias("n"), F.slice(x, F.lit(1), _prefix_size(F.size(x), threshold).cast("int")).alias("head")))
+        # outer, since Spark would else make the sets twice, to see which are empty
+        return sets.select("id", heads.alias("x")).select("id", "x.n", F.posexplode_outer("x.head").alias("i", "t")).where("t IS NOT NULL").select("id", "n", (F.col("i") + 1).alias("i"), "t")
+
+    most = short([]).agg(F.expr(f"approx_top_k(t, {MOST_OFTEN}, {TRACKED})").alias("most")).select(F.explode("most").alias("m"))
+    often = [r.item for r in most.select("m.*").where(F.col("count") >= OFTEN).collect()]
     return short(often).withColumn("df", F.count("*").over(Window.partitionBy("t"))).where("df > 1").drop("df")
 
 
-def _agreeing(sets: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): of met(a, n_a, i_a, b, n_b, i_b) the pairs of sets(id, items) that reach the threshold. Sets that are in no pair are not sent around."""
-    need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    pairs = shared_table(met.where(1 + rest >= need).select("a", "b").distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = sets.join(F.broadcast(ids) if pairs.count() <= 1_000_000 else ids, "id", "left_semi")
-    whole = pairs.join(some.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return whole.select("a", "b", (same / (F.size("x") + F.size("y") - same)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+def _agreeing(sets: DataFrame, items: Column, short: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): of met(a, n_a, i_a, b, n_b, i_b) the pairs of sets(id, ...), whose items are a column over them, that reach the threshold; short are the sets' prefixes.
+
+    Before whole sets are compared, all that the prefixes of a pair share is counted: what else the two can share stands behind
+    the last item shared, and behind the prefix of at least one of them. Then bitmaps of the sets' hashes are compared: each bit
+    that only one of two sets has stands for an item that the other lacks. Sets that are in no pair after that are not sent around.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    need = F.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
+    rest = F.least(n_a - F.col("i_a"), n_b - F.col("i_b"))
+    pairs = shared_table(met.where(1 + rest >= need).select("a", "n_a", "b", "n_b").distinct())
+    heads = short.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("h")).select("id", F.col("h.t").alias("t"), F.col("h.i").alias("i"))
+    both = pairs.join(heads.select(F.col("id").alias("a"), F.col("t").alias("t_a"), F.col("i").alias("p_a")), "a").join(heads.select(F.col("id").alias("b"), F.col("t").alias("t_b"), F.col("i").alias("p_b")), "b")
+    behind = lambda x, shared: F.col(f"n_{x}") - F.get(f"p_{x}", (F.array_position(f"t_{x}", F.element_at(shared, -1)) - 1).cast("int"))
+    beyond = lambda n: n - _prefix_size(n, threshold)
+    most = bound(F.array_intersect("t_a", "t_b"), lambda shared: F.size(shared) + F.greatest(F.least(beyond(n_a), behind("b", shared)), F.least(beyond(n_b), behind("a", shared))))
+    pairs = shared_table(both.where(most >= need).select("a", "n_a", "b", "n_b"))
+
+    def inside(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return sets.join(F.broadcast(ids) if pairs.count() <= FEW else ids, "id", "left_semi")
+
+    bit = F.xxhash64("t")
+    word = lambda i: F.bit_or(F.when(F.shiftright(bit, 6).bitwiseAND(F.lit(BITMAP - 1)) == i, F.expr("shiftleft(1L, cast(xxhash64(t) & 63 as int))")).otherwise(F.lit(0)))
+    bits = inside(pairs).select("id", F.explode_outer(items).alias("t")).groupBy("id").agg(*[word(i).alias(f"w{i}") for i in range(BITMAP)]).select("id", F.array(*[f"w{i}" for i in range(BITMAP)]).alias("w"))
+    both = pairs.join(bits.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
+    lacks = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(BITMAP)), F.lit(0))
+    pairs = shared_table(both.where(F.least(n_a - lacks("x", "y"), n_b - lacks("y", "x")) >= need).select("a", "b"))
+    some = inside(pairs)
+    whole = pairs.join(some.select(F.col("id").alias("a"), items.alias("x")), "a").join(some.select(F.col("id").alias("b"), items.alias("y")), "b")
+    similarity = bound(F.size(F.array_intersect("x", "y")), lambda same: same / (F.size("x") + F.size("y") - same))
+    return whole.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-9).distinct()  # rows of an id may repeat
 
 
 def _side(name: str) -> list[Column]:
     return [F.col(c).alias(f"{c}_{name}" if c != "id" else name) for c in ("id", "n", "i")]
 
 
-def set_groups(sets: DataFrame, threshold: float, hashed: bool = False) -> DataFrame:
+def set_groups(sets: DataFrame, threshold: float, hashed: Column | None = None) -> DataFrame:
     """(id, group) of sets(id, items: array) that a chain of pairs with Jaccard at or above the threshold joins to another; exact, without all pairs of a group.
 
-    Prefix and positional filter as in set_join; `hashed` items are hash values (see _prefixes). First each set meets only the
-    smallest id of each of its prefix items, and what agrees is grouped; then sets meet all others of their prefix items that are
+    Prefix and positional filter as in set_join. `hashed` makes the items, different hash values, from other columns of sets (see
+    _prefixes); of these only prefixes are written. First each set meets only the smallest id of each of its prefix items, and what agrees is grouped; then sets meet all others of their prefix items that are
     not in their group yet, and what agrees joins the groups. Of sets that are all alike, no more than one pair for each member
     and prefix item is looked at.
     """
-    sets = shared_table(sets.select("id", F.array_distinct("items").alias("items")).where(F.size("items") > 0))
-    short = shared_table(_prefixes(sets, threshold, hashed))
+    items = F.col("items") if hashed is None else hashed
+    if hashed is None:
+        sets = shared_table(sets.select("id", F.array_distinct("items").alias("items")).where(F.size("items") > 0))
+    short = shared_table(_prefixes(sets, items, threshold, hashed is not None))
     hubs = short.groupBy("t").agg(F.min(F.struct("id", "n", "i")).alias("h")).select("t", F.col("h.id").alias("a"), F.col("h.n").alias("n_a"), F.col("h.i").alias("i_a"))
-    first = shared_table(_agreeing(sets, short.select("t", *_side("b")).join(hubs, "t").where("a <> b"), threshold).select("a", "b"))
+    first = shared_table(_agreeing(sets, items, short, short.select("t", *_side("b")).join(hubs, "t").where("a <> b"), threshold).select("a", "b"))
     known = groups_of(first)
     named = short.join(known, "id", "left").withColumn("group", F.coalesce("group", "id"))
     one, two = named.select("t", *_side("a"), F.col("group").alias("g_a")), named.select("t", *_side("b"), F.col("group").alias("g_b"))
-    second = _agreeing(sets, one.join(two, "t").where("a < b AND g_a <> g_b"), threshold).select("a", "b")
+    second = _agreeing(sets, items, short, one.join(two, "t").where("a < b AND g_a <> g_b"), threshold).select("a", "b")
     return groups_of(first.union(second))
 
 
@@ -159,13 +197,19 @@ def small_set_links(sets: DataFrame, threshold: float) -> DataFrame:
     return keyed.join(heads, ["low", "high", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def _shingled(docs: DataFrame, k: int) -> DataFrame:
-    """(id, text, items): the k-word shingles of each different trimmed text, by its smallest doc_id."""
-    one = docs.groupBy(F.trim("text").alias("text")).agg(F.min("doc_id").alias("id"))
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    gram = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
-    none = F.array().cast("array<bigint>")
-    return one.select("id", bound(words, lambda w: F.when(F.size(w) >= k, F.array_distinct(gram(w))).otherwise(none)).alias("items")).where(F.size("items") > 0)
+def _firsts(docs: DataFrame) -> DataFrame:
+    """(id, text): each different trimmed text with its smallest doc_id. Texts stay where they are; their hashes are shuffled."""
+    some = docs.where("text IS NOT NULL")
+    keyed = some.select("doc_id", F.unhex(F.sha2(F.trim("text"), 256)).alias("h"))
+    copies = shared_table(keyed.withColumn("first", F.min("doc_id").over(Window.partitionBy("h"))).where("doc_id <> first").select("doc_id").distinct())
+    return some.join(F.broadcast(copies) if copies.count() <= FEW else copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.trim("text").alias("text"))
+
+
+def _shingles(k: int) -> Column:
+    """The different k-word shingles of text, as hashes. They are made from the text wherever they are read, since written they take more room than it."""
+    words = F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    gram = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    return bound(words, lambda w: F.when(F.size(w) >= k, F.array_distinct(gram(w))).otherwise(F.array().cast("array<bigint>")))
 
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
@@ -174,7 +218,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -
     One row for each document of docs(doc_id, text) in a group of several, however many pairs they make. Null texts are in none;
     texts of fewer than k words are grouped with their copies alone.
     """
-    near = set_groups(_shingled(docs, k), threshold, hashed=True)
+    near = set_groups(_firsts(docs), threshold, hashed=_shingles(k))
     keyed = docs.select("doc_id", F.sha2(F.trim("text"), 256).alias("h")).where("h IS NOT NULL")
     firsts = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     named = firsts.join(near, F.col("first") == F.col("id"), "left").where("n > 1 OR group IS NOT NULL").select("h", F.coalesce("group", "first").alias("group_id"))
@@ -205,9 +249,9 @@ def similar_titles(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """Pairs of distinct texts by k-word shingles; copies are represented by their smallest id (exact_duplicates has the members). near_duplicate_groups gives groups without all their pairs."""
-    sets = shared_table(_shingled(docs, k))
-    short = shared_table(_prefixes(sets, threshold, hashed=True))
-    return _agreeing(sets, short.select("t", *_side("a")).join(short.select("t", *_side("b")), "t").where("a < b"), threshold)
+    sets, items = _firsts(docs), _shingles(k)
+    short = shared_table(_prefixes(sets, items, threshold, hashed=True))
+    return _agreeing(sets, items, short, short.select("t", *_side("a")).join(short.select("t", *_side("b")), "t").where("a < b"), threshold)
 
 
 def reconcile(study: DataFrame, archive: DataFrame, key: str) -> DataFrame:

@@ -153,3 +153,24 @@ def test_near_duplicates_by_hashed_prefixes(spark, monkeypatch):
         monkeypatch.setattr(pairs, "MOST_OFTEN", most)
         assert {(r.a, r.b) for r in pairs.near_duplicates(docs, 0.8).collect()} == want and want
         assert {r.doc_id: r.group_id for r in pairs.near_duplicate_groups(docs, 0.8).collect()} == {i: g for i, g in group.items() if g in many}
+
+
+def test_shingles_are_neither_written_nor_compared_without_need(spark, monkeypatch):
+    """Whole sets of shingles are in no written table, and texts that share no more than a line are told apart by their prefixes."""
+    rnd, written, write = random.Random(3), [], pairs.shared_table
+
+    def recorded(df):
+        out = write(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(pairs, "shared_table", recorded)
+    line = " ".join(f"line{i}" for i in range(14))
+    texts = [" ".join([line, *(f"w{rnd.randrange(10**6)}" for _ in range(60))]) for _ in range(50)]
+    texts += [texts[0] + " more", texts[0], "of four words only"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(50, texts[50]), (900, None)], "doc_id long, text string")
+    assert [(r.a, r.b) for r in pairs.near_duplicates(docs, 0.8).collect()] == [(0, 50)]
+    assert not any("items" in columns or "text" in columns for columns, _ in written)
+    met, compared = ([n for columns, n in written if columns == c] for c in (["a", "n_a", "b", "n_b"], ["a", "b"]))
+    assert met[0] > 100 and compared == [1]
+    assert {r.doc_id: r.group_id for r in pairs.near_duplicate_groups(docs, 0.8).collect()} == {0: 0, 50: 0, 51: 0, 53: 0, 54: 0, 52: 52, 55: 52}
